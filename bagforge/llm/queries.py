@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from . import embeddings
+from .embeddings import op1_embeddings
+from .sharding import op2_sharding
 from .simhash import op9_simhash
 
-QUERIES = {f.__name__: f for f in (op9_simhash,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_embeddings, op2_sharding, op9_simhash)}
+ORACLE_SQL = {"op1_embeddings": embeddings.ORACLE}
