@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from . import embeddings
 from .embeddings import op1_embeddings
+from .packing import op5_packing
 from .sharding import op2_sharding
 from .simhash import op9_simhash
+from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_embeddings, op2_sharding, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_embeddings, op2_sharding, op5_packing, op9_simhash, op10_toxicity)}
 ORACLE_SQL = {"op1_embeddings": embeddings.ORACLE}
