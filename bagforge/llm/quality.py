@@ -101,8 +101,9 @@ class Hasher:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        for w in counts.keys() - memo.keys():
-            memo[w] = zlib.crc32(w[-6:] if len(w) > 6 else w) % BUCKETS
+        for w in counts:
+            if w not in memo:
+                memo[w] = zlib.crc32(w[-6:]) % BUCKETS
         at = np.fromiter((memo[w] for w in counts), np.int64, len(counts))
         x = np.log1p(np.fromiter(counts.values(), float, len(counts)))
         x /= np.sqrt((x * x).sum()) or 1.0
