@@ -27,6 +27,7 @@ WINDOW = 2
 #: A worker's memo of word scores is emptied beyond this many words.
 MEMO = 400_000
 _EDGE = "\x02"
+_ALL = (1 << 64) - 1
 
 
 def grams(word: str) -> list[str]:
@@ -35,6 +36,56 @@ def grams(word: str) -> list[str]:
     return [s[max(0, j - ORDER + 1) : j + 1] for j in range(1, len(s))]
 
 
+def hashed_grams(words: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """grams() of many words at once: (joined words, end of each gram, its letters, its hash, its context's hash, first gram of each word)."""
+    joined = _EDGE + _EDGE.join(words) + _EDGE
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    code = (code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    code ^= code >> np.uint64(29)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    first = np.cumsum(np.append(0, sizes[:-1]))
+    at = np.arange(1, len(code))
+    letters = np.minimum(at - np.repeat(first, sizes) + 1, ORDER)
+    whole, context = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    factor = np.uint64(1)
+    with np.errstate(over="ignore"):
+        for back in range(ORDER):
+            on = letters > back
+            whole[on] += code[at[on] - back] * factor
+            if back:
+                context[on] += code[at[on] - back] * factor * np.uint64(0xD6E8FEB86659FD93)
+            factor *= np.uint64(0x100000001B3)
+    return joined, at, letters, whole, context, first
+
+
+def _table(values: dict[str, float], context: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and values of grams, or of contexts, as hashed_grams gives them."""
+    keys = list(values)
+    h = np.zeros(len(keys), np.uint64)
+    for i, k in enumerate(keys):
+        factor, x = 1, 0
+        for back, c in enumerate(reversed(k + " " if context else k)):
+            code = (ord(c) + 1) * 0x9E3779B97F4A7C15 & _ALL
+            code ^= code >> 29
+            if not context:
+                x += code * factor
+            elif back:
+                x += code * factor * 0xD6E8FEB86659FD93
+            factor = factor * 0x100000001B3 & _ALL
+        h[i] = x & _ALL
+    order = np.argsort(h)
+    return h[order], np.array([values[k] for k in keys])[order]
+
+
+def _look_up(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(found, value) of each hash."""
+    keys, values = table
+    if not len(keys):
+        return np.zeros(len(h), bool), np.zeros(len(h))
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return keys[at] == h, values[at]
+
+
 class Ratio:
     """Log likelihood ratio (toxic over ordinary) of words.
 
@@ -42,30 +93,37 @@ class Ratio:
     shared backoff in both classes, so they have ratio 0.
     """
 
-    def __init__(self, own: dict[str, float], rest: dict[str, float]):
+    def __init__(self, own: tuple[np.ndarray, np.ndarray], rest: tuple[np.ndarray, np.ndarray]):
         self.own, self.rest, self.memo = own, rest, {}
 
-    def word(self, w: str) -> float:
-        own, rest, total = self.own.get, self.rest.get, 0.0
-        for g in grams(w):
-            x = own(g)
-            total += rest(g[:-1], 0.0) if x is None else x
-        return total
+    def words(self, words: list[str]) -> np.ndarray:
+        _, _, _, whole, context, first = hashed_grams(words)
+        known, x = _look_up(self.own, whole)
+        others = ~known
+        seen, y = _look_up(self.rest, context[others])
+        x = np.where(known, x, 0.0)
+        x[others] = np.where(seen, y, 0.0)
+        return np.add.reduceat(x, first)
+
+    def batch(self, texts: list[str | None]) -> list[tuple[float, float, float]]:
+        """features() of each text; new words of all of them are scored together."""
+        split = [(t or "").lower().split() for t in texts]
+        memo = self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        new = list(set().union(*split).difference(memo)) if split else []
+        if new:
+            memo.update(zip(new, self.words(new).tolist()))
+        return [self.features(words, len(t or "")) for words, t in zip(split, texts)]
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
+    def features(self, words: list[str], size: int) -> tuple[float, float, float]:
         """Mean ratio a letter of the text, best mean of WINDOW words, best word; all 0 without words."""
-        words = (text or "").lower().split()
         if not words:
             return 0.0, 0.0, 0.0
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = self.word(w)
-        x = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
+        x = np.fromiter(map(self.memo.__getitem__, words), np.float64, len(words))
         sums = np.cumsum(np.append(0.0, x))
         best = float((sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW) if len(x) >= WINDOW else float(x.sum()) / WINDOW
-        return float(x.sum()) / (len(text) + 1), best, float(x.max())
+        return float(x.sum()) / (size + 1), best, float(x.max())
 
 
 def _words(docs: DataFrame, by: list[str]) -> DataFrame:
@@ -105,13 +163,19 @@ def _continuations(docs: DataFrame, tag: str) -> list[DataFrame]:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
         words: set[str] = set()
-        seen: set[str] = set()
+        seen = np.zeros(0, np.uint64)
 
         def new() -> dict:
-            got = {g for w in words for g in grams(w)} - seen
-            seen.update(got) if len(seen) < 2_000_000 else seen.clear()
+            nonlocal seen
+            if not words:
+                return {"gram": []}
+            joined, at, letters, whole, _, _ = hashed_grams(list(words))
+            got, where = np.unique(whole, return_index=True)
+            fresh = ~np.isin(got, seen, assume_unique=True)
+            where = where[fresh]
+            seen = np.union1d(seen, got) if len(seen) < 2_000_000 else got
             words.clear()
-            return {"gram": list(got)}
+            return {"gram": [joined[e - n + 1 : e + 1] for e, n in zip(at[where].tolist(), letters[where].tolist())]}
 
         for b in small(batches):
             for text in b.column(0):
@@ -176,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, tag: str = "toxicity") -> tuple[Broa
         b = backoff(g[1:] if len(g) > 1 else g)
         p0, p1 = (max(n - DISCOUNT, 0) / m + f * b if m else b for n, m, f in ((n0, m0, f0), (n1, m1, f1)))
         ratio[g] = math.log(p1 / p0)
-    model = spark.sparkContext.broadcast((ratio, {h: math.log(f1 / f0) for h, (f0, f1) in free.items()}))
+    model = spark.sparkContext.broadcast((_table(ratio, False), _table({h: math.log(f1 / f0) for h, (f0, f1) in free.items()}, True)))
 
     held = features(sample.where("part = 3").select("text", "toxic"), model, ["toxic int"]).toPandas()
     return model, logistic(held[["f0", "f1", "f2"]].to_numpy(), held.toxic.to_numpy())
@@ -209,7 +273,7 @@ def features(rows: DataFrame, model: Broadcast, carry: list[str]) -> DataFrame:
             _models.clear()
             _models[key] = Ratio(*model.value)
         for b in small(batches):
-            f = [_models[key].features(t.as_py()) for t in b.column(0)]
+            f = _models[key].batch(b.column(0).to_pylist())
             yield {c.split()[0]: b.column(i + 1) for i, c in enumerate(carry)} | {f"f{j}": [x[j] for x in f] for j in range(3)}
 
     return map_rows(rows, ", ".join([*carry, "f0 double, f1 double, f2 double"]), run)
