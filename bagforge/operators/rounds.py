@@ -1,0 +1,20 @@
+"""Cutting lineage between the rounds of iterative operators."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+_DIR = "spark.checkpoint.dir"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the folder that executors share; a temporary one only on a single machine."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        told = sc.getConf().get(_DIR, None)
+        if not told and not sc.master.startswith("local"):
+            raise ValueError(f"set {_DIR} to a folder that all executors share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="bagforge-"))
+    return df.checkpoint()

@@ -1,10 +1,537 @@
-"""Registered queries over the driver's tables, with their DuckDB SQL."""
+"""Registered queries over the driver's tables, with their DuckDB SQL. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bags as B
+from ..operators import bags, dictionary, encode, graphs, learn, selection, similarity, statistics, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its name, with the SQL that gives the same rows."""
+
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ---- bags of the tables -------------------------------------------------------------------------------------------
+
+CUST_BRAND = """cb AS (SELECT o_custkey AS mol_id, CAST(substr(p_brand, 7) AS INT) AS feat_id, count(*) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+ JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+ORDER_PART = "op AS (SELECT l_orderkey AS mol_id, l_partkey AS feat_id, count(*) AS cnt FROM lineitem GROUP BY 1, 2)"
+SIZES = "s AS (SELECT mol_id, sum(cnt) AS s FROM {0} GROUP BY 1)"
+OVERLAPS = """o AS (SELECT a.mol_id AS a_id, b.mol_id AS b_id, sum(least(a.cnt, b.cnt)) AS i FROM {0} a JOIN {0} b ON a.feat_id = b.feat_id AND a.mol_id {1} b.mol_id GROUP BY 1, 2),
+p AS (SELECT a_id, b_id, i, x.s AS sa, y.s AS sb FROM o JOIN s x ON x.mol_id = a_id JOIN s y ON y.mol_id = b_id)"""
+
+
+def customer_brands(spark: SparkSession, d: str) -> DataFrame:
+    """How often each customer bought each brand."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    brands = table(spark, d, "part").select("p_partkey", F.expr("substring(p_brand, 7)").cast("int").alias("brand"))
+    rows = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(brands, F.col("l_partkey") == F.col("p_partkey"))
+    return bags.bag_of(rows, "o_custkey", "brand")
+
+
+def order_parts(spark: SparkSession, d: str) -> DataFrame:
+    return bags.bag_of(table(spark, d, "lineitem"), "l_orderkey", "l_partkey")
+
+
+def status_parts(spark: SparkSession, d: str, where: Column) -> DataFrame:
+    """The order-part bags of the orders that a condition picks."""
+    chosen = table(spark, d, "orders").where(where).select(F.col("o_orderkey").alias("mol_id"))
+    return order_parts(spark, d).join(chosen, "mol_id", "left_semi")
+
+
+def supplier_brands(spark: SparkSession, d: str) -> DataFrame:
+    """How often each supplier shipped each brand and size class."""
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
+    part = table(spark, d, "part").select("p_partkey", (F.expr("substring(p_brand, 7)").cast("int") * 100 + F.col("p_size")).alias("f"))
+    return bags.bag_of(li.join(part, F.col("l_partkey") == F.col("p_partkey")), "l_suppkey", "f")
+
+
+SUPP_BRAND = """sb AS (SELECT l_suppkey AS mol_id, CAST(substr(p_brand, 7) AS INT) * 100 + p_size AS feat_id, count(*) AS cnt FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+
+# ---- similarity ---------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {CUST_BRAND}, {SIZES.format('cb')}, q AS (SELECT * FROM cb WHERE mol_id = 1), i AS (SELECT cb.mol_id, sum(coalesce(least(cb.cnt, q.cnt), 0)) AS i FROM cb LEFT JOIN q USING (feat_id) GROUP BY 1)
+SELECT i.mol_id, round(i / (s.s + (SELECT coalesce(sum(cnt), 0) FROM q) - i), 6) AS tani FROM i JOIN s ON s.mol_id = i.mol_id
+ORDER BY i / (s.s + (SELECT coalesce(sum(cnt), 0) FROM q) - i) DESC, i.mol_id LIMIT 10""")
+def tanimoto_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten customers most similar to customer 1."""
+    cb = customer_brands(spark, d)
+    return similarity.top_k(cb.where("mol_id = 1"), cb, 10).select(F.col("b_id").alias("mol_id"), F.round("tani", 6).alias("tani"))
+
+
+@query(f"""WITH {ORDER_PART}, {SIZES.format('op')}, {OVERLAPS.format('op', '<')} SELECT a_id, b_id, round(i / (sa + sb - i), 6) AS tani FROM p WHERE 1 - i / (sa + sb - i) <= 1 - 0.4""")
+def tanimoto_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of orders at similarity 0.4 or more."""
+    return similarity.threshold_pairs(order_parts(spark, d), 0.4).select("a_id", "b_id", F.round("tani", 6).alias("tani"))
+
+
+@query(f"""WITH {ORDER_PART}, {SIZES.format('op')}, {OVERLAPS.format('op', '<>')}, m AS (SELECT a_id, b_id, 1 - i / (sa + sb - i) AS dist, row_number() OVER (PARTITION BY a_id ORDER BY 1 - i / (sa + sb - i), b_id) AS k FROM p)
+SELECT s.mol_id AS a_id, b_id AS nn_id, round(coalesce(dist, 1), 6) AS dist FROM s LEFT JOIN m ON a_id = mol_id AND k = 1""")
+def nearest_neighbour(spark: SparkSession, d: str) -> DataFrame:
+    """Each order's most similar other order."""
+    op = order_parts(spark, d)
+    return similarity.nearest(op, op, same=True).select("a_id", "nn_id", F.round("dist", 6).alias("dist"))
+
+
+_SPLIT = f"""{ORDER_PART}, {SIZES.format('op')}, f AS (SELECT op.* FROM op JOIN orders ON o_orderkey = mol_id WHERE o_orderstatus = 'F'), q AS (SELECT op.* FROM op JOIN orders ON o_orderkey = mol_id WHERE o_orderstatus <> 'F'),
+o AS (SELECT a.mol_id AS a_id, b.mol_id AS b_id, sum(least(a.cnt, b.cnt)) AS i FROM q a JOIN f b USING (feat_id) GROUP BY 1, 2),
+p AS (SELECT a_id, b_id, 1 - i / (x.s + y.s - i) AS dist FROM o JOIN s x ON x.mol_id = a_id JOIN s y ON y.mol_id = b_id),
+m AS (SELECT a_id, min_by(b_id, (dist, b_id)) AS nn_id, min(dist) AS dist FROM p GROUP BY 1),
+n AS (SELECT DISTINCT q.mol_id AS a_id, nn_id, coalesce(dist, 1) AS dist FROM q LEFT JOIN m ON m.a_id = q.mol_id)"""
+
+
+@query(f"WITH {_SPLIT} SELECT a_id, nn_id, round(dist, 6) AS dist, dist > 1 - 0.2 AS keep FROM n")
+def exclude_near(spark: SparkSession, d: str) -> DataFrame:
+    """Orders not finished, kept if no finished order is within 0.8."""
+    far = selection.far_from(status_parts(spark, d, F.col("o_orderstatus") != "F"), status_parts(spark, d, F.col("o_orderstatus") == "F"), 0.2)
+    return far.select("a_id", "nn_id", F.round("dist", 6).alias("dist"), "keep")
+
+
+@query(f"WITH {_SPLIT} SELECT a_id, nn_id, round(1 - dist, 6) AS tani FROM n")
+def annotate_nearest(spark: SparkSession, d: str) -> DataFrame:
+    near = selection.annotated(status_parts(spark, d, F.col("o_orderstatus") != "F"), status_parts(spark, d, F.col("o_orderstatus") == "F"))
+    return near.select("a_id", "nn_id", F.round("tani", 6).alias("tani"))
+
+
+@query(f"""WITH {ORDER_PART}, {SIZES.format('op')}, {OVERLAPS.format('op', '<')} SELECT a_id, b_id, i::BIGINT AS common, (sa - i)::BIGINT AS only_a, (sb - i)::BIGINT AS only_b FROM p""")
+def tversky_components(spark: SparkSession, d: str) -> DataFrame:
+    op = order_parts(spark, d)
+    return similarity.tversky(op, op, F.col("a_id") < F.col("b_id"))
+
+
+@query(f"""WITH {SUPP_BRAND}, {SIZES.format('sb')}, {OVERLAPS.format('sb', '<')} SELECT a_id AS src, b_id AS dst, round(1 - i / (sa + sb - i), 6) AS d FROM p""")
+def gram_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of all suppliers that share a feature."""
+    return graphs.distances(supplier_brands(spark, d)).select("src", "dst", F.round("d", 6).alias("d"))
+
+
+@query()
+def minhash_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.minhash_pairs(supplier_brands(spark, d), 64, 32)
+
+
+@query()
+def diversify(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that the greedy pass keeps at similarity 0.4."""
+    return selection.diversify(order_parts(spark, d), 0.4)
+
+
+@query()
+def butina(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.butina(order_parts(spark, d), 0.4)
+
+
+@query()
+def spanning_forest(spark: SparkSession, d: str) -> DataFrame:
+    """Minimum spanning forest of the suppliers."""
+    return graphs.spanning_forest(graphs.distances(supplier_brands(spark, d)))
+
+
+@query(f"""WITH {ORDER_PART}, {SIZES.format('op')}, {OVERLAPS.format('op', '<>')} SELECT s.mol_id, 1 + count(b_id) AS n FROM s LEFT JOIN p ON a_id = s.mol_id AND 1 - i / (sa + sb - i) <= 1 - 0.4 GROUP BY 1""")
+def neighbour_counts(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.neighbour_counts(order_parts(spark, d), 0.4)
+
+
+@query("SELECT DISTINCT a.p_size, a.p_retailprice FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size >= a.p_size AND b.p_retailprice >= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice > a.p_retailprice))")
+def pareto_front(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.pareto(table(spark, d, "part"), ["p_size", "p_retailprice"])
+
+
+# ---- domains ------------------------------------------------------------------------------------------------------
+
+_FQ = f"{ORDER_PART}, f AS (SELECT op.* FROM op JOIN orders ON o_orderkey = mol_id WHERE o_orderstatus = 'F'), q AS (SELECT op.* FROM op JOIN orders ON o_orderkey = mol_id WHERE o_orderstatus <> 'F')"
+
+
+@query(f"""WITH {_FQ}, ad AS (SELECT feat_id, max(cnt) AS m FROM f GROUP BY 1) SELECT o_orderkey AS mol_id FROM orders WHERE o_orderstatus <> 'F'
+AND NOT EXISTS (SELECT 1 FROM q LEFT JOIN ad USING (feat_id) WHERE q.mol_id = o_orderkey AND q.cnt > coalesce(m, 0))""")
+def bbad_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Orders not finished, within the domain of the finished ones."""
+    domain = selection.box(status_parts(spark, d, F.col("o_orderstatus") == "F"))
+    mols = table(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("mol_id"))
+    return selection.inside(mols, status_parts(spark, d, F.col("o_orderstatus") != "F"), domain)
+
+
+@query(f"WITH {ORDER_PART} SELECT feat_id, max(cnt)::INT AS max_cnt FROM op JOIN orders ON o_orderkey = mol_id WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
+def bbad_union(spark: SparkSession, d: str) -> DataFrame:
+    return selection.box_union(selection.box(status_parts(spark, d, F.col("o_orderstatus") == "F")), selection.box(status_parts(spark, d, F.col("o_orderstatus") == "O")))
+
+
+@query("""WITH b AS (SELECT min(p_size) a, max(p_size) b, min(p_retailprice) c, max(p_retailprice) d FROM part WHERE p_brand = 'Brand#11')
+SELECT p_partkey FROM part, b WHERE p_brand <> 'Brand#11' AND p_size BETWEEN a AND b AND p_retailprice BETWEEN c AND d""")
+def csv_bbad_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of other brands within the ranges of brand 11."""
+    part = table(spark, d, "part")
+    bounds = selection.ranges(part.where("p_brand = 'Brand#11'"), ["p_size", "p_retailprice"])
+    return selection.within_ranges(part.where("p_brand <> 'Brand#11'"), bounds, ["p_size", "p_retailprice"]).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_retailprice > 905 AND p_retailprice < 1500 AND p_size <= 30")
+def property_window(spark: SparkSession, d: str) -> DataFrame:
+    """Parts in a property window, as the drug-like and lead-like filters work."""
+    rules = [("p_retailprice", 905, 1500, False, False), ("p_size", None, 30, True, True)]
+    return table(spark, d, "part").where(selection.windows(rules)).select("p_partkey")
+
+
+# ---- dictionaries and encodings -----------------------------------------------------------------------------------
+
+_LI_FEATS = "e AS (SELECT l_orderkey AS mol_id, CAST(l_partkey AS VARCHAR) AS feat, count(*) AS cnt FROM lineitem GROUP BY 1, 2)"
+_BY_FREQ = "d AS (SELECT feat, row_number() OVER (ORDER BY sum(cnt) DESC, feat DESC) - 1 AS feat_id, sum(cnt)::BIGINT AS stat FROM e GROUP BY 1)"
+_RARE = "SELECT CAST(p_partkey AS VARCHAR) AS feat FROM part WHERE p_size > 25"
+
+
+def line_features(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    return li.groupBy(F.col("l_orderkey").alias("mol_id"), F.col("l_partkey").cast("string").alias("feat")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(f"WITH {_LI_FEATS} SELECT feat, row_number() OVER (ORDER BY min(mol_id), feat) - 1 AS feat_id, max(cnt)::BIGINT AS stat FROM e GROUP BY 1")
+def dict_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary.first_seen(line_features(spark, d), "mol_id", "feat", "cnt")
+
+
+@query(f"WITH {_LI_FEATS}, {_BY_FREQ} SELECT * FROM d")
+def dict_by_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary.by_frequency(line_features(spark, d), "feat", "cnt")
+
+
+@query(f"WITH {_LI_FEATS}, {_BY_FREQ} SELECT feat, row_number() OVER (ORDER BY feat_id) - 1 AS feat_id, stat FROM d WHERE feat NOT IN ({_RARE})")
+def dict_prune(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary without the features of large parts."""
+    full = dictionary.by_frequency(line_features(spark, d), "feat", "cnt").cache()
+    gone = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").cast("string").alias("feat"))
+    return dictionary.prune(full, full.join(gone, "feat").select("feat_id"))
+
+
+def _small_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").cast("string").alias("feat"), F.col("p_partkey").alias("feat_id"))
+
+
+@query(f"WITH {_LI_FEATS} SELECT mol_id, CAST(feat AS BIGINT) AS feat_id, cnt FROM e WHERE feat NOT IN ({_RARE})")
+def dict_apply_drop(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary.apply(line_features(spark, d), _small_dictionary(spark, d), "feat")
+
+
+@query(f"""WITH {_LI_FEATS} SELECT mol_id, CASE WHEN feat IN ({_RARE}) THEN 0 ELSE CAST(feat AS BIGINT) END AS feat_id, sum(CASE WHEN feat IN ({_RARE}) THEN 1 ELSE cnt END)::INT AS cnt FROM e GROUP BY 1, 2""")
+def dict_apply_zero(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary.apply(line_features(spark, d), _small_dictionary(spark, d), "feat", "zero")
+
+
+@query(f"WITH {CUST_BRAND} SELECT mol_id, feat_id + 1 AS feat, round(cnt / max(cnt) OVER (PARTITION BY mol_id), 6) AS value FROM cb")
+def iwn_max(spark: SparkSession, d: str) -> DataFrame:
+    return bags.normalise(customer_brands(spark, d), "max").select("mol_id", "feat", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {CUST_BRAND} SELECT mol_id, feat_id + 1 AS feat, round(cnt / sum(cnt) OVER (PARTITION BY mol_id), 6) AS value FROM cb")
+def iwn_l1(spark: SparkSession, d: str) -> DataFrame:
+    return bags.normalise(customer_brands(spark, d), "l1").select("mol_id", "feat", F.round("value", 6).alias("value"))
+
+
+@query()
+def fold_bloom(spark: SparkSession, d: str) -> DataFrame:
+    return bags.fold(order_parts(spark, d), 2, 256)
+
+
+@query()
+def coordinate_subset(spark: SparkSession, d: str) -> DataFrame:
+    """Estimated bag sizes from 70 % of the coordinates."""
+    kept, factor = bags.drop_coordinates(order_parts(spark, d), 0.3, 7)
+    return kept.groupBy("mol_id").agg((F.sum("cnt") * factor).alias("estimate"))
+
+
+@query(f"WITH {CUST_BRAND} SELECT mol_id, sum(cnt)::BIGINT AS popcount, max(feat_id) AS highest FROM cb GROUP BY 1")
+def bag_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return bags.pack(customer_brands(spark, d)).select("mol_id", B.size(F.col("bag")).alias("popcount"), B.highest(F.col("bag")).alias("highest"))
+
+
+@query(f"""WITH {CUST_BRAND}, m AS (SELECT DISTINCT mol_id FROM cb), f AS (SELECT unnest(range(60)) AS feat_id) SELECT m.mol_id, string_agg(coalesce(cnt, 0)::VARCHAR, ' ' ORDER BY f.feat_id) AS counts FROM m, f LEFT JOIN cb ON cb.mol_id = m.mol_id AND cb.feat_id = f.feat_id GROUP BY 1""")
+def dense_rows(spark: SparkSession, d: str) -> DataFrame:
+    return bags.pack(customer_brands(spark, d)).select("mol_id", F.array_join(F.transform(B.dense(F.col("bag"), 60), lambda c: c.cast("string")), " ").alias("counts"))
+
+
+@query(f"WITH {CUST_BRAND} SELECT mol_id, CASE WHEN any_value(c_acctbal) > 5000 THEN '+1 ' ELSE '-1 ' END || string_agg((feat_id + 1) || ':' || cnt, ' ' ORDER BY feat_id) AS line FROM cb JOIN customer ON c_custkey = mol_id GROUP BY 1")
+def liblinear_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = bags.pack(customer_brands(spark, d)).join(table(spark, d, "customer").select(F.col("c_custkey").alias("mol_id"), "c_acctbal"), "mol_id")
+    return rows.select("mol_id", B.liblinear(F.col("c_acctbal") > 5000, F.col("bag")).alias("line"))
+
+
+@query(f"WITH {CUST_BRAND} SELECT mol_id, '[' || string_agg(feat_id || ':' || cnt, ';' ORDER BY feat_id) || ']' AS fp FROM cb GROUP BY 1")
+def fingerprint_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Bags printed, parsed and printed again."""
+    once = bags.pack(customer_brands(spark, d)).select("mol_id", B.show(F.col("bag")).alias("t"))
+    return once.select("mol_id", B.show(B.parse(F.col("t"))).alias("fp"))
+
+
+@query("SELECT p_partkey, string_agg(i || ':1', ' ' ORDER BY i) AS line FROM part, generate_series(1, 14) g(i) WHERE (p_partkey >> (14 - i)) & 1 = 1 GROUP BY 1")
+def bit_string_decode(spark: SparkSession, d: str) -> DataFrame:
+    """The set bits of part keys, as a bit-string decoder prints them."""
+    bits = F.right(F.lpad(F.bin("p_partkey"), 14, "0"), F.lit(14))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(B.bits(bits), lambda i: F.concat(i.cast("string"), F.lit(":1"))), " ").alias("line")).where("line <> ''")
+
+
+_TOKENS = "t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)"
+
+
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
+
+
+@query(f"WITH {_TOKENS}, b AS (SELECT doc_id, w AS first, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS second FROM t) SELECT doc_id, first, second, count(*) AS n FROM b WHERE second IS NOT NULL GROUP BY 1, 2, 3")
+def token_bigrams(spark: SparkSession, d: str) -> DataFrame:
+    return encode.bigrams(tokens(spark, d), "doc_id", "i", "w")
+
+
+@query(f"WITH {_TOKENS} SELECT w AS word, row_number() OVER (ORDER BY count(*) DESC, w) + 2 AS word_id, count(*) AS n FROM t GROUP BY 1")
+def word_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary.words(tokens(spark, d), "w")
+
+
+MOLECULES = [(0, "methanol", "CO"), (1, "ethanol", "CCO"), (2, "mol_1", "On1cccc1"), (3, "caffeine", "Cn1cnc2c1c(=O)n(C)c(=O)n2C")]
+
+
+def molecules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MOLECULES, "idx long, name string, smiles string")
+
+
+@query("""SELECT * FROM (VALUES ('1C2-0-1C2', 4), ('1C2-2-1C2', 3), ('1C2-1-1C2', 3), ('1C2-3-O1', 2), ('1C2-2-O1', 2), ('1C2-2-1N3', 2), ('1C2-1-1N3', 2), ('O1-0-O1', 1), ('1N3-1-O1', 1), ('1N3-0-1N3', 1)) v(feat, cnt)""")
+def atom_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Atom pairs of one small molecule, in the text of its published dictionary."""
+    p = encode.atom_pairs(encode.typed(molecules(spark).where("name = 'mol_1'")))
+    name = lambda lo, hi: F.concat_ws("-", lo, "dist", hi)
+    return p.select(F.when(F.col("lo") <= F.col("hi"), name("lo", "hi")).otherwise(name("hi", "lo")).alias("feat"), "cnt")
+
+
+@query("""SELECT * FROM (VALUES ('C', 2), ('C,CH2O', 1), ('C,CH2O,H4', 1), ('C,CH3', 1), ('C,CH3,H2O', 1), ('C,CH3,H2O,H', 1), ('O', 1), ('O,CH', 1), ('O,CH,CH2', 1), ('O,CH,CH2,H3', 1)) v(feat, cnt)""")
+def layered_formulas(spark: SparkSession, d: str) -> DataFrame:
+    return encode.layered_formulas(encode.typed(molecules(spark).where("name = 'ethanol'"), "element", hydrogens=True)).select("feat", "cnt")
+
+
+@query("""SELECT * FROM (VALUES ('0_C1:1', 1), ('0_O1:1', 1), ('0_C1:1;1_O1:1', 1), ('0_O1:1;1_C1:1', 1)) v(feat, cnt)""")
+def environments(spark: SparkSession, d: str) -> DataFrame:
+    return encode.environments(encode.typed(molecules(spark).where("name = 'methanol'")), [0, 1]).select("feat", "cnt")
+
+
+@query("SELECT * FROM (VALUES ('methanol', 'CH4O', 2, 0), ('ethanol', 'C2H6O', 3, 0), ('mol_1', 'C4H5NO', 6, 1), ('caffeine', 'C8H10N4O2', 14, 2)) v(name, formula, heavy, rings)")
+def molecule_properties(spark: SparkSession, d: str) -> DataFrame:
+    return encode.properties(molecules(spark)).select("name", "formula", F.col("HA").alias("heavy"), "rings")
+
+
+# ---- statistics ---------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {CUST_BRAND}, k AS (SELECT feat_id, cnt, count(*) AS k FROM cb GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM cb), h AS (SELECT feat_id, sum(-k / n * log2(k / n)) AS e FROM k, n GROUP BY 1)
+SELECT feat_id, round(e, 6) AS entropy, round(coalesce(sum(e) OVER (ORDER BY round(e, 9) DESC, feat_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS before FROM h WHERE e > 0""")
+def feature_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.entropy(customer_brands(spark, d)).select("feat_id", F.round("entropy", 6).alias("entropy"), F.round("before", 6).alias("before"))
+
+
+@query("SELECT s_suppkey, s_acctbal, dense_rank() OVER (ORDER BY s_acctbal DESC) - 1 AS rank FROM supplier")
+def dense_rank_scores(spark: SparkSession, d: str) -> DataFrame:
+    return tables.dense_ranks(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal")
+
+
+_MERGE = """WITH a AS (SELECT c_custkey AS name, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS z FROM customer),
+x AS (SELECT o_custkey AS name, sum(o_totalprice) AS t FROM orders GROUP BY 1), b AS (SELECT name, -(t - avg(t) OVER ()) / stddev_pop(t) OVER () AS z FROM x)
+SELECT name, round({0}, 5) AS score FROM a JOIN b USING (name)"""
+
+
+def _merged(spark: SparkSession, d: str, reducer: str) -> DataFrame:
+    a = tables.zscores(table(spark, d, "customer"), "c_custkey", "c_acctbal")
+    b = tables.zscores(table(spark, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t")), "o_custkey", "t", higher_is_better=False)
+    return tables.merge_scores([a, b], reducer).select("name", F.round("score", 5).alias("score"))
+
+
+@query(_MERGE.format("(a.z + b.z) / 2"))
+def merge_zscores_avg(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d, "avg")
+
+
+@query(_MERGE.format("least(a.z, b.z)"))
+def merge_zscores_min(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d, "min")
+
+
+@query(_MERGE.format("greatest(a.z, b.z)"))
+def merge_zscores_max(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d, "max")
+
+
+@query("SELECT o_orderkey, o_totalprice, (rank() OVER (ORDER BY o_totalprice) + rank() OVER (ORDER BY o_totalprice) + count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS rank FROM orders")
+def average_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.average_ranks(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice")
+
+
+_R = "(rank() OVER (ORDER BY {0}) + rank() OVER (ORDER BY {0}) + count(*) OVER (PARTITION BY {0}) - 1) / 2"
+
+
+@query(f"WITH r AS (SELECT {_R.format('p_size')} AS x, {_R.format('p_retailprice')} AS y FROM part) SELECT count(*) AS n, round(corr(x, y), 6) AS r FROM r")
+def spearman(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.spearman(table(spark, d, "part"), "p_size", "p_retailprice").select("n", F.round("r", 6).alias("r"))
+
+
+@query("SELECT count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
+def pearson(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.pearson(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice").select("n", F.round("r", 6).alias("r"))
+
+
+@query(f"""WITH r AS (SELECT o_orderstatus = 'F' AS g, {_R.format('o_totalprice')} AS r FROM orders), s AS (SELECT sum(g::INT)::BIGINT AS n1, sum((NOT g)::INT)::BIGINT AS n2, sum(CASE WHEN g THEN r ELSE 0 END) AS w FROM r)
+SELECT n1, n2, round(w, 3) AS w, round((w - n1 * (n1 + n2 + 1) / 2) / sqrt(n1::DOUBLE * n2 * (n1 + n2 + 1) / 12), 6) AS z FROM s""")
+def wilcoxon(spark: SparkSession, d: str) -> DataFrame:
+    one = statistics.wilcoxon(table(spark, d, "orders"), "o_totalprice", F.col("o_orderstatus") == "F")
+    return one.select("n1", "n2", F.round("w", 3).alias("w"), F.round("z", 6).alias("z"))
+
+
+@query("SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY 1")
+def medians(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"))
+
+
+@query("WITH x AS (SELECT l_extendedprice AS t, l_quantity * 1500 AS p FROM lineitem), m AS (SELECT avg(t) AS m FROM x) SELECT round(1 - sum((t - p) * (t - p)) / sum((t - m) * (t - m)), 6) AS r2, round(sqrt(avg((t - p) * (t - p))), 3) AS rmse FROM x, m")
+def r2_rmse(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("t"), (F.col("l_quantity") * 1500).alias("p"))
+    return statistics.regression(x, "t", "p").select(F.round("r2", 6).alias("r2"), F.round("rmse", 3).alias("rmse"))
+
+
+_LABELLED = "x AS (SELECT n_chars AS s, quality = 1 AS y FROM documents JOIN labels USING (doc_id))"
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("s")).join(table(spark, d, "labels"), "doc_id").withColumn("y", F.col("quality") == 1)
+
+
+@query(f"WITH {_LABELLED}, r AS (SELECT y, {_R.format('s')} AS r FROM x), c AS (SELECT sum(CASE WHEN y THEN r END) AS s, sum(y::INT)::DOUBLE AS p, sum((NOT y)::INT)::DOUBLE AS n FROM r) SELECT round((s - p * (p + 1) / 2) / (p * n), 6) AS auc FROM c")
+def roc_auc(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.roc_auc(_labelled(spark, d), "s", F.col("y")).select(F.round("auc", 6).alias("auc"))
+
+
+@query(f"WITH {_LABELLED}, c AS (SELECT s, sum(y::INT) AS p, sum((NOT y)::INT) AS n FROM x GROUP BY 1) SELECT s AS score, round(sum(p) OVER (ORDER BY s DESC) / sum(p) OVER (), 6) AS tpr, round(sum(n) OVER (ORDER BY s DESC) / sum(n) OVER (), 6) AS fpr FROM c")
+def roc_curve(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.roc_curve(_labelled(spark, d), "s", F.col("y")).select("score", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
+
+
+@query(f"WITH {_LABELLED}, c AS (SELECT count(*) FILTER (y AND s > 500)::DOUBLE AS tp, count(*) FILTER (NOT y AND s <= 500)::DOUBLE AS tn, count(*) FILTER (NOT y AND s > 500)::DOUBLE AS fp, count(*) FILTER (y AND s <= 500)::DOUBLE AS fn FROM x) SELECT round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM c")
+def matthews(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.matthews(_labelled(spark, d), F.col("y"), F.col("s") > 500).select(F.round("mcc", 6).alias("mcc"))
+
+
+@query("""WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), n AS (SELECT floor((o_totalprice - lo) / ((hi - lo) / 50))::INT AS bin, count(*) AS n FROM orders, b GROUP BY 1)
+SELECT i::INT AS bin, round(lo + i * ((hi - lo) / 50), 4) AS start, coalesce(n, 0) AS n FROM b, generate_series(0, 50) g(i) LEFT JOIN n ON bin = i""")
+def histogram(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.histogram(table(spark, d, "orders"), "o_totalprice", 50).select("bin", F.round("start", 4).alias("start"), "n")
+
+
+@query("""WITH c AS (SELECT o_totalprice AS v, sum((o_orderstatus = 'F')::INT) AS x, sum((o_orderstatus = 'O')::INT) AS y FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1),
+w AS (SELECT sum(x) OVER () AS n1, sum(y) OVER () AS n2, abs(sum(x) OVER (ORDER BY v) / sum(x) OVER () - sum(y) OVER (ORDER BY v) / sum(y) OVER ()) AS d FROM c) SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, round(max(d), 6) AS d FROM w GROUP BY 1, 2""")
+def two_sample_ks(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return statistics.two_sample_ks(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "o_totalprice").select("n1", "n2", F.round("d", 6).alias("d"))
+
+
+# ---- tables -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_custkey, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
+def uniq_first(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's first order."""
+    o = table(spark, d, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("at"), "o_orderkey")
+    return tables.first_of(o, "o_custkey", "at").select("o_custkey", "o_orderkey")
+
+
+@query("WITH x AS (SELECT l_orderkey, l_linenumber, l_returnflag, lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS k FROM lineitem) SELECT l_orderkey, l_linenumber, l_returnflag FROM x WHERE k = 1 OR p <> l_returnflag")
+def uniq_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an order whose return flag differs from the line before."""
+    at = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag").alias("at")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", at)
+    return tables.run_starts(li, "l_returnflag", "at", "l_orderkey").drop("at")
+
+
+@query("SELECT s_suppkey AS ord, s_name AS c_name, c_custkey FROM supplier LEFT JOIN customer ON replace(s_name, 'Supplier', 'Customer') = c_name")
+def lookup_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Customers by the suppliers' names, in the suppliers' order."""
+    names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("ord"), "s_name", F.regexp_replace("s_name", "Supplier", "Customer").alias("c_name"))
+    return tables.lookup(names, table(spark, d, "customer").select("c_name", "c_custkey"), "c_name", "ord").select("ord", F.col("s_name").alias("c_name"), "c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def names_missing(spark: SparkSession, d: str) -> DataFrame:
+    return tables.missing(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("WITH x AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) SELECT o_orderkey, k // 50 * 50 AS chunk FROM x")
+def split_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return tables.chunks(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 50)
+
+
+@query()
+def shuffle_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in a seeded order."""
+    return tables.shuffled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 42)
+
+
+@query()
+def train_split(spark: SparkSession, d: str) -> DataFrame:
+    return tables.train_part(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.8, 42)
+
+
+@query("WITH x AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders) SELECT (k // CAST(ceil(n / 7) AS BIGINT))::INT AS fold, count(*) AS n FROM x GROUP BY 1")
+def kfold_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return tables.folds(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 7).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders INTERSECT SELECT s_suppkey FROM supplier")
+def names_in_all(spark: SparkSession, d: str) -> DataFrame:
+    return tables.in_all([table(spark, d, t).select(F.col(c).alias("k")) for t, c in (("customer", "c_custkey"), ("orders", "o_custkey"), ("supplier", "s_suppkey"))], "k")
+
+
+@query("SELECT p_brand AS mol_id, min(p_size)::DOUBLE AS min_x, max(p_size)::DOUBLE AS max_x, round(avg(p_size), 6) AS mean_x, round((max(p_size) - min(p_size)) * (max(p_retailprice) - min(p_retailprice)), 4) AS volume FROM part GROUP BY 1")
+def ligand_box(spark: SparkSession, d: str) -> DataFrame:
+    """Bounding boxes of the brands over size and price."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("mol_id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    return encode.box_of(p, ("x", "y")).select("mol_id", "min_x", "max_x", F.round("mean_x", 6).alias("mean_x"), F.round("volume", 4).alias("volume"))
+
+
+@query("SELECT p_name || ',' || p_size || ',[0:' || p_size || ';1:' || p_partkey || ']' AS value FROM part")
+def descriptor_lines(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.writers import descriptor_lines
+
+    return descriptor_lines(table(spark, d, "part"), "p_name", "p_size", ["p_size", "p_partkey"])
+
+
+@query()
+def forest_regression(spark: SparkSession, d: str) -> DataFrame:
+    """Supplier balances predicted from brand counts by cross-validated forests."""
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
+    part = table(spark, d, "part").select("p_partkey", (F.expr("substring(p_brand, 7)").cast("int")).alias("f"))
+    fp = bags.bag_of(li.join(part, F.col("l_partkey") == F.col("p_partkey")), "l_suppkey", "f")
+    rows = learn.vectors(fp, table(spark, d, "supplier").select(F.col("s_suppkey").alias("mol_id"), F.col("s_acctbal").alias("value")), 60)
+    return learn.cross_validated(tables.folds(rows, "mol_id", 3).cache(), lambda x: learn.random_forest(x, 10), 3)
+
+
+@query()
+def gaussian_process(spark: SparkSession, d: str) -> DataFrame:
+    """Supplier balances predicted from brand counts by Tanimoto-kernel processes, one task a fold."""
+    fp = supplier_brands(spark, d).withColumn("feat_id", F.floor(F.col("feat_id") / 100))
+    fp = fp.groupBy("mol_id", "feat_id").agg(F.sum("cnt").cast("int").alias("cnt"))
+    value = table(spark, d, "supplier").select(F.col("s_suppkey").alias("mol_id"), F.col("s_acctbal").alias("label"))
+    rows = bags.pack(fp).join(value, "mol_id").select("mol_id", F.transform(B.dense(F.col("bag"), 60), lambda c: c.cast("double")).alias("counts"), "label")
+    return learn.gaussian_process_folds(tables.folds(rows, "mol_id", 5), 2000)
