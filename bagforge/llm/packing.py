@@ -222,7 +222,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
     seated = scratch(map_rows(ranked, "doc_id long, h long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, pos long", seat), tag)
     result = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     done = seated.where("pos < 0").select(result)
-    streamed = seated.where("pos >= 0")
+    streamed = scratch(seated.where("pos >= 0"), tag)  # of its own, so that its real size decides how texts are found
     if streamed.isEmpty():
         return done
     texts = text.join(streamed.select("doc_id", "h"), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
