@@ -1,18 +1,81 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: documents in, packed sequences out.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the columns of documents;
+the last returns the packed pieces. Scratch tables of a stage go once its result is written.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from bagforge.llm.common import drop_scratch, read, scratch, shared_dir
+from bagforge.llm.decontaminate import decontaminate
+from bagforge.llm.packing import pack, vocabulary_path
+from bagforge.llm.pii import redact
 from bagforge.llm.simhash import simhash_groups
+from bagforge.llm.toxicity import score
+
+#: Tag of the stages' scratch tables.
+TAG = "pipeline"
+
+
+def _without(docs: DataFrame, doomed: DataFrame) -> DataFrame:
+    """docs but for the doc_ids of doomed; null ids stay. The ids are a table of their own, so that Spark knows their size."""
+    ids = scratch(doomed.select(F.col("doc_id").alias("_gone")).distinct(), TAG)
+    return docs.join(ids, docs.doc_id == ids._gone, "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    drop_scratch(spark, TAG)
+    return _without(docs, score(docs, read(spark, sf_dir, "labels"), tag=TAG).where("predicted = 1"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash group the document with the smallest doc_id stays."""
+    drop_scratch(spark, TAG)
+    return _without(docs, simhash_groups(docs, tag=TAG).where("doc_id != component_id"))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    drop_scratch(spark, TAG)
+    return _without(docs, decontaminate(docs, read(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in text gives way to its kind's name."""
+    drop_scratch(spark, TAG)
+    return redact(docs, tag=TAG)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of 2048."""
+    drop_scratch(spark, TAG)
+    return pack(docs, vocabulary_path(), tag=TAG)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_leaks", benchmark_leaks),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: Scoring, hashing and packing are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """STAGES applied to documents; each result is written as Parquet in the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    drop_scratch(spark, TAG)
     return docs
