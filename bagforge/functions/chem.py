@@ -78,6 +78,8 @@ def parse(smiles: str) -> Mol:
                 _join(m, last, len(m.atoms) - 1, bond)
             last, bond = len(m.atoms) - 1, ""
         elif t["bond"]:
+            if bond:
+                raise ValueError(f"two bonds at {at}: {smiles}")
             bond = t["bond"]
         elif t["ring"]:
             n = int(t["ring"].lstrip("%"))
@@ -95,7 +97,7 @@ def parse(smiles: str) -> Mol:
             last = stack.pop()
         else:
             last, bond = -1, ""
-    if rings or stack or not m.atoms:
+    if rings or stack or bond or not m.atoms:
         raise ValueError(f"unfinished: {smiles}")
     for i, a in enumerate(m.atoms):
         if not a.bracket and a.symbol != "*":
