@@ -71,6 +71,17 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]]
     return df.mapInArrow(run, like)
 
 
+def decide(df: DataFrame, fn: Callable[[pa.RecordBatch], list]) -> DataFrame:
+    """Rows of df that fn, which sees its batches, keeps (a boolean each); every column passes through, nothing is joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            if b.num_rows:
+                yield b.filter(pa.array(fn(b), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def small(batches: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """The batches cut to a row count that keeps a worker's Python objects few."""
     for b in batches:
@@ -99,6 +110,20 @@ def gapless(df: DataFrame, part: str, key: str, local: str, out: str) -> DataFra
     return df.join(sizes.withColumn("_before", before).drop("_n"), [part, key]).withColumn(out, F.col("_before") + F.col(local)).drop("_before")
 
 
+def bounded_sample(df: DataFrame, n: int, total: int, key: str, spare: float = 1.5) -> DataFrame:
+    """At most n rows of df, by a hash of key; total is how many df has.
+
+    The hash first thins df to about spare x n rows, so that what the final choice gathers doesn't grow with df.
+    """
+    return thinned(df, int(spare * n), total, key).orderBy(F.xxhash64(F.col(key), F.lit(17)), key).limit(n)
+
+
+def thinned(df: DataFrame, n: int, total: int, key: str) -> DataFrame:
+    """About n of df's total rows, by a hash of key; all if there are no more."""
+    h = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 40))
+    return df.where(h < int(n / total * (1 << 40))) if total > n else df
+
+
 def split_of(name: str) -> Column:
     """crc32 of a document id's decimal text, modulo 4."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % 4

@@ -6,6 +6,7 @@ import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, read, small
+from .common import decide, documents, map_rows, read, small
 
 K1, B = 1.2, 0.75
 #: Items whose largest contributions one block bound covers.
-BLOCK = 16
+BLOCK = 4
+#: Windows that are bounded together.
+TOGETHER = 64
 #: Bytes of item texts that one index holds at most; more items make more indexes, each of which sees all documents.
 INDEX_BYTES = 32_000_000
 #: Share of an item's own BM25 score at which a passage is retrieved.
@@ -58,13 +61,18 @@ class Index:
                 posts[self.term[t]].append((d, x / own))
         self.docs = [[d for d, _ in p] for p in posts]
         self.shares = [[x for _, x in p] for p in posts]
-        self.most = np.array([max(x) for x in self.shares] + [0.0])  # the last is for terms of no item
+        self.most = [max(x) for x in self.shares]
         self.blocks: list[dict[int, float]] = []
         for p in posts:
             top: dict[int, float] = {}
             for d, x in p:
                 top[d // BLOCK] = max(top.get(d // BLOCK, 0.0), x)
             self.blocks.append(top)
+        self.n_blocks = max(1, -(-n // BLOCK))
+        self.block_size = np.array([len(x) for x in self.blocks] + [0])
+        self.block_start = np.cumsum(self.block_size) - self.block_size
+        self.block_id = np.array([k for x in self.blocks for k in x], np.int64)
+        self.block_most = np.array([v for x in self.blocks for v in x.values()])
         self.longest = max((len(w) for _, w, _ in self.items), default=0)
         self.shingles = [{tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} for _, w, _ in self.items]
 
@@ -107,6 +115,19 @@ class Index:
             c[0] = docs[c[1]] if c[1] < len(docs) else -1
         cursors[:] = sorted(c for c in cursors if c[0] >= 0)
 
+    def _promising(self, ids: np.ndarray, windows: int, least: float, none: int) -> list[tuple[int, list[int]]]:
+        """(first word, distinct terms) of the windows in which some block's maxima sum up to `least`."""
+        at = np.flatnonzero(ids != none)
+        term, window = ids[at], at // self.longest  # a word is in the window that starts with its step, and in the one before
+        own, before = window < windows, window > 0
+        pairs = np.unique(np.concatenate([window[own] * none + term[own], (window[before] - 1) * none + term[before]]))
+        window, term = pairs // none, pairs % none
+        size = self.block_size[term]
+        place = np.repeat(self.block_start[term] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        bound = np.bincount(np.repeat(window, size) * self.n_blocks + self.block_id[place], self.block_most[place], windows * self.n_blocks)
+        good = np.flatnonzero(bound.reshape(windows, -1).max(axis=1) >= least - 1e-6)
+        return [(int(k) * self.longest, term[window == k].tolist()) for k in good]
+
     def overlap(self, item: int, passage: list[bytes]) -> tuple[float, float]:
         """Shares of the question's and of the answer's words that lie in runs common with the passage."""
         _, w, answer = self.items[item]
@@ -127,29 +148,26 @@ class Index:
         w = words(text)
         if not w or not self.items:
             return {}
-        none = len(self.most) - 1
+        none = len(self.term)
         get = self.term.get
-        ids = np.fromiter((get(x, none) for x in w), np.int64, len(w))
+        ids = np.fromiter(map(get, w, repeat(none)), np.int64, len(w))
         step = self.longest
-        begins = np.arange(0, max(len(w) - step, 1), step)
-        sums = np.append(0.0, np.cumsum(self.most[ids]))
-        bound = sums[np.minimum(begins + 2 * step, len(w))] - sums[begins]
+        windows = len(range(0, max(len(w) - step, 1), step))
         found: dict[int, float] = {}
-        for b in begins[bound >= least - 1e-6].tolist():
-            terms = np.unique(ids[b : b + 2 * step])
-            terms = terms[terms != none]
-            if self.most[terms].sum() < least - 1e-6:
-                continue
-            for item, share in self.wand(terms.tolist(), least):
-                key = self.items[item][0]
-                if share > found.get(key, 0.0) and min(self.overlap(item, w[b : b + 2 * step])) >= overlap:
-                    found[key] = share
+        for k in range(0, windows, TOGETHER):
+            last = min(k + TOGETHER, windows)
+            for b, terms in self._promising(ids[k * step : (last + 1) * step], last - k, least, none):
+                b += k * step
+                for item, share in self.wand(terms, least):
+                    key = self.items[item][0]
+                    if share > found.get(key, 0.0) and min(self.overlap(item, w[b : b + 2 * step])) >= overlap:
+                        found[key] = share
         return found
 
 
 def _indexes(items: DataFrame) -> list[Broadcast]:
     """Indexes of bounded size that together hold every item."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = math.ceil(total / INDEX_BYTES) or 1
     out = []
@@ -164,7 +182,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, least: float = RETRIEVE, ov
 
     items(item_id, text) make the index. A document is contaminated if one of its passages reaches `least` of an
     item's own BM25 score and common runs of five words cover `overlap` of the item's question and of its answer.
-    Null and empty texts, and items without words, match nothing; an item of fewer than five words must occur whole.
+    Null and empty texts, and items without words or an id, match nothing; an item of fewer than five words must occur whole.
     Repeated rows keep a row each; other columns are not used; empty tables give no rows, or no hits.
     """
     result = documents(docs)
@@ -188,5 +206,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, least: float = RETRIEVE, ov
     return map_rows(result, "doc_id long, n_items int, item_ids array<long>, best_share double, contaminated boolean", run)
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, least: float = RETRIEVE, overlap: float = OVERLAP) -> DataFrame:
+    """docs, all columns, without the documents that decontaminate() finds contaminated."""
+    indexes, at = _indexes(items), docs.columns.index("text")
+
+    def clean(b: pa.RecordBatch) -> list[bool]:
+        return [not any(i.value.search(t, least, overlap) for i in indexes) for t in b.column(at).to_pylist()]
+
+    return decide(docs, clean)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
