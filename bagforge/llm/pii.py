@@ -14,12 +14,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, read, scratch, small
+from .common import documents, map_rows, read, small, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 OUT = len(KINDS)  # the label of all other tokens
 #: Documents, by a hash of doc_id, that the field's weights are fitted on, and tokens of each at most.
 SAMPLE, SAMPLE_TOKENS = 2000, 200
+#: Documents looked at for each of the sample.
+PER_NODE = 20
 #: Marginal probability from which a token is labelled.
 SURE = 0.9
 ROUNDS = 12
@@ -270,9 +272,10 @@ def learn(docs: DataFrame, tag: str = "pii") -> Broadcast:
                     told.append(json.dumps({"features": f.features, "label": f.label, "near": near, "skip": skip}))
             yield {"doc_id": ids, "field": told}
 
-    rows = map_rows(docs, "doc_id long, field string", nodes)
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "field").limit(SAMPLE)
-    return docs.sparkSession.sparkContext.broadcast(fit([json.loads(r.field) for r in picked.select("field").collect()]))
+    # few documents have nodes: of PER_NODE times as many, those that have are what is chosen from
+    some = thinned(docs, PER_NODE * SAMPLE, docs.count(), "doc_id")
+    rows = map_rows(some, "doc_id long, field string", nodes).orderBy(F.xxhash64("doc_id"), "doc_id", "field").limit(SAMPLE)
+    return docs.sparkSession.sparkContext.broadcast(fit([json.loads(r.field) for r in rows.select("field").collect()]))
 
 
 def find_personal_data(docs: DataFrame, tag: str = "pii") -> DataFrame:
