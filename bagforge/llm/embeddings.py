@@ -49,7 +49,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, tag: str = "em
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding array, label).
 
     Rows link if their labels are equal and not null and their cosine, in double precision, is at least threshold.
-    Null, zero, empty, null-holding and non-finite vectors, and rows without a label, link with nothing; vectors of
+    Null, zero, empty, null-holding and non-finite vectors, and rows without a label or vec_id, link with nothing; vectors of
     different lengths do not link. Equal vectors of a label are one node that counts its copies, so a very common
     vector is compared once. n_links comes from counts made in each pair of blocks, a pair counted only in the
     first table where it meets; no pairs leave a block. Extra columns are not used; an empty table gives none.
@@ -57,7 +57,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, tag: str = "em
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     squares = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
-    usable = F.coalesce(F.col("label").isNotNull() & finite & (squares > 0) & (squares < F.lit(float("inf"))), F.lit(False))
+    usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & (squares > 0) & (squares < F.lit(float("inf"))), F.lit(False))
     own = scratch(x.select("vec_id", "label", F.when(usable, F.col("v")).alias("v")), tag)
     key = F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256)  # -0.0 and 0.0 differ here and meet again as neighbours
     keyed = scratch(own.where("v is not null").select("vec_id", F.concat_ws(":", F.size("v"), "label").alias("grp"), "v", key.alias("key")), tag)

@@ -225,7 +225,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
     streamed = scratch(seated.where("pos >= 0"), tag)  # of its own, so that its real size decides how texts are found
     if streamed.isEmpty():
         return done
-    texts = text.join(streamed.select("doc_id", "h"), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    key = F.coalesce("doc_id", F.lit(-(2**63))).alias("key")  # a null id is an id here
+    streamed = streamed.withColumn("key", key)
+    texts = text.select(key, "h", "text").join(streamed.select("key", "h"), ["key", "h"], "left_semi").dropDuplicates(["key", "h"])
 
     def recut(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
         tok, plan = tokenizer(vocabulary), shared.value
@@ -237,7 +239,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
                     rows.append((doc, start + skip, size, zlib.crc32(ids[skip : skip + size].tobytes()), n, seq, off))
             yield dict(zip(result, zip(*rows))) if rows else dict.fromkeys(result, [])
 
-    again = streamed.join(texts, ["doc_id", "h"]).select("doc_id", "start", "length", "doc_tokens", "pos", "text")
+    again = streamed.join(texts, ["key", "h"]).select("doc_id", "start", "length", "doc_tokens", "pos", "text")
     return done.unionByName(map_rows(again, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", recut))
 
 

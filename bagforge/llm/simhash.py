@@ -97,11 +97,12 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3, tag: str =
 
     component_id is the smallest doc_id reachable over fingerprints that differ in at most radius bits. Documents
     of one fingerprint are one node, so copies cost one comparison. Null and empty texts have fingerprint 0 and
-    link like any other. Repeated doc_ids keep a row each. Other columns are not used; an empty table gives none.
+    link like any other. Repeated doc_ids keep a row each; a null doc_id has the component of the documents of its
+    very fingerprint, null if none of them has an id. Other columns are not used; an empty table gives none.
     """
     own = scratch(fingerprints(docs, words), tag)
     nodes = scratch(own.groupBy("fp").agg(F.min("doc_id").alias("id")), tag)
-    found = connected_components(near_links(nodes, radius, tag), tag)
+    found = connected_components(near_links(nodes.where("id is not null"), radius, tag), tag)
     named = nodes.join(found, nodes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, read, scratch, small, split_of
+from .common import bounded_sample, decide, documents, map_rows, read, scratch, small, split_of
 
 #: Letters of context and predicted letter; words are padded with one boundary on each side.
 ORDER = 6
@@ -26,6 +26,10 @@ SAMPLE = 20_000
 WINDOW = 2
 #: A worker's memo of word scores is emptied beyond this many words.
 MEMO = 400_000
+#: What the logistic weights' features are scaled by.
+SCALES = (1.0, 1.0, 0.5)
+#: Leading bits of a hash that index the tables of ratios.
+TOP = 18
 _EDGE = "\x02"
 _ALL = (1 << 64) - 1
 
@@ -58,8 +62,8 @@ def hashed_grams(words: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndar
     return joined, at, letters, whole, context, first
 
 
-def _table(values: dict[str, float], context: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and values of grams, or of contexts, as hashed_grams gives them."""
+def _table(values: dict[str, float], context: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hashes and values of grams, or of contexts, as hashed_grams gives them: sorted, with the first place of each top TOP bits and the most that share them."""
     keys = list(values)
     h = np.zeros(len(keys), np.uint64)
     for i, k in enumerate(keys):
@@ -74,16 +78,20 @@ def _table(values: dict[str, float], context: bool) -> tuple[np.ndarray, np.ndar
             factor = factor * 0x100000001B3 & _ALL
         h[i] = x & _ALL
     order = np.argsort(h)
-    return h[order], np.array([values[k] for k in keys])[order]
-
-
-def _look_up(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(found, value) of each hash."""
-    keys, values = table
-    if not len(keys):
-        return np.zeros(len(h), bool), np.zeros(len(h))
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return keys[at] == h, values[at]
+    h = h[order]
+    places = np.searchsorted(h, np.arange(1 << TOP, dtype=np.uint64) << np.uint64(64 - TOP)).astype(np.int32)
+    most = int(np.diff(np.append(places, len(h))).max()) if keys else 0
+    return np.append(h, np.zeros(most + 1, np.uint64)), np.append(np.array([values[k] for k in keys])[order], np.zeros(most + 1)), places, most
+
+
+def _look_up(table: tuple[np.ndarray, np.ndarray, np.ndarray, int], h: np.ndarray) -> np.ndarray:
+    """The value of each hash, nan for those that aren't there."""
+    keys, values, places, most = table
+    at, out = places[h >> np.uint64(64 - TOP)], np.full(len(h), np.nan)
+    for step in range(most):
+        hit = keys[at + step] == h
+        out[hit] = values[at[hit] + step]
+    return out
 
 
 class Ratio:
@@ -93,16 +101,14 @@ class Ratio:
     shared backoff in both classes, so they have ratio 0.
     """
 
-    def __init__(self, own: tuple[np.ndarray, np.ndarray], rest: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, own: tuple, rest: tuple):
         self.own, self.rest, self.memo = own, rest, {}
 
     def words(self, words: list[str]) -> np.ndarray:
         _, _, _, whole, context, first = hashed_grams(words)
-        known, x = _look_up(self.own, whole)
-        others = ~known
-        seen, y = _look_up(self.rest, context[others])
-        x = np.where(known, x, 0.0)
-        x[others] = np.where(seen, y, 0.0)
+        x = _look_up(self.own, whole)
+        others = np.flatnonzero(np.isnan(x))
+        x[others] = np.nan_to_num(_look_up(self.rest, context[others]))
         return np.add.reduceat(x, first)
 
     def batch(self, texts: list[str | None]) -> list[tuple[float, float, float]]:
@@ -201,9 +207,10 @@ def fit(docs: DataFrame, labels: DataFrame, tag: str = "toxicity") -> tuple[Broa
     of docs. What the driver holds is bounded by the sample: grams that a class of it counted over DISCOUNT times.
     """
     spark = docs.sparkSession
-    order = F.xxhash64("doc_id")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(split_of("doc_id") != 2)
-    chosen = scratch(marks.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE).union(marks.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE)), tag)
+    total = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    picked = [bounded_sample(marks.where(F.col("toxic") == y), SAMPLE, total.get(y, 0), "doc_id") for y in (0, 1)]
+    chosen = scratch(picked[0].union(picked[1]), tag)
     sample = scratch(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", split_of("doc_id")), tag)
 
     counts = scratch(_class_grams(sample.where("part != 3")), tag)
@@ -248,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, tag: str = "toxicity") -> tuple[Broa
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Ridge logistic weights, bias last, by Newton's method; rows without any label give a low constant score."""
-    x = np.column_stack([x * (1, 1, 0.5), np.ones(len(x))])
+    x = np.column_stack([x * SCALES, np.ones(len(x))])
     w = np.array([0.0, 0.5, 0.25, -5.0])
     prior = w.copy()
     for _ in range(25):
@@ -264,16 +271,22 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 _models: dict[int, Ratio] = {}
 
 
+def _ratio(model: Broadcast) -> Ratio:
+    """The model's scorer, one a worker process."""
+    key = id(model.value)
+    if key not in _models:
+        _models.clear()
+        _models[key] = Ratio(*model.value)
+    return _models[key]
+
+
 def features(rows: DataFrame, model: Broadcast, carry: list[str]) -> DataFrame:
     """(*carry, f0, f1, f2) for rows(text, *carry)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
-        key = id(model.value)
-        if key not in _models:
-            _models.clear()
-            _models[key] = Ratio(*model.value)
+        ratio = _ratio(model)
         for b in small(batches):
-            f = _models[key].batch(b.column(0).to_pylist())
+            f = ratio.batch(b.column(0).to_pylist())
             yield {c.split()[0]: b.column(i + 1) for i, c in enumerate(carry)} | {f"f{j}": [x[j] for x in f] for j in range(3)}
 
     return map_rows(rows, ", ".join([*carry, "f0 double, f1 double, f2 double"]), run)
@@ -290,10 +303,23 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, tag: str =
     docs = documents(docs)
     model, w = fit(docs, labels, tag)
     f = features(docs.select("text", "doc_id"), model, ["doc_id long"])
-    z = sum((F.col(f"f{i}") * float(w[i] * (1, 1, 0.5)[i]) for i in range(3)), F.lit(float(w[3])))
+    z = sum((F.col(f"f{i}") * float(w[i] * SCALES[i]) for i in range(3)), F.lit(float(w[3])))
     scored = f.withColumn("score", 1 / (1 + F.exp(F.greatest(F.least(-z, F.lit(30.0)), F.lit(-30.0)))))
     return scored.select("doc_id", F.coalesce(split_of("doc_id") == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, tag: str = "toxicity") -> DataFrame:
+    """docs, all columns, without the documents that score() predicts toxic."""
+    model, w = fit(documents(docs), labels, tag)
+    at = docs.columns.index("text")
+    limit = float(np.log(threshold / (1 - threshold)))
+
+    def clean(b: pa.RecordBatch) -> list[bool]:
+        f = np.array(_ratio(model).batch(b.column(at).to_pylist())).reshape(-1, 3)
+        return (f * SCALES @ w[:3] + w[3] < limit).tolist()
+
+    return decide(docs, clean)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

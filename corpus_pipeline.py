@@ -12,38 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagforge.llm.common import drop_scratch, read, scratch, shared_dir
-from bagforge.llm.decontaminate import decontaminate
+from bagforge.llm.decontaminate import without_leaks
 from bagforge.llm.packing import pack, vocabulary_path
 from bagforge.llm.pii import redact
 from bagforge.llm.simhash import simhash_groups
-from bagforge.llm.toxicity import score
+from bagforge.llm.toxicity import without_toxic
 
 #: Tag of the stages' scratch tables.
 TAG = "pipeline"
 
 
-def _without(docs: DataFrame, doomed: DataFrame) -> DataFrame:
-    """docs but for the doc_ids of doomed; null ids stay. The ids are a table of their own, so that Spark knows their size."""
-    ids = scratch(doomed.select(F.col("doc_id").alias("_gone")).distinct(), TAG)
-    return docs.join(ids, docs.doc_id == ids._gone, "left_anti")
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     drop_scratch(spark, TAG)
-    return _without(docs, score(docs, read(spark, sf_dir, "labels"), tag=TAG).where("predicted = 1"))
+    return without_toxic(docs, read(spark, sf_dir, "labels"), tag=TAG)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest doc_id stays."""
+    """Of each SimHash group the document with the smallest doc_id stays; rows without an id stay."""
     drop_scratch(spark, TAG)
-    return _without(docs, simhash_groups(docs, tag=TAG).where("doc_id != component_id"))
+    doomed = simhash_groups(docs, tag=TAG).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    ids = scratch(doomed, TAG)  # a table of its own, so that Spark knows its size
+    return docs.join(ids, docs.doc_id == ids._gone, "left_anti")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     drop_scratch(spark, TAG)
-    return _without(docs, decontaminate(docs, read(spark, sf_dir, "benchmark")).where("contaminated"))
+    return without_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
