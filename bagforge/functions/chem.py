@@ -499,3 +499,175 @@ def assemble(parts: list[tuple[Mol, list[tuple[int, str, str]]]], seed: int, mos
 def cuts_for(m: Mol, weight: float = 150.0) -> int:
     """How many cuts give fragments of about the weight."""
     return max(0, min(len(cuttable_bonds(m)), round(mass(m) / weight) - 1))
+
+
+#: The prime of each element in a formula's number.
+PRIMES = {
+    "H": 2, "C": 3, "O": 5, "N": 7, "F": 11, "S": 13, "Cl": 17, "Br": 19, "P": 23, "I": 29, "Na": 31, "B": 37, "Si": 41, "Se": 43, "K": 47, "Li": 53, "As": 59, "Te": 61,
+    "Zn": 67, "Ca": 71, "Mg": 73, "Al": 79, "Ag": 83, "Sr": 89, "Rb": 97, "Ba": 101, "Cs": 103, "At": 107, "Bi": 109, "Xe": 113, "Ra": 127, "Kr": 131, "Be": 137, "He": 139, "Ga": 149,
+}
+
+
+def formula_counts(text: str) -> dict[str, int]:
+    """Element counts of a formula, or of a condensed one such as CH3CH2OH."""
+    out: Counter = Counter()
+    for symbol, n in re.findall(r"([A-Z][a-z]?)(\d*)", text):
+        out[symbol] += int(n or 1)
+    return dict(out)
+
+
+def formula_number(text: str) -> int:
+    """Product of the elements' primes; any size."""
+    out = 1
+    for symbol, n in formula_counts(text).items():
+        out *= PRIMES[symbol] ** n
+    return out
+
+
+def number_formula(number: int) -> str:
+    """The formula of such a product."""
+    elements = []
+    for symbol, p in PRIMES.items():
+        while number % p == 0:
+            elements.append(symbol)
+            number //= p
+    if number != 1:
+        raise ValueError("not the number of a formula")
+    return formula(elements)
+
+
+def circular_features(m: Mol, radius: int = 2, bits: int = 2048) -> dict[int, int]:
+    """Counts of hashed neighbourhoods of each atom up to a radius, folded; in the manner of extended-connectivity features."""
+    import zlib
+
+    h, near = hydrogen_count(m), m.neighbours()
+    ring = ring_atoms(m)
+    code = [zlib.crc32(repr((a.symbol, len(near[i]), h[i], a.charge, i in ring, a.aromatic)).encode()) for i, a in enumerate(m.atoms)]
+    out: Counter = Counter(c % bits for c in code)
+    for _ in range(radius):
+        code = [zlib.crc32(repr((code[i], sorted((m.order(i, j), code[j]) for j in near[i]))).encode()) for i in range(len(m.atoms))]
+        out.update(c % bits for c in code)
+    return dict(out)
+
+
+def peg_free(m: Mol, longest: int = 10, shortest: int = 2) -> Mol:
+    """Without the atoms of all chains of the longest number of CH2-CH2-O units off rings that occurs, from `shortest` up; else unchanged."""
+    near, ring = m.neighbours(), ring_atoms(m)
+
+    def fits(i: int, symbol: str) -> bool:
+        a = m.atoms[i]
+        return a.symbol == symbol and not a.aromatic and i not in ring and (a.hydrogens, len(near[i])) == ((2, 2) if symbol == "C" else (0, 2)) and all(m.order(i, j) == 1.0 for j in near[i])
+
+    def chains(units: int) -> list[list[int]]:
+        found: list[list[int]] = []
+        for start in range(len(m.atoms)):
+            stack = [[start]] if fits(start, "C") else []
+            while stack:
+                path = stack.pop()
+                if len(path) == 3 * units:
+                    found.append(path)
+                    continue
+                want = "O" if len(path) % 3 == 2 else "C"
+                stack += [[*path, j] for j in near[path[-1]] if j not in path and fits(j, want)]
+        return found
+
+    for units in range(longest, shortest - 1, -1):
+        gone = {i for path in chains(units) for i in path}
+        if gone:
+            return part(m, [i for i in range(len(m.atoms)) if i not in gone])
+    return m
+
+
+def torsions(m: Mol) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Single bonds off rings between heavy atoms: those with no hydrogen-bearing terminal end, and those with one."""
+    ring, degree, h = ring_bonds(m), heavy_degree(m), hydrogen_count(m)
+    regular, terminal = [], []
+    for (i, j), o in m.bonds.items():
+        if o != 1.0 or (i, j) in ring or "H" in (m.atoms[i].symbol, m.atoms[j].symbol):
+            continue
+        ends = [k for k in (i, j) if degree[k] == 1]
+        if any(h[k] for k in ends):
+            terminal.append((i, j))
+        elif not ends:
+            regular.append((i, j))
+    return regular, terminal
+
+
+def deep(smiles: str) -> str:
+    """DeepSMILES: a branch's end as one `)` for each atom to step back, a ring's end as the ring's size.
+
+    ValueError where a ring closes onto an atom of a finished branch.
+    """
+    out: list[str] = []
+    path: list[int] = []
+    marks: list[int] = []
+    opened: dict[int, tuple[int, int, str]] = {}
+    at, count, bond = 0, 0, ""
+    while at < len(smiles):
+        t = _TOKEN.match(smiles, at)
+        if not t:
+            raise ValueError(f"not SMILES at {at}: {smiles}")
+        at = t.end()
+        if t["sym"] or t["org"]:
+            out.append(bond + t[0])
+            bond = ""
+            path.append(count)
+            count += 1
+        elif t["bond"]:
+            bond = t[0]
+        elif t["ring"]:
+            n = int(t["ring"].lstrip("%"))
+            if n in opened:
+                atom, _, earlier = opened.pop(n)
+                if atom not in path:
+                    raise ValueError(f"a ring closes onto a finished branch: {smiles}")
+                size = len(path) - path.index(atom)
+                out.append((bond or earlier) + (str(size) if size < 10 else f"%{size}" if size < 100 else f"%({size})"))
+            else:
+                opened[n] = (path[-1], count, bond)
+            bond = ""
+        elif t["open"]:
+            marks.append(len(path))
+        elif t["close"]:
+            back = marks.pop()
+            out.append(")" * (len(path) - back))
+            del path[back:]
+        else:
+            out.append(".")
+            path = []
+    return "".join(out)
+
+
+def undeep(text: str) -> str:
+    """A SMILES of a DeepSMILES text."""
+    m, path, bond, at = Mol(), [], "", 0
+    size = re.compile(r"%\((\d+)\)|%(\d\d)|(\d)")
+    while at < len(text):
+        r = size.match(text, at)
+        if r:
+            n = int(r[1] or r[2] or r[3])
+            _join(m, path[-n], path[-1], bond)
+            bond, at = "", r.end()
+            continue
+        t = _TOKEN.match(text, at)
+        if not t:
+            raise ValueError(f"not DeepSMILES at {at}: {text}")
+        at = t.end()
+        if t["sym"] or t["org"]:
+            raw = t["sym"] or t["org"]
+            h = t["h"]
+            m.atoms.append(Atom(raw[0].upper() + raw[1:], raw[0].islower(), _charge(t["q"]), int(h[1:] or 1) if h else 0, bool(t["sym"]), int(t["iso"] or 0), t["chi"] or ""))
+            if path:
+                _join(m, path[-1], len(m.atoms) - 1, bond)
+            path.append(len(m.atoms) - 1)
+            bond = ""
+        elif t["bond"]:
+            bond = t[0]
+        elif t["close"]:
+            path.pop()
+        else:
+            path = []
+    for i, a in enumerate(m.atoms):
+        if not a.bracket and a.symbol != "*":
+            a.hydrogens = implicit_hydrogens(m, i)
+    return write(m)

@@ -11,11 +11,12 @@ def numbered(rows: DataFrame, order: list, out: str, start: int = 0) -> DataFram
 
     Rows are range-partitioned by the order; a partition's numbers start where the sizes of those before it end.
     """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    placed = placed.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)).cache()
-    sizes = placed.groupBy("_p").count()
-    before = sizes.withColumn("_b", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    return placed.join(F.broadcast(before), "_p").withColumn(out, (F.col("_i") + F.col("_b") + start).cast("long")).drop("_p", "_i", "_b")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_num_part", F.spark_partition_id())
+    placed = placed.withColumn("_num_row", F.monotonically_increasing_id() - F.shiftleft(F.col("_num_part").cast("long"), 33)).cache()
+    sizes = placed.groupBy("_num_part").count()
+    ahead = F.coalesce(F.sum("count").over(Window.orderBy("_num_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    before = sizes.select("_num_part", ahead.alias("_num_ahead"))
+    return placed.join(F.broadcast(before), "_num_part").withColumn(out, (F.col("_num_row") + F.col("_num_ahead") + start).cast("long")).drop("_num_part", "_num_row", "_num_ahead")
 
 
 def first_seen(enc: DataFrame, idx: str, feat: str, cnt: str, base: int = 0) -> DataFrame:

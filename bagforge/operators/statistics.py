@@ -112,3 +112,47 @@ def two_sample_ks(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     d = c.join(F.broadcast(total)).select("n1", "n2", F.abs(F.sum("x").over(w) / F.col("n1") - F.sum("y").over(w) / F.col("n2")).alias("d"))
     return d.groupBy("n1", "n2").agg(F.max("d").alias("d"))
+
+
+def two_sample_histogram(a: DataFrame, b: DataFrame, value: str, steps: int) -> DataFrame:
+    """(bin, start, fa, fb): frequencies of both over shared bounds."""
+    lo, hi = a.select(value).unionByName(b.select(value)).agg(F.min(value), F.max(value)).first()
+    na, nb = a.count(), b.count()
+    x, y = histogram(a, value, steps, lo, hi), histogram(b, value, steps, lo, hi)
+    return x.select("bin", "start", (F.col("n") / na).alias("fa")).join(y.select("bin", (F.col("n") / nb).alias("fb")), "bin")
+
+
+def ks_p(d: float, n1: int, n2: int) -> float:
+    """Asymptotic p of a two-sample Kolmogorov-Smirnov difference."""
+    if d <= 0:
+        return 1.0
+    x = math.sqrt(n1 * n2 / (n1 + n2)) * d
+    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
+
+
+def minimal_sample(rows: DataFrame, key: str, value: str, sure: float = 0.95, repeats: int = 50, seed: int = 1) -> int:
+    """Rows of a random sample that a Kolmogorov-Smirnov test can't tell from the whole (p > sure): the most over repeated halvings.
+
+    Each step of a halving is one distributed test; the driver only steers.
+    """
+    n, worst = rows.count(), 0
+    for r in range(repeats):
+        placed = numbered(rows.select(value, F.xxhash64(key, F.lit(seed + r)).alias("_h")), ["_h", value], "_n").cache()
+        low, high = 1, n
+        while low < high:
+            mid = (low + high) // 2
+            d = two_sample_ks(placed.where(F.col("_n") < mid), rows, value).first()
+            low, high = (low, mid) if d and ks_p(d.d, d.n1, d.n2) > sure else (mid + 1, high)
+        placed.unpersist()
+        worst = max(worst, low)
+    return worst
+
+
+def growing_sample(rows: DataFrame, key: str, value: str, sizes: list[int], seed: int = 1) -> list[tuple[int, float]]:
+    """(size, p) of the rank-sum test between the first `size` rows of a seeded order and the rest of the next as many."""
+    placed = numbered(rows.select(value, F.xxhash64(key, F.lit(seed)).alias("_h")), ["_h", value], "_n").cache()
+    out = []
+    for size in sizes:
+        one = wilcoxon(placed.where(F.col("_n") < 2 * size), value, F.col("_n") < size).first()
+        out.append((size, one.p))
+    return out

@@ -107,3 +107,48 @@ def test_stream_filter(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.name for r in spark.table("kept").collect()) == ["a", "d"]
+
+
+@pytest.mark.parametrize("smiles,deep", [("CC(C)C", "CCC)C"), ("c1ccccc1", "cccccc6"), ("CC(=O)Oc1ccccc1", "CC=O)Occcccc6"), ("C1CC1C(F)(Cl)Br", "CCC3CF)Cl)Br"), ("O=C", "O=C")])
+def test_deep_smiles(smiles, deep):
+    assert chem.deep(smiles) == deep
+    a, b = chem.parse(smiles), chem.parse(chem.undeep(deep))
+    assert sorted(chem.pi_types(a)) == sorted(chem.pi_types(b))
+
+
+def test_formula_numbers():
+    assert chem.formula_number("C6H12O6") == 3**6 * 2**12 * 5**6 and chem.number_formula(chem.formula_number("CH3CH2OH")) == "C2H6O"
+    with pytest.raises(ValueError):
+        chem.number_formula(10007)
+
+
+def test_linkers_and_torsions():
+    m = chem.parse("c1ccccc1CCOCCOCCOc1ccccc1")
+    assert sum(a.symbol == "O" for a in chem.peg_free(m).atoms) == 0 and len(chem.peg_free(chem.parse("CCO")).atoms) == 3
+    regular, terminal = chem.torsions(chem.parse("CC(O)c1ccccc1"))
+    assert len(regular) == 1 and len(terminal) == 2
+
+
+def test_molecule_operators(spark):
+    from bagforge.operators import molecules
+
+    mols = spark.createDataFrame([(0, "a", "[Na+].CCCCOC(=O)c1ccccc1CCCCN"), (1, "b", "C("), (2, "c", "CCO")], "idx long, name string, smiles string")
+    got = {r.name: r for r in molecules.desalted(mols).collect()}
+    assert got["a"].smiles.count("Na") == 0 and got["b"].error and got["c"].smiles == "CCO"
+    good = mols.where("name != 'b'")
+    assert molecules.randomised(good, 3, 1).count() == 6
+    f = molecules.fragmented(good, 1234, passes=2, weight=60.0).cache()
+    assert f.count() > 2 and molecules.assembled(f, 20, 5).count() > 0
+    anchors = f.select("name", F.explode("anchors").alias("x")).select("name", "x.src", "x.dst")
+    assert molecules.compatible(anchors).count() > 0
+    assert molecules.circular(good).groupBy("mol_id").agg(F.sum("cnt").alias("n")).where("mol_id = 2").first().n == 9
+    with pytest.raises(NotImplementedError):
+        molecules.canonical(good)
+    el = spark.createDataFrame([({"C": 2, "H": 6, "O": 1},), ({"Ga": 100},)], "e map<string,int>")
+    assert [r.g for r in el.select(encode.godel(F.col("e"), chem.PRIMES).alias("g")).collect()] == [9 * 64 * 5, None]
+
+
+def test_published_types_file(spark, tmp_path):
+    (tmp_path / "t.types").write_text("#atoms:2 methanol\n0 C1\n1 O1\n#bonds:1\n0 1\n#diameter:1\n0 1\n1 0\n")
+    t = records.types(spark, str(tmp_path / "t.types"))
+    assert {(r.feat, r.cnt) for r in encode.environments(t, [0, 1]).collect()} == {("0_C1:1", 1), ("0_O1:1", 1), ("0_C1:1;1_O1:1", 1), ("0_O1:1;1_C1:1", 1)}
