@@ -535,3 +535,129 @@ def gaussian_process(spark: SparkSession, d: str) -> DataFrame:
     value = table(spark, d, "supplier").select(F.col("s_suppkey").alias("mol_id"), F.col("s_acctbal").alias("label"))
     rows = bags.pack(fp).join(value, "mol_id").select("mol_id", F.transform(B.dense(F.col("bag"), 60), lambda c: c.cast("double")).alias("counts"), "label")
     return learn.gaussian_process_folds(tables.folds(rows, "mol_id", 5), 2000)
+
+
+# ---- more of the inventory ----------------------------------------------------------------------------------------
+
+_ATOMS = "a AS (SELECT s_nationkey AS mol_id, s_suppkey AS atom, [1, 6, 7, 8][1 + s_suppkey % 4] AS anum, s_acctbal / 1000 AS x, (s_suppkey % 7)::DOUBLE AS y, (s_suppkey % 5)::DOUBLE AS z FROM supplier)"
+
+
+def supplier_atoms(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as atoms of their nations, in an invented space."""
+    k = F.col("s_suppkey")
+    anum = F.element_at(F.array(*[F.lit(x) for x in (1, 6, 7, 8)]), (1 + k % 4).cast("int"))
+    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("mol_id"), k.alias("atom"), anum.alias("anum"), (F.col("s_acctbal") / 1000).alias("x"), (k % 7).cast("double").alias("y"), (k % 5).cast("double").alias("z"))
+
+
+@query(f"""WITH {_ATOMS}, p AS (SELECT a.mol_id, a.atom, b.anum, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z)) / 0.5 AS t FROM a JOIN a b ON a.mol_id = b.mol_id AND a.atom <> b.atom),
+w AS (SELECT mol_id, atom, anum, floor(t) AS bin, 1 - (t - floor(t)) AS w FROM p WHERE t < 10 UNION ALL SELECT mol_id, atom, anum, floor(t) + 1, t - floor(t) FROM p WHERE t < 10)
+SELECT mol_id, atom, bin::BIGINT AS bin, list_position([1, 6, 7, 8], anum)::INT - 1 AS channel, round(sum(w), 6) AS w FROM w GROUP BY 1, 2, 3, 4""")
+def radial_layers(spark: SparkSession, d: str) -> DataFrame:
+    layers = encode.radial_layers(supplier_atoms(spark, d), 5.0, 0.5)
+    return layers.select("mol_id", "atom", "bin", F.col("channel").cast("int").alias("channel"), F.round("w", 6).alias("w"))
+
+
+@query()
+def angular_layers(spark: SparkSession, d: str) -> DataFrame:
+    return encode.angular_layers(supplier_atoms(spark, d), 5.0, 0.2)
+
+
+@query(f"WITH {_ATOMS} SELECT a.mol_id, round(max(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z))), 6) AS diameter FROM a JOIN a b ON a.mol_id = b.mol_id GROUP BY 1")
+def space_diameters(spark: SparkSession, d: str) -> DataFrame:
+    return encode.diameters(supplier_atoms(spark, d)).select("mol_id", F.round("diameter", 6).alias("diameter"))
+
+
+@query(f"""WITH {ORDER_PART}, {SIZES.format('op')}, {OVERLAPS.format('op', '<>')}, m AS (SELECT a_id, min_by(b_id, (1 - i / (sa + sb - i), b_id)) AS nn_id, min(1 - i / (sa + sb - i)) AS dist FROM p GROUP BY 1)
+SELECT s.mol_id AS a_id, nn_id, o_orderpriority AS smiles, round(1 - coalesce(dist, 1), 6) AS tani, o_totalprice AS value FROM s LEFT JOIN m ON a_id = s.mol_id LEFT JOIN orders ON o_orderkey = nn_id""")
+def finder(spark: SparkSession, d: str) -> DataFrame:
+    """Each order's nearest order with what is known of it."""
+    op = order_parts(spark, d)
+    known = table(spark, d, "orders").select(F.col("o_orderkey").alias("mol_id"), F.col("o_orderpriority").alias("smiles"), F.col("o_totalprice").alias("value"))
+    return tables.finder(op, op, known, similarity.nearest(op, op, same=True)).withColumn("tani", F.round("tani", 6))
+
+
+@query("""WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders WHERE o_orderstatus IN ('F', 'O')), n AS (SELECT floor((o_totalprice - lo) / ((hi - lo) / 20))::INT AS bin, sum((o_orderstatus = 'F')::INT) AS f, sum((o_orderstatus = 'O')::INT) AS o FROM orders, b WHERE o_orderstatus IN ('F', 'O') GROUP BY 1)
+SELECT i::INT AS bin, round(coalesce(f, 0) / sum(f) OVER (), 6) AS fa, round(coalesce(o, 0) / sum(o) OVER (), 6) AS fb FROM generate_series(0, 20) g(i) LEFT JOIN n ON bin = i""")
+def two_sample_histogram(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    both = statistics.two_sample_histogram(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "o_totalprice", 20)
+    return both.select("bin", F.round("fa", 6).alias("fa"), F.round("fb", 6).alias("fb"))
+
+
+@query("SELECT event_id, try_cast(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events WHERE try_cast(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) IS NOT NULL")
+def tolerant_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Event properties that read as numbers; the others are the second part."""
+    from ..sources.records import tolerant
+
+    rows = table(spark, d, "events").select("event_id", F.regexp_extract("props", "([0-9]+)", 1).alias("k"))
+    return tolerant(rows, "k", "bigint")[0]
+
+
+@query("SELECT p_partkey AS line_no, p_brand AS \"BRAND\", p_size::VARCHAR AS \"SIZE\" FROM part")
+def record_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of records written in the manner of structure files."""
+    from ..sources.records import sdf_tags
+
+    text = F.concat(F.col("p_name"), F.lit("\n\n\n  0  0\nM  END\n>  <BRAND>\n"), F.col("p_brand"), F.lit("\n\n> <SIZE>\n"), F.col("p_size").cast("string"), F.lit("\n\n"))
+    return sdf_tags(table(spark, d, "part").select(F.col("p_partkey").alias("line_no"), text.alias("value")), ["BRAND", "SIZE"])
+
+
+@query("SELECT count(DISTINCT text) AS n FROM documents")
+def uniq_count(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").agg(F.count_distinct("text").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('methanol', 240::DECIMAL(38,0)), ('ethanol', 2880::DECIMAL(38,0))) v(name, number)")
+def formula_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of formulas as products of primes."""
+    from ..functions.chem import PRIMES
+
+    counts = spark.createDataFrame([("methanol", {"C": 1, "H": 4, "O": 1}), ("ethanol", {"C": 2, "H": 6, "O": 1})], "name string, e map<string,int>")
+    return counts.select("name", encode.godel(F.col("e"), PRIMES).alias("number"))
+
+
+@query("SELECT * FROM (VALUES ('methanol', 0), ('ethanol', 0), ('mol_1', 5), ('caffeine', 9)) v(name, atoms)")
+def scaffolds(spark: SparkSession, d: str) -> DataFrame:
+    """Atoms of the generic scaffolds; their text is not canonical."""
+    from ..operators import molecules as M
+
+    return M.scaffolds(molecules(spark)).select("name", F.regexp_count("smiles", F.lit("C")).alias("atoms"))
+
+
+@query("SELECT * FROM (VALUES ('methanol', 1), ('ethanol', 2), ('mol_1', 4), ('caffeine', 4)) v(name, n)")
+def fluorine_scan(spark: SparkSession, d: str) -> DataFrame:
+    """How many different fluorinated molecules each molecule gives."""
+    from ..functions import chem
+
+    made = encode.generate(molecules(spark), chem.fluorine_scan)
+    return made.groupBy(F.regexp_extract("name", r"^(.*)_\d+$", 1).alias("name")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query()
+def fragments(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import molecules as M
+
+    return M.fragmented(molecules(spark), 1234, passes=3, weight=40.0).select("idx", "name", "smiles")
+
+
+@query()
+def assembled(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import molecules as M
+
+    return M.assembled(M.fragmented(molecules(spark), 1234, passes=3, weight=40.0), 50, 99)
+
+
+@query()
+def circular_nearest(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import molecules as M
+
+    fp = M.circular(molecules(spark))
+    return similarity.nearest(fp, fp, same=True)
+
+
+@query()
+def elastic_net(spark: SparkSession, d: str) -> DataFrame:
+    """Customer balances predicted from brand counts by an elastic net."""
+    value = table(spark, d, "customer").select(F.col("c_custkey").alias("mol_id"), F.col("c_acctbal").alias("value"))
+    rows = learn.vectors(customer_brands(spark, d), value, 60)
+    return learn.elastic_net(rows).transform(rows).select("mol_id", "label", "prediction")
