@@ -67,10 +67,22 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in fn(batches):
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type, from_pandas=False) for f in want], schema=want)
+        give_back()
 
     return df.mapInArrow(run, like)
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the system: workers live on from task to task and share an executor's memory."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def decide(df: DataFrame, fn: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """Rows of df that fn, which sees its batches, keeps (a boolean each); every column passes through, nothing is joined."""
 
@@ -78,11 +90,12 @@ def decide(df: DataFrame, fn: Callable[[pa.RecordBatch], list]) -> DataFrame:
         for b in small(batches):
             if b.num_rows:
                 yield b.filter(pa.array(fn(b), pa.bool_()))
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 
 
-def small(batches: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def small(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches cut to a row count that keeps a worker's Python objects few."""
     for b in batches:
         for i in range(0, b.num_rows, rows):

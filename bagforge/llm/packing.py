@@ -29,7 +29,7 @@ class ByteTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path, slow = path, Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = None
@@ -39,11 +39,18 @@ class ByteTokenizer:
             chars = _byte_chars()
             ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
             fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-            if all(fast.encode_ordinary(p) == self.slow.encode(p, add_special_tokens=False).ids for p in _PROBES):
+            if all(fast.encode_ordinary(p) == slow.encode(p, add_special_tokens=False).ids for p in _PROBES):
                 self.fast = fast.encode_ordinary
         except (ImportError, KeyError, ValueError):
             pass
 
+    @functools.cached_property
+    def slow(self):
+        """The library's own tokenizer, loaded again if a text needs it: a worker rarely keeps both."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> list[int]:
         if self.fast and not any(s in text for s in self.special):
             return self.fast(text)

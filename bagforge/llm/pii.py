@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, read, small, thinned
+from .common import documents, give_back, map_rows, read, small, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 OUT = len(KINDS)  # the label of all other tokens
@@ -328,6 +328,7 @@ def redact(docs: DataFrame, tag: str = "pii") -> DataFrame:
                 changed = b.schema.get_field_index("n_chars")
                 columns[changed] = pa.array([old if t == c or c is None else len(c) for old, t, c in zip(columns[changed].to_pylist(), texts, clean)], b.schema.field(changed).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
