@@ -24,8 +24,8 @@ SHARED_DISCOUNT = 0.75
 SAMPLE = 20_000
 #: Words of a window whose likelihoods are compared.
 WINDOW = 2
-#: A worker's memo of word scores is emptied beyond this many words.
-MEMO = 400_000
+#: Words whose letters are looked up at once.
+TOGETHER = 20_000
 #: What the logistic weights' features are scaled by.
 SCALES = (1.0, 1.0, 0.5)
 #: Leading bits of a hash that index the tables of ratios.
@@ -51,14 +51,17 @@ def hashed_grams(words: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndar
     at = np.arange(1, len(code))
     letters = np.minimum(at - np.repeat(first, sizes) + 1, ORDER)
     whole, context = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    factor = np.uint64(1)
+    code, factor = np.append(np.zeros(ORDER, np.uint64), code), np.uint64(1)
     with np.errstate(over="ignore"):
-        for back in range(ORDER):
-            on = letters > back
-            whole[on] += code[at[on] - back] * factor
+        for back in range(ORDER):  # the letter that many places before, where the gram still has one
+            term = code[ORDER + 1 - back : ORDER + 1 - back + len(at)] * factor
+            if back > 1:
+                term *= letters > back
+            whole += term
             if back:
-                context[on] += code[at[on] - back] * factor * np.uint64(0xD6E8FEB86659FD93)
+                context += term
             factor *= np.uint64(0x100000001B3)
+        context *= np.uint64(0xD6E8FEB86659FD93)
     return joined, at, letters, whole, context, first
 
 
@@ -102,9 +105,12 @@ class Ratio:
     """
 
     def __init__(self, own: tuple, rest: tuple):
-        self.own, self.rest, self.memo = own, rest, {}
+        self.own, self.rest = own, rest
 
-    def words(self, words: list[str]) -> np.ndarray:
+    def words(self, words: list[str]) -> list[float]:
+        return [x for i in range(0, len(words), TOGETHER) for x in self._words(words[i : i + TOGETHER]).tolist()]
+
+    def _words(self, words: list[str]) -> np.ndarray:
         _, _, _, whole, context, first = hashed_grams(words)
         x = _look_up(self.own, whole)
         others = np.flatnonzero(np.isnan(x))
@@ -112,21 +118,17 @@ class Ratio:
         return np.add.reduceat(x, first)
 
     def batch(self, texts: list[str | None]) -> list[tuple[float, float, float]]:
-        """features() of each text; new words of all of them are scored together."""
+        """features() of each text; the words of all of them are scored together, each once."""
         split = [(t or "").lower().split() for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list(set().union(*split).difference(memo)) if split else []
-        if new:
-            memo.update(zip(new, self.words(new).tolist()))
-        return [self.features(words, len(t or "")) for words, t in zip(split, texts)]
-
-    def features(self, words: list[str], size: int) -> tuple[float, float, float]:
+        words = list(set().union(*split))
+        scores = dict(zip(words, self.words(words)))
+        return [self.features(w, scores, len(t or "")) for w, t in zip(split, texts)]
+
+    def features(self, words: list[str], scores: dict[str, float], size: int) -> tuple[float, float, float]:
         """Mean ratio a letter of the text, best mean of WINDOW words, best word; all 0 without words."""
         if not words:
             return 0.0, 0.0, 0.0
-        x = np.fromiter(map(self.memo.__getitem__, words), np.float64, len(words))
+        x = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
         sums = np.cumsum(np.append(0.0, x))
         best = float((sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW) if len(x) >= WINDOW else float(x.sum()) / WINDOW
         return float(x.sum()) / (size + 1), best, float(x.max())
@@ -136,7 +138,7 @@ def _words(docs: DataFrame, by: list[str]) -> DataFrame:
     """(*by, word, n): each task's own counts, summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
-        for b in batches:
+        for b in small(batches):
             seen: dict[tuple, Counter] = {}
             keys = list(zip(*(b.column(i).to_pylist() for i in range(1, b.num_columns)))) or [()] * b.num_rows
             for key, text in zip(keys, b.column(0)):
@@ -186,7 +188,7 @@ def _continuations(docs: DataFrame, tag: str) -> list[DataFrame]:
         for b in small(batches):
             for text in b.column(0):
                 words.update((text.as_py() or "").lower().split())
-            if len(words) > 100_000:
+            if len(words) > 2 * TOGETHER:
                 yield new()
         yield new()
 
