@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,8 +24,13 @@ def tanimoto_of(shared: Column, size_a: Column, size_b: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(shared.cast("double") / whole)
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def tanimoto(a: Column, b: Column) -> Column:
-    return tanimoto_of(common(a, b), size(a), size(b))
+    return once(common(a, b), lambda i: tanimoto_of(i, size(a), size(b)))
 
 
 def parse(text: Column) -> Column:
