@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _DIR = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes that Spark hands to a Python worker at a time.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,8 +61,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of bytes in an Arrow batch to BATCH_BYTES, so that long texts arrive few at a time."""
+    n, unit = re.fullmatch(r"(-?\d+)([bkmgtp]?)b?", spark.conf.get(_BATCH, "64m").lower()).groups()
+    now = int(n) * 1024 ** "bkmgtp".index(unit or "b")
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]]) -> DataFrame:
     """mapInArrow for a function that yields dictionaries of columns (lists or arrays)."""
+    bound_batches(df.sparkSession)
     like = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -86,6 +99,8 @@ def give_back() -> None:
 def decide(df: DataFrame, fn: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """Rows of df that fn, which sees its batches, keeps (a boolean each); every column passes through, nothing is joined."""
 
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             if b.num_rows:

@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, give_back, map_rows, read, small, thinned
+from .common import bound_batches, documents, give_back, map_rows, read, small, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 OUT = len(KINDS)  # the label of all other tokens
@@ -305,6 +305,7 @@ def find_personal_data(docs: DataFrame, tag: str = "pii") -> DataFrame:
 
 def redact(docs: DataFrame, tag: str = "pii") -> DataFrame:
     """docs with every span of personal data in text replaced by <KIND>, and n_chars recounted where there is one."""
+    bound_batches(docs.sparkSession)
     weights = learn(documents(docs), tag)
     names = docs.columns
     at = names.index("text")
