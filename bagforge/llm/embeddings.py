@@ -21,7 +21,7 @@ MISS = 1e-9
 
 def plan_tables(threshold: float, rows_per_label: int) -> tuple[int, int]:
     """(bits, tables): bits so that unrelated rows rarely meet, then tables until a pair at the threshold is missed with probability MISS."""
-    bits = max(6, min(24, math.ceil(math.log2(max(2, rows_per_label))) - 2))
+    bits = max(6, min(24, math.ceil(math.log2(max(2, rows_per_label))) + 2))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(MISS) / math.log(1 - same))
 
@@ -42,7 +42,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(flat.flatten()).reshape(rows, -1)
+    return np.asarray(flat.flatten(), float).reshape(rows, -1)
 
 
 def embedding_groups(vectors: DataFrame, threshold: float = 0.98, tag: str = "embeddings") -> DataFrame:
@@ -54,9 +54,10 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, tag: str = "em
     vector is compared once. n_links comes from counts made in each pair of blocks, a pair counted only in the
     first table where it meets; no pairs leave a block. Extra columns are not used; an empty table gives none.
     """
-    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
-    finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    squares = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"  # as compact as it came
+    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"), F.col("label").cast("string").alias("label"))
+    finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
+    squares = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & (squares > 0) & (squares < F.lit(float("inf"))), F.lit(False))
     own = scratch(x.select("vec_id", "label", F.when(usable, F.col("v")).alias("v")), tag)
     key = F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256)  # -0.0 and 0.0 differ here and meet again as neighbours
