@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, decide, documents, map_rows, read, scratch, small, split_of
+from .common import bounded_sample, decide, documents, give_back, map_rows, read, scratch, small, split_of
 
 #: Letters of context and predicted letter; words are padded with one boundary on each side.
 ORDER = 6
@@ -220,25 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, tag: str = "toxicity") -> tuple[Broa
     kept = counts.where((F.col("n0") > DISCOUNT) | (F.col("n1") > DISCOUNT))
     left = counts.groupBy(context).agg(*(f(c).alias(a) for c in ("n0", "n1") for f, a in ((F.sum, f"m{c[1]}"), (lambda x: F.sum(F.greatest(F.col(x) - DISCOUNT, F.lit(0))), f"k{c[1]}")))).where("k0 > 0 or k1 > 0")
     own, ctx = kept.toPandas(), left.toPandas()
-    need = {g[1:] if len(g) > 1 else g for g in own.gram}
-    need = {s[i:] for s in need for i in range(len(s))}
-    levels = _continuations(docs, tag)
-    heads = spark.createDataFrame([(h,) for h in sorted({s[:-1] for s in need})] or [("",)], "ctx string")
-    shared: list[tuple[dict, dict]] = []
-    for table in levels:
-        of = table.withColumn("ctx", F.expr("left(gram, length(gram) - 1)")).join(F.broadcast(heads), "ctx")
-        sums = {r.ctx: (r.n, r.t) for r in of.groupBy("ctx").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("t")).collect()}
-        grams_needed = spark.createDataFrame([(s,) for s in sorted(need)] or [("",)], "gram string")
-        shared.append(({r.gram: r.c for r in of.select("gram", "c").join(F.broadcast(grams_needed), "gram").collect()}, sums))
-
-    def backoff(s: str) -> float:
-        p = 1 / 65536
-        for i in range(len(s) - 1, -1, -1):
-            c, sums = shared[ORDER - 1 - (len(s) - i)]
-            n, types = sums.get(s[i:-1], (0, 0))
-            if n:
-                p = (max(c.get(s[i:], 0) - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * types * p) / n
-        return p
+    backoff = _backoff({g[1:] or g for g in own.gram}, _continuations(docs, tag))
 
     about = {r.ctx: (r.m0 or 0, r.k0, r.m1 or 0, r.k1) for r in ctx.itertuples()}
     free = {h: (1 - k0 / m0 if m0 else 1.0, 1 - k1 / m1 if m1 else 1.0) for h, (m0, k0, m1, k1) in about.items()}
@@ -246,15 +228,39 @@ def fit(docs: DataFrame, labels: DataFrame, tag: str = "toxicity") -> tuple[Broa
     for g, n0, n1 in zip(own.gram, own.n0, own.n1):
         m0, _, m1, _ = about[g[:-1]]
         f0, f1 = free[g[:-1]]
-        b = backoff(g[1:] if len(g) > 1 else g)
+        b = backoff[g[1:] or g]
         p0, p1 = (max(n - DISCOUNT, 0) / m + f * b if m else b for n, m, f in ((n0, m0, f0), (n1, m1, f1)))
         ratio[g] = math.log(p1 / p0)
     model = spark.sparkContext.broadcast((_table(ratio, False), _table({h: math.log(f1 / f0) for h, (f0, f1) in free.items()}, True)))
 
+    del own, ctx, about, free, ratio, backoff
+    give_back()
     held = features(sample.where("part = 3").select("text", "toxic"), model, ["toxic int"]).toPandas()
     return model, logistic(held[["f0", "f1", "f2"]].to_numpy(), held.toxic.to_numpy())
 
 
+def _backoff(grams: set[str], levels: list[DataFrame]) -> dict[str, float]:
+    """Shared probability of each gram's last letter, by continuation counts discounted from the shortest context up.
+
+    One order at a time is on the driver, and of it only suffixes of the grams asked for.
+    """
+    out, lower = {}, {}
+    for k, table in zip(range(1, ORDER), reversed(levels)):
+        want = pa.table({"gram": sorted({g[-k:] for g in grams if len(g) >= k})}, schema=pa.schema([("gram", pa.string())]))
+        context = F.expr("left(gram, length(gram) - 1)")
+        asked = table.sparkSession.createDataFrame(want).withColumn("ctx", context)
+        there = table.where(F.length("gram") == k).withColumn("ctx", context)
+        sums = there.join(F.broadcast(asked.select("ctx").distinct()), "ctx").groupBy("ctx").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("types"))
+        found = asked.join(there.join(F.broadcast(asked.select("gram")), "gram").select("gram", "c"), "gram", "left").join(sums, "ctx", "left").select("gram", "c", "n", "types").na.fill(0).toPandas()
+        now = {}
+        for g, c, n, types in zip(found.gram, found.c, found.n, found.types):
+            p = lower.get(g[1:], 1 / 65536)
+            now[g] = (max(c - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * types * p) / n if n else p
+        out |= {g: now[g] for g in grams if len(g) == k}
+        lower = now
+    return out
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Ridge logistic weights, bias last, by Newton's method; rows without any label give a low constant score."""
     x = np.column_stack([x * SCALES, np.ones(len(x))])
