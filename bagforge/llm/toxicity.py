@@ -205,7 +205,8 @@ def _continuations(docs: DataFrame, tag: str) -> list[DataFrame]:
 def fit(docs: DataFrame, labels: DataFrame, tag: str = "toxicity") -> tuple[Broadcast, np.ndarray]:
     """(ratio model, logistic weights) from labels(doc_id, toxic) of rows whose split is not 2.
 
-    At most SAMPLE rows of each class count; those of split 3 only calibrate. The shared backoff counts come from all
+    At most SAMPLE rows of each class count; those of split 3 only calibrate, each with the weight of the labelled rows
+    of its class that it stands for, so that the scores keep the classes' real shares. The shared backoff counts come from all
     of docs. What the driver holds is bounded by the sample: grams that a class of it counted over DISCOUNT times.
     """
     spark = docs.sparkSession
@@ -213,6 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, tag: str = "toxicity") -> tuple[Broa
     total = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     picked = [bounded_sample(marks.where(F.col("toxic") == y), SAMPLE, total.get(y, 0), "doc_id") for y in (0, 1)]
     chosen = scratch(picked[0].union(picked[1]), tag)
+    stands_for = {r.toxic: total[r.toxic] / r["count"] for r in chosen.groupBy("toxic").count().collect()}
     sample = scratch(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", split_of("doc_id")), tag)
 
     counts = scratch(_class_grams(sample.where("part != 3")), tag)
@@ -236,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, tag: str = "toxicity") -> tuple[Broa
     del own, ctx, about, free, ratio, backoff
     give_back()
     held = features(sample.where("part = 3").select("text", "toxic"), model, ["toxic int"]).toPandas()
-    return model, logistic(held[["f0", "f1", "f2"]].to_numpy(), held.toxic.to_numpy())
+    return model, logistic(held[["f0", "f1", "f2"]].to_numpy(), held.toxic.to_numpy(), weight=held.toxic.map(stands_for).to_numpy(float))
 
 
 def _backoff(grams: set[str], levels: list[DataFrame]) -> dict[str, float]:
@@ -261,18 +263,27 @@ def _backoff(grams: set[str], levels: list[DataFrame]) -> dict[str, float]:
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Ridge logistic weights, bias last, by Newton's method; rows without any label give a low constant score."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, weight: np.ndarray | None = None) -> np.ndarray:
+    """Ridge logistic weights, bias last, by Newton's method; a row counts `weight` times; without rows the score is low and constant."""
+    weight = np.ones(len(x)) if weight is None else weight
     x = np.column_stack([x * SCALES, np.ones(len(x))])
     w = np.array([0.0, 0.5, 0.25, -5.0])
     prior = w.copy()
-    for _ in range(25):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(weight @ (np.logaddexp(0, z) - y * z) + ridge * ((w - prior) ** 2).sum() / 2)
+
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * (w - prior)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(4), grad)
-        w -= step
+        grad = x.T @ (weight * (p - y)) + ridge * (w - prior)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(4), grad)
+        while (after := loss(w - step)) > now and np.abs(step).max() >= 1e-6:  # a whole step can overshoot
+            step = step / 2
         if np.abs(step).max() < 1e-6:
             break
+        w, now = w - step, after
     return w
 
 

@@ -471,3 +471,17 @@ def test_toxicity(spark, docs, empty):
     assert len(odd) == docs.count() and all(0 <= r.score <= 1 for r in odd)
     assert toxicity.score(empty, labels).count() == 0
     assert all(r.predicted == 0 for r in toxicity.score(df.limit(30), labels.limit(0)).collect())
+
+
+def test_toxicity_keeps_class_shares_beyond_the_sample(spark, monkeypatch):
+    """Texts that tell nothing score the share of toxic rows, also where the sample takes as many of either class."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(8)), int(rng.random() < 0.1)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", 200)
+    got = toxicity.score(df.select("doc_id", "text"), df.select("doc_id", "toxic")).toPandas()
+    print("SHARE", got.score.mean(), got.predicted.mean())
+    assert 0.05 < got.score.mean() < 0.2 and got.predicted.mean() < 0.05
+    x = np.random.default_rng(1).standard_normal((400, 3))
+    y = (x[:, 0] > 1).astype(float)
+    assert np.allclose(toxicity.logistic(x, y, weight=1 + y), toxicity.logistic(np.vstack([x, x[y > 0]]), np.append(y, y[y > 0])), atol=1e-4)
