@@ -25,7 +25,7 @@ TOGETHER = 64
 INDEX_BYTES = 32_000_000
 #: Share of an item's own BM25 score at which a passage is retrieved.
 RETRIEVE = 0.6
-#: Share of the question's and of the answer's words that common runs of SHINGLE words must cover.
+#: Share of the question's and of the answer's words that common runs of SHINGLE words, or the whole part, must cover.
 OVERLAP, SHINGLE = 0.6, 5
 _WORD_BYTES = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -137,6 +137,11 @@ class Index:
         for i in range(len(w) - size + 1):
             if tuple(w[i : i + size]) in there:
                 hit[i : i + size] = True
+        if len(w) >= SHINGLE:  # a part too short for such a run counts where it stands whole, anywhere in the passage
+            for first, end in ((0, answer), (answer, len(w))):
+                size = end - first
+                if 0 < size < SHINGLE and any(passage[i : i + size] == w[first:end] for i in range(len(passage) - size + 1)):
+                    hit[first:end] = True
         return float(hit[:answer].mean()) if answer else 1.0, float(hit[answer:].mean())
 
     def search(self, text: str | None, least: float, overlap: float) -> dict[int, float]:
@@ -181,7 +186,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, least: float = RETRIEVE, ov
     """(doc_id, n_items, item_ids, best_share, contaminated) for every row of docs(doc_id, text, ...).
 
     items(item_id, text) make the index. A document is contaminated if one of its passages reaches `least` of an
-    item's own BM25 score and common runs of five words cover `overlap` of the item's question and of its answer.
+    item's own BM25 score and common runs of five words cover `overlap` of the item's question and of its answer; a
+    question or answer of fewer than five words is also covered where it stands whole anywhere in the passage.
     Null and empty texts, and items without words or an id, match nothing; an item of fewer than five words must occur whole.
     Repeated rows keep a row each; other columns are not used; empty tables give no rows, or no hits.
     """

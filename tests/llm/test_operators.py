@@ -371,6 +371,18 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.decontaminate(empty, bench).count() == 0
 
 
+def test_short_answers_apart_from_their_question():
+    item = "Which river flows through the old town of Bern in Switzerland?\nAare"
+    q, noise = item.split("\n")[0], "some words that no item has " * 3
+    ix = decontaminate.Index([(1, item), (2, "What is the third planet counted from the sun outwards? the blue Earth"), (3, "why? because the sky scatters the short blue waves of light")])
+    find = lambda text: set(ix.search(text, decontaminate.RETRIEVE, decontaminate.OVERLAP))
+    assert find(f"{noise}{q} Answer: Aare. {noise}") == {1} and find(f"Aare, they said. {q}") == {1} and find(f"{q} (a) Rhine (b) Aare") == {1}
+    assert find(f"{noise}{q} {noise}") == set() and find(f"{q} Rhine") == set()
+    assert find("What is the third planet counted from the sun outwards? Answer: the blue Earth") == {2}
+    assert find("What is the third planet counted from the sun outwards? the Earth is blue") == set()
+    assert find("Why, one asks, because the sky scatters the short blue waves of light") == {3}
+
+
 # ---- 8
 
 
