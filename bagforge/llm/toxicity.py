@@ -16,8 +16,8 @@ from .common import bounded_sample, decide, documents, give_back, map_rows, read
 
 #: Letters of context and predicted letter; words are padded with one boundary on each side.
 ORDER = 6
-#: Discount of the class counts: counts up to it leave all their mass to the shared backoff.
-DISCOUNT = 3
+#: Discount of the class counts; below 1, so that a gram seen once keeps a count.
+DISCOUNT = 0.75
 #: Discount of the shared continuation counts.
 SHARED_DISCOUNT = 0.75
 #: Labelled rows of each class, by a hash of doc_id, that the classifier is fitted on at most.
@@ -28,8 +28,10 @@ WINDOW = 2
 TOGETHER = 20_000
 #: What the logistic weights' features are scaled by.
 SCALES = (1.0, 1.0, 0.5)
-#: Leading bits of a hash that index the tables of ratios.
+#: Leading bits of a hash that index the tables of ratios, at least.
 TOP = 18
+#: Probability of a letter without any count.
+UNSEEN = 1 / 65536
 _EDGE = "\x02"
 _ALL = (1 << 64) - 1
 
@@ -65,32 +67,39 @@ def hashed_grams(words: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndar
     return joined, at, letters, whole, context, first
 
 
+def _hash(key: str, context: bool) -> int:
+    """A gram's hash, or a context's, as hashed_grams gives it."""
+    factor, x = 1, 0
+    for back, c in enumerate(reversed(key + " " if context else key)):
+        code = (ord(c) + 1) * 0x9E3779B97F4A7C15 & _ALL
+        code ^= code >> 29
+        if not context:
+            x += code * factor
+        elif back:
+            x += code * factor * 0xD6E8FEB86659FD93
+        factor = factor * 0x100000001B3 & _ALL
+    return x & _ALL
+
+
 def _table(values: dict[str, float], context: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Hashes and values of grams, or of contexts, as hashed_grams gives them: sorted, with the first place of each top TOP bits and the most that share them."""
-    keys = list(values)
-    h = np.zeros(len(keys), np.uint64)
-    for i, k in enumerate(keys):
-        factor, x = 1, 0
-        for back, c in enumerate(reversed(k + " " if context else k)):
-            code = (ord(c) + 1) * 0x9E3779B97F4A7C15 & _ALL
-            code ^= code >> 29
-            if not context:
-                x += code * factor
-            elif back:
-                x += code * factor * 0xD6E8FEB86659FD93
-            factor = factor * 0x100000001B3 & _ALL
-        h[i] = x & _ALL
+    """_sorted() of grams, or of contexts."""
+    return _sorted(np.array([_hash(k, context) for k in values], np.uint64), np.array(list(values.values()), np.float64))
+
+
+def _sorted(h: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hashes and values: sorted, with the first place of each top bits and the most that share them."""
     order = np.argsort(h)
     h = h[order]
-    places = np.searchsorted(h, np.arange(1 << TOP, dtype=np.uint64) << np.uint64(64 - TOP)).astype(np.int32)
-    most = int(np.diff(np.append(places, len(h))).max()) if keys else 0
-    return np.append(h, np.zeros(most + 1, np.uint64)), np.append(np.array([values[k] for k in keys])[order], np.zeros(most + 1)), places, most
+    bits = max(TOP, len(h).bit_length())
+    places = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+    most = int(np.diff(np.append(places, len(h))).max()) if len(h) else 0
+    return np.append(h, np.zeros(most + 1, np.uint64)), np.append(values[order], np.zeros(most + 1)), places, most
 
 
 def _look_up(table: tuple[np.ndarray, np.ndarray, np.ndarray, int], h: np.ndarray) -> np.ndarray:
     """The value of each hash, nan for those that aren't there."""
     keys, values, places, most = table
-    at, out = places[h >> np.uint64(64 - TOP)], np.full(len(h), np.nan)
+    at, out = places[h >> np.uint64(64 - (len(places) - 1).bit_length())], np.full(len(h), np.nan)
     for step in range(most):
         hit = keys[at + step] == h
         out[hit] = values[at[hit] + step]
@@ -100,7 +109,7 @@ def _look_up(table: tuple[np.ndarray, np.ndarray, np.ndarray, int], h: np.ndarra
 class Ratio:
     """Log likelihood ratio (toxic over ordinary) of words.
 
-    A gram has a ratio of its own if a class kept counts of it; else its context's. All other grams come from the
+    A gram has a ratio of its own if a class counted it; else its context's. All other grams come from the
     shared backoff in both classes, so they have ratio 0.
     """
 
@@ -207,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, tag: str = "toxicity") -> tuple[Broa
 
     At most SAMPLE rows of each class count; those of split 3 only calibrate, each with the weight of the labelled rows
     of its class that it stands for, so that the scores keep the classes' real shares. The shared backoff counts come from all
-    of docs. What the driver holds is bounded by the sample: grams that a class of it counted over DISCOUNT times.
+    of docs. What the driver holds is bounded by the sample: 16 bytes, and a place, for each of its grams and contexts.
     """
     spark = docs.sparkSession
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(split_of("doc_id") != 2)
@@ -217,49 +226,49 @@ def fit(docs: DataFrame, labels: DataFrame, tag: str = "toxicity") -> tuple[Broa
     stands_for = {r.toxic: total[r.toxic] / r["count"] for r in chosen.groupBy("toxic").count().collect()}
     sample = scratch(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", split_of("doc_id")), tag)
 
-    counts = scratch(_class_grams(sample.where("part != 3")), tag)
     context = F.expr("left(gram, length(gram) - 1)").alias("ctx")
-    kept = counts.where((F.col("n0") > DISCOUNT) | (F.col("n1") > DISCOUNT))
-    left = counts.groupBy(context).agg(*(f(c).alias(a) for c in ("n0", "n1") for f, a in ((F.sum, f"m{c[1]}"), (lambda x: F.sum(F.greatest(F.col(x) - DISCOUNT, F.lit(0))), f"k{c[1]}")))).where("k0 > 0 or k1 > 0")
-    own, ctx = kept.toPandas(), left.toPandas()
-    backoff = _backoff({g[1:] or g for g in own.gram}, _continuations(docs, tag))
-
-    about = {r.ctx: (r.m0 or 0, r.k0, r.m1 or 0, r.k1) for r in ctx.itertuples()}
-    free = {h: (1 - k0 / m0 if m0 else 1.0, 1 - k1 / m1 if m1 else 1.0) for h, (m0, k0, m1, k1) in about.items()}
-    ratio = {}
-    for g, n0, n1 in zip(own.gram, own.n0, own.n1):
-        m0, _, m1, _ = about[g[:-1]]
-        f0, f1 = free[g[:-1]]
-        b = backoff[g[1:] or g]
-        p0, p1 = (max(n - DISCOUNT, 0) / m + f * b if m else b for n, m, f in ((n0, m0, f0), (n1, m1, f1)))
-        ratio[g] = math.log(p1 / p0)
-    model = spark.sparkContext.broadcast((_table(ratio, False), _table({h: math.log(f1 / f0) for h, (f0, f1) in free.items()}, True)))
-
-    del own, ctx, about, free, ratio, backoff
+    counts = scratch(_class_grams(sample.where("part != 3")).select("gram", context, "n0", "n1"), tag)
+    kept = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
+    sums = counts.groupBy("ctx").agg(*(x.alias(f"{a}{y}") for y in (0, 1) for a, x in (("m", F.sum(f"n{y}")), ("k", F.sum(kept(f"n{y}"))))))
+    free = (F.when(F.col(f"m{y}") > 0, 1 - F.col(f"k{y}") / F.col(f"m{y}")).otherwise(1.0).alias(f"f{y}") for y in (0, 1))
+    about = scratch(sums.select("ctx", "m0", "m1", *free), tag)
+    backoff = _backoff(_continuations(docs, tag), tag).withColumnRenamed("gram", "low")
+    both = counts.join(about, "ctx").withColumn("low", F.expr("substring(gram, 2)")).join(backoff, "low", "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
+    p = [F.when(F.col(f"m{y}") > 0, kept(f"n{y}") / F.col(f"m{y}") + F.col(f"f{y}") * F.col("p")).otherwise(F.col("p")) for y in (0, 1)]
+    own = _hashes(both.select("gram", F.log(p[1] / p[0]).alias("x")), False)
+    rest = _hashes(about.select("ctx", F.log(F.col("f1") / F.col("f0")).alias("x")), True)
+    model = spark.sparkContext.broadcast((own, rest))
+
+    del own, rest
     give_back()
     held = features(sample.where("part = 3").select("text", "toxic"), model, ["toxic int"]).toPandas()
     return model, logistic(held[["f0", "f1", "f2"]].to_numpy(), held.toxic.to_numpy(), weight=held.toxic.map(stands_for).to_numpy(float))
 
 
-def _backoff(grams: set[str], levels: list[DataFrame]) -> dict[str, float]:
-    """Shared probability of each gram's last letter, by continuation counts discounted from the shortest context up.
+def _hashes(ratios: DataFrame, context: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """_sorted() of (gram or context, x), hashed by the workers."""
 
-    One order at a time is on the driver, and of it only suffixes of the grams asked for.
-    """
-    out, lower = {}, {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
+        for b in batches:
+            yield {"h": np.array([_hash(k, context) for k in b.column(0).to_pylist()], np.uint64).view(np.int64), "x": b.column(1)}
+
+    found = map_rows(ratios, "h long, x double", run).toArrow()
+    return _sorted(found["h"].to_numpy().view(np.uint64), found["x"].to_numpy())
+
+
+def _backoff(levels: list[DataFrame], tag: str) -> DataFrame:
+    """(gram, p): shared probability of each gram's last letter, by continuation counts discounted from the shortest context up."""
+    lower, out = None, None
     for k, table in zip(range(1, ORDER), reversed(levels)):
-        want = pa.table({"gram": sorted({g[-k:] for g in grams if len(g) >= k})}, schema=pa.schema([("gram", pa.string())]))
-        context = F.expr("left(gram, length(gram) - 1)")
-        asked = table.sparkSession.createDataFrame(want).withColumn("ctx", context)
-        there = table.where(F.length("gram") == k).withColumn("ctx", context)
-        sums = there.join(F.broadcast(asked.select("ctx").distinct()), "ctx").groupBy("ctx").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("types"))
-        found = asked.join(there.join(F.broadcast(asked.select("gram")), "gram").select("gram", "c"), "gram", "left").join(sums, "ctx", "left").select("gram", "c", "n", "types").na.fill(0).toPandas()
-        now = {}
-        for g, c, n, types in zip(found.gram, found.c, found.n, found.types):
-            p = lower.get(g[1:], 1 / 65536)
-            now[g] = (max(c - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * types * p) / n if n else p
-        out |= {g: now[g] for g in grams if len(g) == k}
-        lower = now
+        there = table.where(F.length("gram") == k).withColumn("ctx", F.expr("left(gram, length(gram) - 1)"))
+        x = there.join(there.groupBy("ctx").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("types")), "ctx")
+        if lower is None:
+            x = x.withColumn("q", F.lit(UNSEEN))
+        else:
+            x = x.withColumn("low", F.expr("substring(gram, 2)")).join(lower.select(F.col("gram").alias("low"), F.col("p").alias("q")), "low", "left")
+        p = (F.greatest(F.col("c") - SHARED_DISCOUNT, F.lit(0.0)) + SHARED_DISCOUNT * F.col("types") * F.coalesce("q", F.lit(UNSEEN))) / F.col("n")
+        lower = scratch(x.select("gram", p.alias("p")), tag)
+        out = out.union(lower) if out else lower
     return out
 
 

@@ -497,3 +497,25 @@ def test_toxicity_keeps_class_shares_beyond_the_sample(spark, monkeypatch):
     x = np.random.default_rng(1).standard_normal((400, 3))
     y = (x[:, 0] > 1).astype(float)
     assert np.allclose(toxicity.logistic(x, y, weight=1 + y), toxicity.logistic(np.vstack([x, x[y > 0]]), np.append(y, y[y > 0])), atol=1e-4)
+
+
+def test_toxicity_by_rare_words(spark):
+    """Held-out texts whose one toxic word was seen one to three times in training, against ordinary words as rare."""
+    rng = random.Random(12)
+    made = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    ids: dict[bool, list[int]] = {True: [], False: []}
+    for i in range(20000):
+        ids[zlib.crc32(str(i).encode()) % 4 == 2].append(i)
+    train, held = iter(ids[False]), iter(ids[True])
+    rows, asked = [], []
+    for k in range(300):
+        word, bad = made(), int(k % 3 == 0)
+        for i in [next(train) for _ in range(1 + k % 4 % 3)] + [next(held)]:
+            rows.append((i, " ".join([*(f"w{rng.randrange(200)}" for _ in range(6)), word]), bad))
+        asked.append((i, bad))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    assert all(got[i].held_out for i, _ in asked)
+    found, wrong = (sum(got[i].predicted for i, bad in asked if bad == y) for y in (1, 0))
+    print("RARE", found, wrong)
+    assert found >= 60 and wrong <= 60
