@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -166,14 +168,45 @@ class Scanner:
                         if last + 1 >= size:
                             matches[k].append((first + i + 1, last + 1, size))
         for k, found in matches.items():
-            share, begin, end = self._chain(k, found)
-            if share >= COVERED:
-                out["spans"].append((self.labels[k], begin, end, share))
-            out["score"] = max(out["score"], share)
+            chains, best = self._chains(k, found)
+            out["spans"] += [(self.labels[k], begin, end, share) for share, begin, end in chains]
+            out["score"] = max(out["score"], best)
         return out
 
-    def _chain(self, k: int, found: list[tuple[int, int, int]]) -> tuple[float, int, int]:
-        """Most of sequence k that matches (text end, own end, length) cover in one order on both sides, gaps bounded."""
+    def _chains(self, k: int, found: list[tuple[int, int, int]]) -> tuple[list[tuple[float, int, int]], float]:
+        """The chains of sequence k that cover COVERED, best first and none over another, and the largest share of any chain."""
+        taken: list[tuple[float, int, int]] = []
+        most = 0.0
+        pieces = [found]
+        while pieces:
+            found = pieces.pop()
+            ends = self._chain(k, found)
+            most = max(most, max(share for share, _, _ in ends))
+            new: list[tuple[int, int]] = []  # in text order
+            for share, begin, end in sorted((x for x in ends if x[0] >= COVERED), key=lambda x: (-x[0], x[2] - x[1], x[2])):
+                at = bisect_left(new, (begin, end))
+                if (not at or new[at - 1][1] <= begin) and (at == len(new) or end <= new[at][0]):
+                    new.insert(at, (begin, end))
+                    taken.append((share, begin, end))
+            rest: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # by the stretches before it
+            for x in found if new else ():
+                for y in self._outside(x, new):
+                    rest[bisect_left(new, (y[0], 0))].append(y)
+            pieces += rest.values()
+        return taken, most
+
+    def _outside(self, match: tuple[int, int, int], stretches: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+        """The parts of SEED words or more of a match that lie in none of the stretches."""
+        end, last, size = match
+        begin = end - size
+        at = max(bisect_left(stretches, (begin, 0)) - 1, 0)
+        for first, after in [*takewhile(lambda x: x[0] < end, stretches[at : at + size + 2]), (end, end)]:
+            if first - begin >= SEED:
+                yield first, last - (end - first), first - begin
+            begin = max(begin, after)
+
+    def _chain(self, k: int, found: list[tuple[int, int, int]]) -> list[tuple[float, int, int]]:
+        """(share, first word, end) at each match (text end, own end, length): most of sequence k that matches up to it cover in one order on both sides, gaps bounded; of equal ones the shortest."""
         found = sorted(set(found))
         best: list[tuple[int, int]] = []  # covered words, first word
         low = 0
@@ -185,11 +218,10 @@ class Scanner:
             for j in range(low, i):
                 e, l, _ = found[j]
                 new = min(size, end - e, last - l)  # words that j has not covered, on either side
-                if new > 0 and end - new - e <= GAP and best[j][0] + new > top[0]:
-                    top = (best[j][0] + new, best[j][1])
+                if new > 0 and end - new - e <= GAP:
+                    top = max(top, (best[j][0] + new, best[j][1]))
             best.append(top)
-        i = max(range(len(best)), key=lambda i: best[i][0])
-        return best[i][0] / self.lengths[k], best[i][1], found[i][0]
+        return [(n / self.lengths[k], first, end) for (n, first), (end, _, _) in zip(best, found)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -203,7 +235,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     n_base counts the places of PHRASES, first_word and last_word are the first and last place (null without any),
     base_labels and labels are distinct, sorted and comma-joined; labels adds those of templates of which a chain
     covers COVERED. score is the largest share covered of any phrase or template. spans lists label:first:end in
-    words, end exclusive. A null or empty text has no words and score 0. Repeated rows keep a row each; other columns
+    words, end exclusive, of every chain that covers COVERED; those of one template do not overlap. A null or empty text has no words and score 0. Repeated rows keep a row each; other columns
     are not used; an empty table gives none.
     """
 

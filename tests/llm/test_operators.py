@@ -211,6 +211,20 @@ def test_license_with_an_edit():
     assert [label for label, *_ in x["spans"]] == ["mit"] and 0.9 < x["score"] < 1 and not x["places"]
 
 
+def test_every_notice_is_a_span():
+    s = licenses.Scanner()
+    whole = licenses.TEMPLATES[1][1]
+    edited = whole.replace("any person", "any human").replace("limitation the", "limits, the")
+    n = len(licenses.words(whole.encode()))
+    for between in (0, 5, 200):
+        text, want = "", []
+        for t in (whole, edited, edited, whole, edited):
+            want.append(len(licenses.words(text.encode())))
+            text += t + " " + "filler " * between
+        assert [(i, j) for label, i, j, _ in sorted(s.scan(text.encode())["spans"], key=lambda x: x[1]) if label == "mit"] == [(i, i + n) for i in want]
+    assert len(s.scan(b"All rights reserved. " * 5000)["spans"]) == 5000
+
+
 # ---- 5
 
 
