@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,47 +18,60 @@ from .common import documents, gapless, map_rows, read, scratch, small
 
 #: Fixed value: how byte-level vocabularies of this kind split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_PROBES = ["", "Hello  world\n\n it's 12345 été ß 漢字 🙂\t!?  ", " a" * 40, "x" * 300, "  \r\n", "naïve—“quotes” don't", "\x00\x7f́"]
+#: White space in a row from which a text goes to the tokenizers library: the other's pattern search would overflow its stack.
+LONG_SPACE = 4000
+_SPACES, _TWO = re.compile(r"\s{%d}" % LONG_SPACE), re.compile(r"\s\s")
 
 
 class ByteTokenizer:
     """Ids of a byte-level BPE file as the tokenizers library gives them, without special tokens added.
 
-    The file's merges run in tiktoken, which is several times faster; texts that hold a special token's string, and
-    files that disagree on the probes, go to the tokenizers library itself.
+    The file's merges run in tiktoken, which is several times faster. That takes a file whose ids follow its merges'
+    order and which splits text by SPLIT alone; other files, texts that hold a special token's string and texts with
+    LONG_SPACE white space characters in a row go to the tokenizers library itself.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.path, slow = path, Tokenizer.from_file(path)
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = None
-        try:
+        if _ranked(spec):
             import tiktoken
 
             chars = _byte_chars()
             ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
-            fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-            if all(fast.encode_ordinary(p) == slow.encode(p, add_special_tokens=False).ids for p in _PROBES):
-                self.fast = fast.encode_ordinary
-        except (ImportError, KeyError, ValueError):
-            pass
+            self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     @functools.cached_property
     def slow(self):
-        """The library's own tokenizer, loaded again if a text needs it: a worker rarely keeps both."""
+        """The library's own tokenizer, loaded if a text needs it: a worker rarely keeps both."""
         from tokenizers import Tokenizer
 
         return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast and not any(s in text for s in self.special):
+        if self.fast and not any(s in text for s in self.special) and not _long_space(text):
             return self.fast(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
+def _long_space(text: str) -> bool:
+    """LONG_SPACE white space characters in a row; any such run covers two characters in turn of every (LONG_SPACE / 2)-th."""
+    return len(text) >= LONG_SPACE and bool(_TWO.search(text[:: LONG_SPACE // 2])) and bool(_SPACES.search(text))
+
+
+def _ranked(spec: dict) -> bool:
+    """The file is plain byte-level BPE split by SPLIT, and a merge's result has the higher id the later the merge."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return False
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    return bool(merged) and merged[0] >= 256 and all(x < y for x, y in zip(merged, merged[1:]))
+
+
 def _byte_chars() -> dict[str, int]:
     """The printable stand-ins of bytes in byte-level vocabularies: printable Latin-1 bytes stand for themselves, the rest follow from U+0100."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -73,15 +88,24 @@ def tokenizer(path: str) -> ByteTokenizer:
 class Plan:
     """Where the k-th piece of each length below the capacity goes.
 
-    uses[length]: arrays (first k, pieces a window, first sequence, offset) of the windows that take the length;
-    stream[length]: (first k, token position) of the pieces that are laid end to end and cut.
+    uses[length]: (first k, pieces a window, first sequence, offset) of the windows that take the length;
+    slack: (first stream position, tokens, first sequence, offset) of the room that those windows leave;
+    stream[length]: (first k, stream position) of the pieces that are laid end to end and cut: they fill the room, then
+    windows of their own.
     """
 
     def __init__(self, capacity: int):
-        self.capacity, self.sequences, self.total = capacity, 0, 0
+        self.capacity, self.sequences, self.pending, self.total = capacity, 0, 0, 0
         self.uses: dict[int, list[tuple[int, int, int, int]]] = {}
+        self.slack: list[tuple[int, int, int, int]] = []
         self.stream: dict[int, tuple[int, int]] = {}
 
+    @property
+    def windows(self) -> int:
+        """All sequences of the plan."""
+        full, rest = divmod(self.total - self.pending, self.capacity)
+        return self.sequences + full + rest.bit_count()
+
     def place(self, length: int, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sequence, offset, position): position is -1, or where a streamed piece begins."""
         rows = np.array(self.uses.get(length) or [(0, 1, -1, 0)], np.int64)
@@ -106,8 +130,13 @@ class Plan:
         return out
 
     def _window(self, p: int) -> tuple[int, int, int]:
-        """The stream's windows are full, but for the last tokens: those fill windows of falling powers of two."""
-        full, rest = divmod(self.total, self.capacity)
+        """(sequence, offset, room) of a stream position: slack first, then full windows; the last tokens fill windows of falling powers of two."""
+        if p < self.pending:
+            start, size, seq, off = self.slack[bisect_right(self.slack, (p, self.capacity)) - 1]
+            at = (p - start) % size
+            return seq + (p - start) // size, off + at, size - at
+        p -= self.pending
+        full, rest = divmod(self.total - self.pending, self.capacity)
         if p < full * self.capacity:
             return self.sequences + p // self.capacity, p % self.capacity, self.capacity - p % self.capacity
         at, n = full * self.capacity, 0
@@ -122,23 +151,22 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int) -> Plan:
     """Fills window after window around the longest length left.
 
     For each, a subset-sum bitset over the remaining multiset (counts in binary) finds the fill closest to capacity
-    and backtracking gives its counts; the window is used as often as they last. Lengths whose closest fill leaves
-    slack are streamed: laid end to end and cut at window borders. Each round uses up a length, so there are fewer
-    rounds than lengths, whatever the corpus holds.
+    and backtracking gives its counts; the window is used as often as they last, and as long as the tokens left can
+    still fill the slack that windows leave. What is left then, the shortest lengths, is laid end to end and cut: first
+    into that slack. There are at most some rounds a length, whatever the corpus holds.
     """
     plan, left, taken = Plan(capacity), {n: c for n, c in counts.items() if c > 0 and 0 < n < capacity}, dict.fromkeys(counts, 0)
-    stuck: list[int] = []
+    tokens = sum(n * c for n, c in left.items())  # in pieces without a window
     while left:
         seed = max(left)
         left[seed] -= 1
         fill = _subset(left, capacity - seed)
         left[seed] += 1
-        if fill is None:
-            stuck.append(seed)
-            del left[seed]
-            continue
         fill[seed] = fill.get(seed, 0) + 1
-        times = min(left[n] // m for n, m in fill.items())
+        # a window takes its fill from the tokens and leaves the rest of the capacity to be filled by them
+        times = min(min(left[n] // m for n, m in fill.items()), (tokens - plan.pending) // capacity)
+        if times <= 0:
+            break
         offset = 0
         for n in sorted(fill, reverse=True):
             plan.uses.setdefault(n, []).append((taken[n], fill[n], plan.sequences, offset))
@@ -147,17 +175,19 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int) -> Plan:
             left[n] -= fill[n] * times
             if not left[n]:
                 del left[n]
+        tokens -= offset * times
+        if offset < capacity:
+            plan.slack.append((plan.pending, capacity - offset, plan.sequences, offset))
+            plan.pending += (capacity - offset) * times
         plan.sequences += times
-    for n in stuck:
+    for n in sorted(left, reverse=True):
         plan.stream[n] = (taken[n], plan.total)
-        plan.total += n * (counts[n] - taken[n])
+        plan.total += n * left[n]
     return plan
 
 
-def _subset(left: dict[int, int], target: int) -> dict[int, int] | None:
-    """Counts of lengths that sum to target, or None; longer lengths are preferred."""
-    if target == 0:
-        return {}
+def _subset(left: dict[int, int], target: int) -> dict[int, int]:
+    """Counts of lengths whose sum comes closest to target from below; longer lengths are preferred."""
     mask, reach, steps = (1 << (target + 1)) - 1, 1, []
     for n in sorted(x for x in left if x <= target and left[x]):
         c, k = min(left[n], target // n), 1
@@ -166,8 +196,7 @@ def _subset(left: dict[int, int], target: int) -> dict[int, int] | None:
             steps.append((n, k, reach))
             reach |= (reach << (n * k)) & mask
             c, k = c - k, 2 * k
-    if not reach >> target & 1:
-        return None
+    target = reach.bit_length() - 1
     out: dict[int, int] = {}
     for n, k, before in reversed(steps):
         if n * k <= target and before >> (target - n * k) & 1:
@@ -181,9 +210,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
 
     A document is its token ids and end_id; a null or empty text is end_id alone. Whole windows are cut off first;
     the remainders, fewer than `capacity` lengths, go through minimum_bin_slack on the driver as a histogram. No
-    sequence has padding: the streamed tail fills windows of powers of two. Only documents that the plan cuts anew
-    are tokenised twice. capacity is a power of two. Repeated rows keep their pieces each; other columns are not
-    used; an empty table gives none.
+    sequence has padding: pieces that the plan cuts anew fill what others leave, and the tail fills windows of powers
+    of two. Only their documents are tokenised twice. capacity is a power of two. A very long text gives as many whole
+    windows as it fills; one of LONG_SPACE white space characters in a row takes the slower of two equal ways to its
+    ids. Pieces of one length are equal to the plan: which of them goes where follows the order of partitions. Repeated
+    rows keep their pieces each; other columns are not used; an empty table gives none.
     """
 
     def ids_of(text: str | None, tok: ByteTokenizer) -> np.ndarray:
@@ -211,7 +242,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
     pieces = scratch(map_rows(text, "doc_id long, h long, start long, length int, ids_crc32 long, doc_tokens long, part int, local long", cut), tag)
     histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = minimum_bin_slack(histogram, capacity)
-    whole = plan.sequences + sum(divmod(plan.total, capacity)[:1]) + (plan.total % capacity).bit_count()
+    whole = plan.windows
     shared = pieces.sparkSession.sparkContext.broadcast(plan)  # bounded by the capacity, not by the corpus
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:

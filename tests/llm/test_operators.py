@@ -276,7 +276,27 @@ def test_minimum_bin_slack():
             assert at <= 64 and at & (at - 1) == 0
             total += at
         assert total == sum(n * c for n, c in counts.items())
-    assert packing._subset({3: 2, 5: 1, 7: 1}, 13) in ({3: 2, 7: 1},) and packing._subset({4: 3}, 6) is None
+    assert packing._subset({3: 2, 5: 1, 7: 1}, 13) in ({3: 2, 7: 1},) and packing._subset({4: 3}, 6) == {4: 1} and packing._subset({4: 3}, 3) == {}
+
+
+def test_closest_fill_by_brute_force():
+    import itertools
+
+    rng = random.Random(4)
+    for _ in range(300):
+        left = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}
+        target = rng.randint(0, 60)
+        sums = {sum(n * c for n, c in zip(left, take)) for take in itertools.product(*(range(c + 1) for c in left.values()))}
+        got = packing._subset(left, target)
+        assert sum(n * c for n, c in got.items()) == max(x for x in sums if x <= target) and all(0 < c <= left[n] for n, c in got.items())
+
+
+def test_windows_take_whole_pieces_where_they_fit():
+    """Like lengths: windows of the closest fill, and pieces cut only to fill what those leave."""
+    plan = packing.minimum_bin_slack({40: 100}, 64)
+    assert plan.uses == {40: [(0, 1, 0, 0)]} and plan.slack == [(0, 24, 0, 40)]
+    assert plan.sequences == 62 and plan.stream == {40: (62, 0)} and plan.total == 38 * 40 and plan.pending == 62 * 24
+    assert packing.minimum_bin_slack({30: 64, 34: 64}, 64).stream == {}
 
 
 def test_tokenizer_equals_the_library():
@@ -284,8 +304,17 @@ def test_tokenizer_equals_the_library():
 
     slow, fast = Tokenizer.from_file(packing.vocabulary_path()), packing.tokenizer(packing.vocabulary_path())
     assert fast.fast
-    for t in ["", "a<|endoftext|>b", "  two  spaces ", "it's 10% of naïve\r\n\tcode", "日本語🙂", "x" * 5000]:
+    for t in ["", "a<|endoftext|>b", "  two  spaces ", "it's 10% of naïve\r\n\tcode", "日本語🙂", "x" * 5000, "Hello  world\n\n it's 12345 été ß!?  ", " a" * 40, "  \r\n", "naïve—“quotes” don't", "\x00\x7f́"]:
+        assert fast(t) == slow.encode(t, add_special_tokens=False).ids
+    for run in (" ", "\n", "\u3000", "\r\n", " \t", "a", "🙂", "0", "'"):
+        for n in (3990, 4001, 1_000_000):
+            t = "before" + (run * n)[:n] + " after"
+            assert fast(t) == slow.encode(t, add_special_tokens=False).ids
+    rng = random.Random(0)
+    for _ in range(300):
+        t = "".join(rng.choice([" ", "\n", "é", "a", "B", "'s", "1", "漢", "🙂", "!", "\u00a0", "_", "\u0301"]) for _ in range(rng.randint(0, 60)))
         assert fast(t) == slow.encode(t, add_special_tokens=False).ids
+    assert not packing._ranked({"model": {"type": "BPE", "vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}, "pre_tokenizer": {"type": "Whitespace"}})
 
 
 # ---- 6
