@@ -3,23 +3,18 @@
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, gapless, map_rows, read, scratch
 
-#: Groups that one task differences.
-GROUPS_PER_TASK = 40_000
-#: Partial partitions that one task combines.
-FAN_IN = 256
-#: A group heavier than a shard's share is split into parts of about this fraction of the share.
-PART_OF_SHARE = 1 / 8
+#: Groups that are differenced one by one at most; beyond it as many bundles of lighter groups are differenced beside them.
+ITEMS = 20_000
 
 
 def differencing(partials: list[list[tuple[int, list]]], shards: int) -> list[tuple[int, list]]:
@@ -60,59 +55,63 @@ def _spread(p: list[tuple[int, list]], shards: int) -> int:
     return p[0][0] - (p[-1][0] if len(p) == shards else 0) if p else 0
 
 
-def _assign(groups: DataFrame, shards: int, tag: str) -> DataFrame:
-    """(gid, shard) for groups(gid, w): differencing within hash buckets, then of the buckets' partitions, level by level."""
-    n = groups.count()
-    buckets = max(1, math.ceil(n / GROUPS_PER_TASK))
-
-    def leaf(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["w", "gid"], ascending=[False, True])
-        done = differencing([[(w, [i])] for i, w in enumerate(g.w.tolist())], shards)
-        at = np.concatenate([np.asarray(m, np.int64) for _, m in done])
-        slot = np.repeat(np.arange(len(done), dtype=np.int32), [len(m) for _, m in done])
-        return pd.DataFrame({"gid": g.gid.to_numpy()[at], "w": g.w.to_numpy()[at], "node": key[0], "slot": slot})
-
-    def inner(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for node, p in g.sort_values(["node", "s", "slot"], ascending=[True, False, True]).groupby("node", sort=True):
-            parts.append([(s, [(node, slot)]) for s, slot in zip(p.s.tolist(), p.slot.tolist())])
-        done = differencing(parts, shards)
-        rows = [(node, slot, key[0], to, s) for to, (s, m) in enumerate(done) for node, slot in m]
-        sums = {to: s for to, (s, _) in enumerate(done)}
-        return pd.DataFrame([(a, b, c, d, sums[d] if (a, b) == done[d][1][0] else 0) for a, b, c, d, _ in rows], columns=["node", "slot", "up", "to", "s"])
-
-    seated = groups.withColumn("node", F.pmod(F.xxhash64("gid", F.lit(1)), F.lit(buckets))).groupBy("node").applyInPandas(leaf, "gid string, w long, node long, slot int")
-    seated = scratch(seated, tag)
-    level = seated.groupBy("node", "slot").agg(F.sum("w").alias("s"))
-    placed = seated.select("gid", "node", "slot")
-    while buckets > 1:
-        buckets = math.ceil(buckets / FAN_IN)
-        up = scratch(level.groupBy((F.col("node") % buckets).alias("up")).applyInPandas(inner, "node long, slot int, up long, to int, s long"), tag)
-        placed = placed.join(up.select("node", "slot", "up", "to"), ["node", "slot"]).select("gid", F.col("up").alias("node"), F.col("to").alias("slot"))
-        level = up.groupBy(F.col("up").alias("node"), F.col("to").alias("slot")).agg(F.sum("s").alias("s"))
-    return placed.select("gid", F.col("slot").alias("shard"))
+def partition(weights: list[int], shards: int) -> np.ndarray:
+    """The shard of each weight. One that outweighs an equal share of what is left gets a shard of its own; differencing levels the others."""
+    order = sorted(range(len(weights)), key=lambda i: -weights[i])
+    out, alone, rest = np.zeros(len(weights), np.int32), 0, sum(weights)
+    while alone < min(shards - 1, len(order)) and weights[order[alone]] * (shards - alone) > rest:
+        out[order[alone]] = alone
+        rest -= weights[order[alone]]
+        alone += 1
+    for k, (_, members) in enumerate(differencing([[(weights[i], [i])] for i in order[alone:]], shards - alone)):
+        out[members] = alone + k
+    return out
+
+
+def _items(groups: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """(item, w) to be differenced, ITEMS x 2 at most, and (gid) of the groups that are items of their own; the others are bundled by hash."""
+    total = groups.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).first()
+    single = groups if total.n <= ITEMS else groups.where(F.col("w") * F.lit(ITEMS) > F.lit(total.w or 0))
+    named = scratch(single.select("gid", "w"), tag)
+    item = F.concat(F.lit("g"), F.hex("gid"))
+    if total.n <= ITEMS:
+        return named.select(item.alias("item"), "w"), named.select("gid")
+    light = groups.join(F.broadcast(named.select("gid")), "gid", "left_anti").groupBy(_bundle().alias("item")).agg(F.sum("w").alias("w"))
+    return named.select(item.alias("item"), "w").unionByName(light), named.select("gid")
+
+
+def _bundle() -> Column:
+    return F.concat(F.lit("b"), F.pmod(F.xxhash64("gid"), F.lit(ITEMS)).cast("string"))
 
 
 def balanced_shards(docs: DataFrame, shards: int = 40, tag: str = "sharding") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of docs(doc_id, text, ...).
 
     The law is `bytes`: a document's size is its text's UTF-8 bytes plus 16, and shard totals come out near equal.
-    Documents of equal text are one indivisible group, unless the group alone outweighs a shard's share (total /
-    shards); such a group, of which fewer than `shards` can exist, is dealt by doc_id into parts. slot numbers a
-    shard's rows from 0 without gaps. A null text has no bytes and crc 0 and is grouped with empty texts; repeated
-    rows keep a row each; other columns are not used; an empty table gives none.
+    Documents of equal text are one indivisible group and share a shard, however many they are: a group that
+    outweighs a shard's share has a shard of its own and the other shards are level among themselves. One task
+    differences all groups one by one; of more than ITEMS groups those below 1 / ITEMS of all bytes are first bundled by
+    a hash into ITEMS bundles, so that task holds at most 2 x ITEMS rows at any size. slot numbers a shard's rows
+    from 0 without gaps. Rows are told their shard by a broadcast of those items, so a common text is no hot key.
+    A null text has no bytes and crc 0 and is grouped with empty texts; a very long one is one weight like any other;
+    groups of equal size and repeated rows (which keep a row each) are ordered by their text's hash; other columns are
+    not used; an empty table gives none.
     """
     text = F.coalesce("text", F.lit(""))
     data = text.cast("binary")
-    rows = scratch(documents(docs).select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.sha2(data, 256).alias("gid")), tag)
+    gid = F.unhex(F.substring(F.sha2(data, 256), 1, 32)).alias("gid")
+    rows = scratch(documents(docs).select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), gid), tag)
     groups = scratch(rows.groupBy("gid").agg(F.sum("size").alias("w")), tag)
-    share = (groups.agg(F.sum("w")).first()[0] or 0) / shards
-    heavy = {r.gid: math.ceil(r.w / (share * PART_OF_SHARE)) for r in groups.where(F.col("w") > share).collect()}  # fewer than shards
-    if heavy:
-        parts = F.create_map(*[F.lit(x) for item in heavy.items() for x in item])[F.col("gid")]
-        rows = rows.withColumn("gid", F.when(parts.isNull(), F.col("gid")).otherwise(F.concat("gid", F.lit("/"), F.pmod(F.xxhash64("doc_id"), parts))))
-        groups = scratch(rows.groupBy("gid").agg(F.sum("size").alias("w")), tag)
-    dealt = rows.join(_assign(groups, shards, tag), "gid").select("doc_id", "size", "text_crc32", "shard")
+    items, single = _items(groups, tag)
+
+    def seat(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("item", ignore_index=True)
+        return pd.DataFrame({"item": g["item"], "shard": partition(g["w"].tolist(), shards)})
+
+    seats = scratch(items.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(seat, "item string, shard int"), tag)
+    own = single.select("gid", F.concat(F.lit("g"), F.hex("gid")).alias("_own"))
+    told = rows.join(F.broadcast(own), "gid", "left").withColumn("item", F.coalesce("_own", _bundle()))
+    dealt = told.join(F.broadcast(seats), "item").select("doc_id", "size", "text_crc32", "shard")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
         from pyspark import TaskContext

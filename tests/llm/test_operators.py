@@ -123,10 +123,9 @@ def test_differencing_by_brute_force():
     assert done[0][0] - done[-1][0] <= 3
 
 
-@pytest.mark.parametrize("per_task", [40_000, 10])
-def test_sharding(spark, docs, empty, texts, monkeypatch, per_task):
-    monkeypatch.setattr(sharding, "GROUPS_PER_TASK", per_task)
-    monkeypatch.setattr(sharding, "FAN_IN", 2)
+@pytest.mark.parametrize("items", [20_000, 7])
+def test_sharding(spark, docs, empty, texts, monkeypatch, items):
+    monkeypatch.setattr(sharding, "ITEMS", items)
     got = sharding.balanced_shards(docs, 5).collect()
     assert len(got) == docs.count() and {r.law for r in got} == {"bytes"} and all(r.grown_shard is None for r in got)
     for s in range(5):
@@ -143,10 +142,41 @@ def test_sharding(spark, docs, empty, texts, monkeypatch, per_task):
     assert sharding.balanced_shards(empty).count() == 0
 
 
-def test_sharding_splits_what_outweighs_a_shard(spark):
-    df = spark.createDataFrame([(i, "same " * 50) for i in range(500)] + [(500 + i, f"text {i} " * 20) for i in range(500)], "doc_id long, text string")
-    sums = {r.shard: r.s for r in sharding.balanced_shards(df, 10).groupBy("shard").agg(F.sum("size").alias("s")).collect()}
-    assert len(sums) == 10 and max(sums.values()) < 1.05 * min(sums.values())
+def test_partition_levels_around_what_outweighs_a_share():
+    rng = random.Random(5)
+    w = [10_000, 6000, *(rng.randint(1, 90) for _ in range(300))]
+    at = sharding.partition(w, 6)
+    sums = [sum(x for x, s in zip(w, at) if s == k) for k in range(6)]
+    assert sums[0] == 10_000 and sums[1] == 6000 and max(sums[2:]) - min(sums[2:]) <= 3
+    light = [rng.randint(1, 1000) for _ in range(400)]
+    done = sharding.differencing([[(x, [i])] for i, x in enumerate(light)], 7)
+    at = sharding.partition(light, 7)
+    sums = sorted(sum(x for x, s in zip(light, at) if s == k) for k in range(7))
+    assert sums[-1] - sums[0] == done[0][0] - done[-1][0]
+    assert sharding.partition([], 4).tolist() == [] and sorted(sharding.partition([5, 5], 4).tolist()) in ([0, 1], [0, 3])
+    assert len(set(sharding.partition([1] * 4, 4).tolist())) == 4
+
+
+@pytest.mark.parametrize("items", [20_000, 100])
+def test_equal_texts_share_a_shard_at_any_weight(spark, monkeypatch, items):
+    monkeypatch.setattr(sharding, "ITEMS", items)
+    rng = random.Random(2)
+    texts = ["same " * 50] * 500 + ["other " * 30] * 40 + [f"text {i} " * rng.randint(1, 20) for i in range(600)]
+    got = sharding.balanced_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), 10).collect()
+    at, sums = {}, {}
+    for r in got:
+        at.setdefault(texts[r.doc_id], set()).add(r.shard)
+        sums[r.shard] = sums.get(r.shard, 0) + r.size
+    assert all(len(s) == 1 for s in at.values()) and len(sums) == 10
+    (alone,) = at["same " * 50]
+    assert sums.pop(alone) == 500 * (250 + 16)
+    if items > len(at):  # the spread of one differencing over all other groups
+        w = {}
+        for t in texts[500:]:
+            w[t] = w.get(t, 0) + len(t) + 16
+        done = sharding.differencing([[(x, [0])] for x in w.values()], 9)
+        assert max(sums.values()) - min(sums.values()) == done[0][0] - done[-1][0]
+    assert max(sums.values()) < 1.1 * min(sums.values())
 
 
 # ---- 3
