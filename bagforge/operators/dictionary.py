@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import scratch
+
 
 def numbered(rows: DataFrame, order: list, out: str, start: int = 0) -> DataFrame:
     """Adds out: gapless numbers from start in the given order, without a window over everything in one task.
 
-    Rows are range-partitioned by the order; a partition's numbers start where the sizes of those before it end.
+    Rows are range-partitioned by the order; a partition's numbers start where the sizes of those before it end. The
+    placed rows are written and read back: range bounds are sampled anew whenever a plan runs again, so that both
+    uses must read one placement.
     """
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_num_part", F.spark_partition_id())
-    placed = placed.withColumn("_num_row", F.monotonically_increasing_id() - F.shiftleft(F.col("_num_part").cast("long"), 33)).cache()
+    placed = placed.withColumn("_num_row", F.monotonically_increasing_id() - F.shiftleft(F.col("_num_part").cast("long"), 33))
+    placed = scratch(placed, "numbered")
     sizes = placed.groupBy("_num_part").count()
     ahead = F.coalesce(F.sum("count").over(Window.orderBy("_num_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
     before = sizes.select("_num_part", ahead.alias("_num_ahead"))

@@ -5,22 +5,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bags as B
-from ..operators.dictionary import numbered
+from ..shared import scratch
 
 
 def lines(spark: SparkSession, path: str | list[str], separator: str | None = None) -> DataFrame:
     """(line_no, value): lines, or records ended by a separator, numbered from 0 in file order.
 
-    Compressed files (.gz, .bz2) are read as such. Numbers follow the files' names and places.
+    Compressed files (.gz, .bz2) are read as such. Numbers follow the files' names and places: a first pass counts each
+    split's lines, and a line's number is its place in its split after the lines of the splits before. Nothing is
+    sorted or shuffled but one row a split (at 128 MB a split, some 25 MB of rows for 100 TB), which is broadcast.
     """
     reader = spark.read if separator is None else spark.read.option("lineSep", separator)
-    rows = reader.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    rows = reader.text(path).select("value", F.xxhash64("_metadata.file_path").alias("_h"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
     rows = rows.withColumn("_i", F.monotonically_increasing_id())
-    return numbered(rows, ["_f", "_b", "_i"], "line_no").select("line_no", "value")
+    splits = rows.groupBy("_h", "_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = scratch(splits.select("_h", "_b", (ahead - F.col("_first")).alias("_shift")), "lines")
+    return rows.drop("_f").join(F.broadcast(starts), ["_h", "_b"]).select((F.col("_i") + F.col("_shift")).alias("line_no"), "value")
 
 
 def uncommented(rows: DataFrame) -> DataFrame:

@@ -73,3 +73,33 @@ def test_z_scores_and_fusion(spark):
     x = spark.createDataFrame([("a", 1.0, 3.0), ("b", 2.0, 2.0), ("c", 3.0, 1.0)], "n string, up double, down double")
     merged = tables.merge_scores([tables.zscores(x, "n", "up"), tables.zscores(x, "n", "down", False)], "avg", top=2).collect()
     assert [r.name for r in merged] == ["c", "b"] and merged[0].score == pytest.approx(1.5**0.5)
+
+
+def test_numbers_survive_a_dropped_cache(spark):
+    """Both uses of a numbering read one placement, whatever is cached in between."""
+    from bagforge.operators.dictionary import numbered
+
+    rows = spark.range(200_000).select((F.col("id") * 2654435761 % 1_000_003).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+    got = numbered(rows, ["k"], "n")
+    spark.catalog.clearCache()
+    assert got.count() == 200_000 and got.select("n").distinct().count() == 200_000
+    assert got.agg(F.min("n"), F.max("n")).first() == (0, 199_999)
+    w = got.select("k", "n").orderBy("n").limit(1000).collect()
+    assert [r.k for r in w] == sorted(r.k for r in w)
+
+
+def test_lines_are_numbered_without_a_sort(spark, tmp_path):
+    from bagforge.sources import records
+
+    for name, n in (("b.txt", 3000), ("a.txt", 5000), ("c.txt", 1)):
+        (tmp_path / name).write_text("".join(f"{name} {i} {'x' * (i % 50)}\n" for i in range(n)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = records.lines(spark, str(tmp_path))
+        assert "RangePartitioning" not in plan_of(df) and "Sort" not in plan_of(df) and df.rdd.getNumPartitions() > 5
+        got = [r.value.split()[:2] for r in df.orderBy("line_no").collect()]
+        assert [r.line_no for r in df.orderBy("line_no").collect()] == list(range(8001))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == [[name, str(i)] for name, n in (("a.txt", 5000), ("b.txt", 3000), ("c.txt", 1)) for i in range(n)]
