@@ -3,60 +3,21 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_DIR = "spark.checkpoint.dir"
+from ..shared import drop_scratch, scratch, shared_dir
+
+__all__ = ["drop_scratch", "scratch", "shared_dir"]  # and what follows
+
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes that Spark hands to a Python worker at a time.
 BATCH_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir.
-
-    Where the setting is absent (tests, a single machine) a temporary folder is set for this context.
-    """
-    sc = spark.sparkContext
-    told = sc.getConf().get(_DIR, None) or spark.conf.get(_DIR, None)
-    if told:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(told)
-        return told
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise ValueError(f"set {_DIR} to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="bagforge-"))
-    return sc.getCheckpointDir()
-
-
-_tables: dict[str, list[str]] = {}
-
-
-def scratch(df: DataFrame, tag: str = "") -> DataFrame:
-    """df, written once to the shared folder and read back: cuts lineage and survives lost executors.
-
-    Tables of a tag stay until drop_scratch(tag).
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _tables.setdefault(tag, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession, tag: str) -> None:
-    """Deletes a tag's tables; only for work whose results are already written."""
-    for path in _tables.pop(tag, []):
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -138,20 +99,36 @@ def gapless(df: DataFrame, part: str, key: str, local: str, out: str) -> DataFra
     return df.join(sizes.withColumn("_before", before).drop("_n"), [part, key]).withColumn(out, F.col("_before") + F.col(local)).drop("_before")
 
 
-def bounded_sample(df: DataFrame, n: int, total: int, key: str, spare: float = 1.5) -> DataFrame:
+def bounded_sample(df: DataFrame, n: int, total: int, *key: str, spare: float = 1.5) -> DataFrame:
     """At most n rows of df, by a hash of key; total is how many df has.
 
     The hash first thins df to about spare x n rows, so that what the final choice gathers doesn't grow with df.
     """
-    return thinned(df, int(spare * n), total, key).orderBy(F.xxhash64(F.col(key), F.lit(17)), key).limit(n)
+    return thinned(df, int(spare * n), total, *key).orderBy(F.xxhash64(*key, F.lit(17)), *key).limit(n)
 
 
-def thinned(df: DataFrame, n: int, total: int, key: str) -> DataFrame:
-    """About n of df's total rows, by a hash of key; all if there are no more."""
-    h = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 40))
+def thinned(df: DataFrame, n: int, total: int, *key: str) -> DataFrame:
+    """About n of df's total rows, by a hash of key; all if there are no more. Rows of one key all come or all stay away."""
+    h = F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(1 << 40))
     return df.where(h < int(n / total * (1 << 40))) if total > n else df
 
 
+#: A key with more than this share of all rows is hot: there are fewer than 1 / HOT such keys.
+HOT = 1 / 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: list[str], size: str) -> DataFrame:
+    """rows joined with table, which has one row a key and in column size how many of rows have it (dropped here).
+
+    The few hot keys' rows are joined by broadcast where they lie, so that no task gets a whole hot key; the others
+    are shuffled. Both sides are read twice: written tables.
+    """
+    limit = (table.agg(F.sum(size)).first()[0] or 0) * HOT
+    hot = F.broadcast(table.where(F.col(size) > limit).drop(size))
+    cold = rows.join(hot.select(*key), key, "left_anti").join(table.where(F.col(size) <= limit).drop(size), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def split_of(name: str) -> Column:
     """crc32 of a document id's decimal text, modulo 4."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % 4

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import links
-from .common import map_rows, read, scratch
+from .common import map_rows, read, scratch, spread_join
 from .components import connected_components
 
 SEED = 20240607
@@ -37,6 +37,8 @@ def codes(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1)[:, None]
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -52,13 +54,14 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, tag: str = "em
     Null, zero, empty, null-holding and non-finite vectors, and rows without a label or vec_id, link with nothing; vectors of
     different lengths do not link. Equal vectors of a label are one node that counts its copies, so a very common
     vector is compared once. n_links comes from counts made in each pair of blocks, a pair counted only in the
-    first table where it meets; no pairs leave a block. Extra columns are not used; an empty table gives none.
+    first table where it meets; no pairs leave a block. Lengths don't matter, however large or small: vectors are
+    scaled before they are squared. A pair exactly at the threshold links. Extra columns are not used; an empty table
+    gives none.
     """
     kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"  # as compact as it came
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"), F.col("label").cast("string").alias("label"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
-    squares = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
-    usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & (squares > 0) & (squares < F.lit(float("inf"))), F.lit(False))
+    usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda c: c != 0), F.lit(False))
     own = scratch(x.select("vec_id", "label", F.when(usable, F.col("v")).alias("v")), tag)
     key = F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256)  # -0.0 and 0.0 differ here and meet again as neighbours
     keyed = scratch(own.where("v is not null").select("vec_id", F.concat_ws(":", F.size("v"), "label").alias("grp"), "v", key.alias("key")), tag)
@@ -77,7 +80,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, tag: str = "em
     seats = map_rows(nodes.select("id", "grp", "v"), "id long, grp string, t int, code long", hashed)
     seats = scratch(seats.select("id", F.xxhash64("grp", "t", "code").alias("bucket"), "t"), tag)
     order = ["bucket", "_low", "_high"]
-    pairs = links.block_pairs(seats, ["bucket"], "id").join(nodes.select("id", "m", "v"), "id")
+    pairs = links.block_pairs(seats, ["bucket"], "id", tag).join(nodes.select("id", "m", "v"), "id")
     pairs = pairs.repartition(*order).sortWithinPartitions(*order, "_mine", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
@@ -128,8 +131,8 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, tag: str = "em
     degree = found.where("src = dst").groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("n"))
     comps = connected_components(found.where("src != dst").select("src", "dst"), tag)
     named = nodes.join(degree, "id", "left").join(comps, nodes.id == comps.node, "left").select(
-        "grp", "key", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked = keyed.select("vec_id", "grp", "key").join(named, ["grp", "key"]).select("vec_id", "n_links", "component_id")
+        "grp", "key", "m", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    linked = spread_join(keyed.select("vec_id", "grp", "key"), scratch(named, tag), ["grp", "key"], "m").select("vec_id", "n_links", "component_id")
     alone = own.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 

@@ -14,21 +14,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import scratch, spread_join
+
 #: Rows that a block holds on average.
 BLOCK = 512
 #: A group up to this size is compared in one sweep with others of its kind.
 TINY = 12
 
 
-def block_pairs(rows: DataFrame, bucket: list[str], row_id: str) -> DataFrame:
+def block_pairs(rows: DataFrame, bucket: list[str], row_id: str, tag: str = "") -> DataFrame:
     """rows of buckets with at least two rows, once for each pair of blocks; adds _low and _high, the pair.
 
     rows must be cheap to compute twice (a written table): sizes are counted first.
     """
     sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    sizes = scratch(sizes.withColumn("_rows", F.col("_n")), tag)
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64(row_id), F.col("_blocks")).cast("int")
-    held = rows.join(sizes, bucket).withColumn("_blocks", blocks).withColumn("_mine", mine).drop("_n")
+    held = spread_join(rows, sizes, bucket, "_rows").withColumn("_blocks", blocks).withColumn("_mine", mine).drop("_n")
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
     return held.select("*", other).select(*[c for c in rows.columns], F.col("_mine"), F.least("_mine", "_other").alias("_low"), F.greatest("_mine", "_other").alias("_high"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import links
-from .common import documents, map_rows, read, scratch, small, utf8
+from .common import documents, map_rows, read, scratch, small, spread_join, utf8
 from .components import connected_components
 
 SEED = 42
@@ -51,15 +52,16 @@ def covering_masks(radius: int, bits: int = 64) -> np.ndarray:
     return np.array([sum(1 << i for i in range(bits) if (m & v[i]).bit_count() & 1) for m in range(1, size + 1)], np.uint64)
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every document."""
+def fingerprints(docs: DataFrame, words: int = 3, *more: str) -> DataFrame:
+    """(doc_id, fp long) of every document; more: columns like `h long` of docs that go along."""
+    docs = docs.select("text", "doc_id", *[m.split()[0] for m in more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
         for b in small(batches):
-            fp = np.fromiter((fingerprint(x, words) for x in utf8(b.column(1))), np.uint64, b.num_rows)
-            yield {"doc_id": b.column(0), "fp": fp.view(np.int64)}
+            fp = np.fromiter((fingerprint(x, words) for x in utf8(b.column(0))), np.uint64, b.num_rows)
+            yield {"doc_id": b.column(1), "fp": fp.view(np.int64)} | {m.split()[0]: b.column(2 + i) for i, m in enumerate(more)}
 
-    return map_rows(documents(docs), "doc_id long, fp long", run)
+    return map_rows(docs, ", ".join(["doc_id long, fp long", *more]), run)
 
 
 def near_links(fps: DataFrame, radius: int = 3, tag: str = "") -> DataFrame:
@@ -72,7 +74,7 @@ def near_links(fps: DataFrame, radius: int = 3, tag: str = "") -> DataFrame:
     keyed = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(int(m.view(np.int64)))).alias("k")) for i, m in enumerate(masks)])).alias("_b")
     rows = fps.select("id", "fp", keyed).select("id", "fp", F.xxhash64("_b.t", "_b.k").alias("bucket"))
     order = ["bucket", "_low", "_high"]
-    pairs = links.block_pairs(rows, ["bucket"], "id").repartition(*order).sortWithinPartitions(*order, "_mine", "id")
+    pairs = links.block_pairs(rows, ["bucket"], "id", tag).repartition(*order).sortWithinPartitions(*order, "_mine", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
         for t in links.grouped(batches, order):
@@ -92,19 +94,51 @@ def near_links(fps: DataFrame, radius: int = 3, tag: str = "") -> DataFrame:
     return map_rows(pairs.select("id", "fp", "bucket", "_low", "_high"), "src long, dst long", run)
 
 
+def _roots(own: DataFrame, radius: int, tag: str) -> DataFrame:
+    """(fp, root, n) of the fingerprints of own(fp, ...): one root a group, n rows of each fingerprint."""
+    nodes = scratch(own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), tag)
+    found = connected_components(near_links(nodes.select(F.col("fp").alias("id"), "fp"), radius, tag), tag)
+    return scratch(nodes.join(found, nodes.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("root"), "n"), tag)
+
+
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3, tag: str = "simhash") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs(doc_id, text, ...).
 
     component_id is the smallest doc_id reachable over fingerprints that differ in at most radius bits. Documents
     of one fingerprint are one node, so copies cost one comparison. Null and empty texts have fingerprint 0 and
-    link like any other. Repeated doc_ids keep a row each; a null doc_id has the component of the documents of its
-    very fingerprint, null if none of them has an id. Other columns are not used; an empty table gives none.
+    link like any other; a very long text is one fingerprint of all its shingles; a bit set in exactly half of them is
+    0. Repeated doc_ids keep a row each; rows without a doc_id link like any other, and a group of such rows alone
+    has component_id null. Other columns are not used; an empty table gives none.
+    """
+    own = scratch(fingerprints(documents(docs), words), tag)
+    roots = _roots(own, radius, tag)
+    least = own.groupBy("fp").agg(F.min("doc_id").alias("id")).join(roots, "fp")
+    named = roots.join(least.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("fp", "component_id", "n")
+    return spread_join(own, scratch(named, tag), ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, tag: str = "simhash") -> DataFrame:
+    """docs, all columns, with one row of each of simhash_groups()'s groups: that of the smallest doc_id, then text's hash.
+
+    Rows without a doc_id come after all others; of rows equal in both one stays. Null, empty and very long texts are
+    texts like any other; an empty table stays empty.
     """
-    own = scratch(fingerprints(docs, words), tag)
-    nodes = scratch(own.groupBy("fp").agg(F.min("doc_id").alias("id")), tag)
-    found = connected_components(near_links(nodes.where("id is not null"), radius, tag), tag)
-    named = nodes.join(found, nodes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    own = scratch(fingerprints(documents(docs, h.alias("h")), words, "h long"), tag)
+    judged = scratch(spread_join(own, _roots(own, radius, tag), ["fp"], "n").select("root", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("h").alias("c")).alias("k")), tag)
+    first = scratch(judged.groupBy("root").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), tag)  # the others are alone
+    told = scratch(spread_join(judged, first, ["root"], "n").groupBy("k", "first").agg(F.count(F.lit(1)).alias("n")), tag)
+    gone = scratch(told.where("k != first").select(F.col("k.b").alias("_gone_id"), F.col("k.c").alias("_gone_h")), tag)
+    again = scratch(told.where("k = first and n > 1").select(F.col("k.b").alias("_gone_id"), F.col("k.c").alias("_gone_h")), tag)
+
+    def held(x: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return x.join(keys, x["doc_id"].cast("long").eqNullSafe(keys["_gone_id"]) & (F.xxhash64(F.coalesce(x["text"].cast("string"), F.lit(""))) == keys["_gone_h"]), how)
+
+    rest = held(docs, gone, "left_anti")
+    if again.isEmpty():
+        return rest
+    twice = held(rest, again, "left_semi").withColumn(unused := f"h{uuid.uuid4().hex}", h)
+    return held(rest, again, "left_anti").unionByName(twice.dropDuplicates(["doc_id", unused]).drop(unused))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,12 @@ def test_embeddings(spark, monkeypatch, block):
     assert embeddings.embedding_groups(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_extreme_lengths(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [1e-200, 3e-200]), (5, [5e-324, 5e-324]), (6, [1e308, -1e308]), (7, [0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_groups(spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6), 7: (0, 7)}
+
+
 # ---- 2
 
 
@@ -508,6 +514,30 @@ def test_simhash(spark, docs, empty, texts):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def test_one_row_of_each_group(spark, docs, empty, texts):
+    a, b, c = ("one fine day in a small town " * 3, "quite another story of ships at sea " * 3, "numbers and figures are told here by the dozen " * 3)
+    rows = [(1, a, "x"), (1, a, "x"), (2, b, "y"), (2, c, "z"), (0, b, "w"), (None, c, "n"), (None, "x y z", "o"), (None, "x y z", "o")]
+    got = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, _gone_id string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, a, "x"), (2, c, "z"), (0, b, "w"), (None, "x y z", "o")], key=repr)
+    kept = simhash.without_near_duplicates(docs)
+    assert kept.columns == docs.columns and simhash.without_near_duplicates(empty).count() == 0
+    every = docs.select("doc_id", "text").collect()
+    fps = [slow_fingerprint(r.text) for r in every]
+    root = classes([(i, j) for i in range(len(every)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3], range(len(every)))
+    best = {}
+    for i, r in enumerate(every):
+        k = (r.doc_id is None, r.doc_id or 0)
+        best[root[i]] = min(best.get(root[i], (True, 1 << 60)), k)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(best.values())
+
+
+def test_hot_fingerprints_are_joined_where_they_lie(spark):
+    text = "a text that a third of all rows share word for word"
+    rows = [(i, text if i % 3 else f"text number {i} has words of its own: {i * i} and {i * 7}") for i in range(3000)]
+    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 3000 and all(got[i] == 1 for i, t in rows if t == text)
+
+
 def test_near_links_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(links, "BLOCK", 6)
     rng = random.Random(8)
