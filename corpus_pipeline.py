@@ -9,14 +9,14 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from bagforge.llm.common import drop_scratch, read, scratch, shared_dir
+from bagforge.llm.common import drop_scratch, read, shared_dir
 from bagforge.llm.decontaminate import without_leaks
 from bagforge.llm.packing import pack, vocabulary_path
 from bagforge.llm.pii import redact
-from bagforge.llm.simhash import simhash_groups
+from bagforge.llm.simhash import without_near_duplicates
 from bagforge.llm.toxicity import without_toxic
+from bagforge.shared import delete
 
 #: Tag of the stages' scratch tables.
 TAG = "pipeline"
@@ -29,11 +29,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest doc_id stays; rows without an id stay."""
+    """Of each SimHash group one row stays: that of the smallest doc_id, rows without one last."""
     drop_scratch(spark, TAG)
-    doomed = simhash_groups(docs, tag=TAG).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    ids = scratch(doomed, TAG)  # a table of its own, so that Spark knows its size
-    return docs.join(ids, docs.doc_id == ids._gone, "left_anti")
+    return without_near_duplicates(docs, tag=TAG)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,11 +65,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents; each result is written as Parquet in the shared folder and read again."""
+    """STAGES applied to documents; each result is written as Parquet in the shared folder and read again.
+
+    A stage's folder goes once the next stage's is written; the last is the result's.
+    """
     docs = read(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, f"{folder}/{before}")
+        before = name
     drop_scratch(spark, TAG)
     return docs
