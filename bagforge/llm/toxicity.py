@@ -9,17 +9,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, decide, documents, give_back, map_rows, read, scratch, small, split_of
 
 #: Letters of context and predicted letter; words are padded with one boundary on each side.
 ORDER = 6
-#: Discount of the class counts; below 1, so that a gram seen once keeps a count.
+#: Discount of all counts where the counts of counts are too few to tell.
 DISCOUNT = 0.75
-#: Discount of the shared continuation counts.
-SHARED_DISCOUNT = 0.75
 #: Labelled rows of each class, by a hash of doc_id, that the classifier is fitted on at most.
 SAMPLE = 20_000
 #: Words of a window whose likelihoods are compared.
@@ -143,6 +141,31 @@ class Ratio:
         return float(x.sum()) / (size + 1), best, float(x.max())
 
 
+def discounts(n: list[int]) -> tuple[float, float, float]:
+    """What counts of 1, 2 and 3 or more are reduced by, from how many grams have counts 1 to 4 (modified Kneser-Ney).
+
+    A count keeps a part of itself and a higher one no less: so rare grams weigh little but are never dropped.
+    """
+    if not all(n):
+        return DISCOUNT, DISCOUNT, DISCOUNT
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
+    out: list[float] = []
+    for k, x in enumerate(d):
+        out.append(min(max(x, 0.1, out[-1] if out else 0.0), out[-1] + 0.95 if out else 0.95))
+    return out[0], out[1], out[2]
+
+
+def _count_of_counts(c: str, name: str) -> list[Column]:
+    return [F.count_if(F.col(c) == k).alias(f"{name}{k}") for k in (1, 2, 3, 4)]
+
+
+def _less(c: str, d: tuple[float, float, float]) -> Column:
+    """A count less its discount; 0 stays 0."""
+    x = F.col(c)
+    return F.when(x >= 3, x - d[2]).when(x == 2, 2 - d[1]).when(x == 1, 1 - d[0]).otherwise(F.lit(0.0))
+
+
 def _words(docs: DataFrame, by: list[str]) -> DataFrame:
     """(*by, word, n): each task's own counts, summed."""
 
@@ -228,15 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, tag: str = "toxicity") -> tuple[Broa
 
     context = F.expr("left(gram, length(gram) - 1)").alias("ctx")
     counts = scratch(_class_grams(sample.where("part != 3")).select("gram", context, "n0", "n1"), tag)
-    kept = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
-    sums = counts.groupBy("ctx").agg(*(x.alias(f"{a}{y}") for y in (0, 1) for a, x in (("m", F.sum(f"n{y}")), ("k", F.sum(kept(f"n{y}"))))))
-    free = (F.when(F.col(f"m{y}") > 0, 1 - F.col(f"k{y}") / F.col(f"m{y}")).otherwise(1.0).alias(f"f{y}") for y in (0, 1))
-    about = scratch(sums.select("ctx", "m0", "m1", *free), tag)
-    backoff = _backoff(_continuations(docs, tag), tag).withColumnRenamed("gram", "low")
-    both = counts.join(about, "ctx").withColumn("low", F.expr("substring(gram, 2)")).join(backoff, "low", "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
-    p = [F.when(F.col(f"m{y}") > 0, kept(f"n{y}") / F.col(f"m{y}") + F.col(f"f{y}") * F.col("p")).otherwise(F.col("p")) for y in (0, 1)]
-    own = _hashes(both.select("gram", F.log(p[1] / p[0]).alias("x")), False)
-    rest = _hashes(about.select("ctx", F.log(F.col("f1") / F.col("f0")).alias("x")), True)
+    about, ratio = _ratios(counts, _continuations(docs, tag), tag)
+    own, rest = _hashes(ratio, False), _hashes(about, True)
     model = spark.sparkContext.broadcast((own, rest))
 
     del own, rest
@@ -245,6 +261,22 @@ def fit(docs: DataFrame, labels: DataFrame, tag: str = "toxicity") -> tuple[Broa
     return model, logistic(held[["f0", "f1", "f2"]].to_numpy(), held.toxic.to_numpy(), weight=held.toxic.map(stands_for).to_numpy(float))
 
 
+def _ratios(counts: DataFrame, levels: list[DataFrame], tag: str) -> tuple[DataFrame, DataFrame]:
+    """(ctx, x) and (gram, x): log ratios of the classes' backoff weights, and of their probabilities of grams that one of them counted.
+
+    counts(gram, ctx, n0, n1) are the classes' own; levels the shared continuation counts, of which both back off.
+    """
+    told = counts.agg(*_count_of_counts("n0", "a"), *_count_of_counts("n1", "b")).first()
+    kept = [_less(f"n{y}", discounts([told[f"{c}{k}"] for k in (1, 2, 3, 4)])) for y, c in ((0, "a"), (1, "b"))]
+    sums = counts.groupBy("ctx").agg(*(x.alias(f"{a}{y}") for y in (0, 1) for a, x in (("m", F.sum(f"n{y}")), ("k", F.sum(kept[y])))))
+    free = (F.when(F.col(f"m{y}") > 0, 1 - F.col(f"k{y}") / F.col(f"m{y}")).otherwise(1.0).alias(f"f{y}") for y in (0, 1))
+    about = scratch(sums.select("ctx", "m0", "m1", *free), tag)
+    backoff = _backoff(levels, tag).withColumnRenamed("gram", "low")
+    both = counts.join(about, "ctx").withColumn("low", F.expr("substring(gram, 2)")).join(backoff, "low", "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
+    p = [F.when(F.col(f"m{y}") > 0, kept[y] / F.col(f"m{y}") + F.col(f"f{y}") * F.col("p")).otherwise(F.col("p")) for y in (0, 1)]
+    return about.select("ctx", F.log(F.col("f1") / F.col("f0")).alias("x")), both.select("gram", F.log(p[1] / p[0]).alias("x"))
+
+
 def _hashes(ratios: DataFrame, context: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """_sorted() of (gram or context, x), hashed by the workers."""
 
@@ -261,12 +293,14 @@ def _backoff(levels: list[DataFrame], tag: str) -> DataFrame:
     lower, out = None, None
     for k, table in zip(range(1, ORDER), reversed(levels)):
         there = table.where(F.length("gram") == k).withColumn("ctx", F.expr("left(gram, length(gram) - 1)"))
-        x = there.join(there.groupBy("ctx").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("types")), "ctx")
+        told = there.agg(*_count_of_counts("c", "n")).first()
+        there = there.withColumn("k", _less("c", discounts([told[f"n{j}"] for j in (1, 2, 3, 4)])))
+        x = there.join(there.groupBy("ctx").agg(F.sum("c").alias("n"), F.sum("k").alias("ks")), "ctx")
         if lower is None:
             x = x.withColumn("q", F.lit(UNSEEN))
         else:
             x = x.withColumn("low", F.expr("substring(gram, 2)")).join(lower.select(F.col("gram").alias("low"), F.col("p").alias("q")), "low", "left")
-        p = (F.greatest(F.col("c") - SHARED_DISCOUNT, F.lit(0.0)) + SHARED_DISCOUNT * F.col("types") * F.coalesce("q", F.lit(UNSEEN))) / F.col("n")
+        p = (F.col("k") + (F.col("n") - F.col("ks")) * F.coalesce("q", F.lit(UNSEEN))) / F.col("n")
         lower = scratch(x.select("gram", p.alias("p")), tag)
         out = out.union(lower) if out else lower
     return out
@@ -296,23 +330,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, weight: np.ndarra
     return w
 
 
-_models: dict[int, Ratio] = {}
-
-
-def _ratio(model: Broadcast) -> Ratio:
-    """The model's scorer, one a worker process."""
-    key = id(model.value)
-    if key not in _models:
-        _models.clear()
-        _models[key] = Ratio(*model.value)
-    return _models[key]
-
-
 def features(rows: DataFrame, model: Broadcast, carry: list[str]) -> DataFrame:
     """(*carry, f0, f1, f2) for rows(text, *carry)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
-        ratio = _ratio(model)
+        ratio = Ratio(*model.value)
         for b in small(batches):
             f = ratio.batch(b.column(0).to_pylist())
             yield {c.split()[0]: b.column(i + 1) for i, c in enumerate(carry)} | {f"f{j}": [x[j] for x in f] for j in range(3)}
@@ -326,7 +348,8 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, tag: str =
     A text's toxic and ordinary log likelihoods are compared a letter over the whole text, a word in its best window
     and in its best word; a logistic of the three is the score. Null, empty and blank texts score as texts without
     evidence. Labels train only where the document's split is not 2 and are never looked at for a score. Without
-    labels every score is low. Repeated rows keep a row each; other columns are not used; an empty table gives none.
+    labels every score is low. A score equal to the threshold is predicted toxic; a very long text is compared whole,
+    its mean beside its worst window. Repeated rows keep a row each; other columns are not used; an empty table gives none.
     """
     docs = documents(docs)
     model, w = fit(docs, labels, tag)
@@ -337,13 +360,13 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, tag: str =
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, tag: str = "toxicity") -> DataFrame:
-    """docs, all columns, without the documents that score() predicts toxic."""
+    """docs, all columns, without the documents that score() predicts toxic; what has no words stays, as do repeated rows that aren't toxic."""
     model, w = fit(documents(docs), labels, tag)
     at = docs.columns.index("text")
     limit = float(np.log(threshold / (1 - threshold)))
 
     def clean(b: pa.RecordBatch) -> list[bool]:
-        f = np.array(_ratio(model).batch(b.column(at).to_pylist())).reshape(-1, 3)
+        f = np.array(Ratio(*model.value).batch(b.column(at).to_pylist())).reshape(-1, 3)
         return (f * SCALES @ w[:3] + w[3] < limit).tolist()
 
     return decide(docs, clean)

@@ -562,6 +562,68 @@ def test_hashes_of_grams_agree():
     assert len(first) == len(words) and np.isnan(toxicity._look_up(own, np.array([12345], np.uint64))).all()
 
 
+def test_discounts():
+    n = [1000, 300, 150, 90]
+    y = 1000 / 1600
+    assert toxicity.discounts(n) == pytest.approx((1 - 2 * y * 300 / 1000, 2 - 3 * y * 150 / 300, 3 - 4 * y * 90 / 150))
+    assert toxicity.discounts([5, 0, 0, 0]) == (0.75, 0.75, 0.75)
+    for n in ([1, 100, 1, 1], [100, 1, 100, 1], [1, 1, 1, 100]):
+        d = toxicity.discounts(n)
+        assert 0 < d[0] < 1 and d[0] <= d[1] < 2 and d[1] <= d[2] < 3
+
+
+def test_ratios_by_direct_kneser_ney(spark):
+    """Every gram's and context's log ratio against the textbook recursion over dictionaries."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(3)
+    corpus = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 8))) for _ in range(400)]
+    classes_of = [[w for w in corpus[:250] if rng.random() < 0.7], [w for w in corpus[150:300] if rng.random() < 0.5]]
+    df = spark.createDataFrame([(w,) for w in corpus], "text string")
+    own = [Counter(g for w in ws for g in toxicity.grams(w)) for ws in classes_of]
+    counts = spark.createDataFrame([(g, g[:-1], own[0][g], own[1][g]) for g in own[0].keys() | own[1].keys()], "gram string, ctx string, n0 long, n1 long")
+    about, ratio = toxicity._ratios(counts, toxicity._continuations(df, "test"), "test")
+
+    def discount(values):
+        d = toxicity.discounts([sum(v == k for v in values) for k in (1, 2, 3, 4)])
+        return lambda c: d[min(c, 3) - 1] if c else 0.0
+
+    whole = {g for w in corpus for g in toxicity.grams(w)}
+    levels, top = {}, Counter(dict.fromkeys(whole, 1))
+    for k in range(toxicity.ORDER - 1, 0, -1):  # in how many longer grams each ends
+        shorter = Counter(g[-k:] if len(g) > k else g for g in top)
+        levels[k], top = {g: c for g, c in shorter.items() if len(g) == k}, shorter
+
+    def shared(g):
+        if not g:
+            return toxicity.UNSEEN
+        table = levels[len(g)]
+        if g not in table:
+            return None
+        d, mates = discount(table.values()), [c for x, c in table.items() if x[:-1] == g[:-1]]
+        low = shared(g[1:]) if len(g) > 1 else toxicity.UNSEEN
+        return (table[g] - d(table[g]) + sum(map(d, mates)) * (toxicity.UNSEEN if low is None else low)) / sum(mates)
+
+    ds = [discount(c.values()) for c in own]
+
+    def free(y, ctx):
+        mates = [c for x, c in own[y].items() if x[:-1] == ctx]
+        return sum(map(ds[y], mates)) / sum(mates) if mates else 1.0
+
+    def p(y, g):
+        total, low = sum(c for x, c in own[y].items() if x[:-1] == g[:-1]), shared(g[1:])
+        low = toxicity.UNSEEN if low is None else low
+        return ((own[y][g] - ds[y](own[y][g])) / total if total else 0.0) + free(y, g[:-1]) * low
+
+    got = {r.gram: r.x for r in ratio.collect()}
+    assert set(got) == own[0].keys() | own[1].keys()
+    for g, x in got.items():
+        assert x == pytest.approx(math.log(p(1, g) / p(0, g)), abs=1e-9)
+    for r in about.collect():
+        assert r.x == pytest.approx(math.log(free(1, r.ctx) / free(0, r.ctx)), abs=1e-9)
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(5)
     clean = [f"w{rng.randrange(300)}" for _ in range(4000)]
