@@ -24,8 +24,9 @@ SAMPLE = 20_000
 WINDOW = 2
 #: Words whose letters are looked up at once.
 TOGETHER = 20_000
-#: What the logistic weights' features are scaled by.
-SCALES = (1.0, 1.0, 0.5)
+#: The best so many words whose mean ratios are compared, and how many features that makes with the text's mean, its best window and its length.
+BEST = (1, 3, 6)
+FEATURES = len(BEST) + 3
 #: Leading bits of a hash that index the tables of ratios, at least.
 TOP = 18
 #: Probability of a letter without any count.
@@ -124,21 +125,26 @@ class Ratio:
         x[others] = np.nan_to_num(_look_up(self.rest, context[others]))
         return np.add.reduceat(x, first)
 
-    def batch(self, texts: list[str | None]) -> list[tuple[float, float, float]]:
-        """features() of each text; the words of all of them are scored together, each once."""
+    def batch(self, texts: list[str | None]) -> np.ndarray:
+        """features() of each text, a row each; the words of all of them are scored together, each once."""
         split = [(t or "").lower().split() for t in texts]
         words = list(set().union(*split))
         scores = dict(zip(words, self.words(words)))
-        return [self.features(w, scores, len(t or "")) for w, t in zip(split, texts)]
-
-    def features(self, words: list[str], scores: dict[str, float], size: int) -> tuple[float, float, float]:
-        """Mean ratio a letter of the text, best mean of WINDOW words, best word; all 0 without words."""
-        if not words:
-            return 0.0, 0.0, 0.0
-        x = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
-        sums = np.cumsum(np.append(0.0, x))
-        best = float((sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW) if len(x) >= WINDOW else float(x.sum()) / WINDOW
-        return float(x.sum()) / (size + 1), best, float(x.max())
+        return np.array([self.features(w, scores, len(t or "")) for w, t in zip(split, texts)]).reshape(-1, FEATURES)
+
+    def features(self, words: list[str], scores: dict[str, float], size: int) -> np.ndarray:
+        """Mean ratio a letter of the text, best mean of WINDOW words in a row, means of the BEST words, log of words; all 0 without words."""
+        out = np.zeros(FEATURES)
+        if words:
+            x = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
+            sums = np.cumsum(np.append(0.0, x))
+            most = BEST[-1]
+            top = np.sort(np.partition(x, len(x) - most)[-most:] if len(x) > most else x)[::-1]
+            out[0] = x.sum() / (size + 1)
+            out[1] = (sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW if len(x) >= WINDOW else x.sum() / WINDOW
+            out[2:-1] = [top[:k].mean() for k in BEST]
+            out[-1] = np.log1p(len(x))
+        return out
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -258,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, tag: str = "toxicity") -> tuple[Broa
     del own, rest
     give_back()
     held = features(sample.where("part = 3").select("text", "toxic"), model, ["toxic int"]).toPandas()
-    return model, logistic(held[["f0", "f1", "f2"]].to_numpy(), held.toxic.to_numpy(), weight=held.toxic.map(stands_for).to_numpy(float))
+    return model, logistic(held[[f"f{i}" for i in range(FEATURES)]].to_numpy(), held.toxic.to_numpy(), weight=held.toxic.map(stands_for).to_numpy(float))
 
 
 def _ratios(counts: DataFrame, levels: list[DataFrame], tag: str) -> tuple[DataFrame, DataFrame]:
@@ -307,54 +313,59 @@ def _backoff(levels: list[DataFrame], tag: str) -> DataFrame:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, weight: np.ndarray | None = None) -> np.ndarray:
-    """Ridge logistic weights, bias last, by Newton's method; a row counts `weight` times; without rows the score is low and constant."""
+    """Logistic weights of the columns of x, bias last, by Newton's method, ridge on standardised columns; a row counts `weight` times; without rows the score is low and constant."""
+    if not len(x):
+        return np.append(np.zeros(x.shape[1]), -5.0)
     weight = np.ones(len(x)) if weight is None else weight
-    x = np.column_stack([x * SCALES, np.ones(len(x))])
-    w = np.array([0.0, 0.5, 0.25, -5.0])
+    mean = weight @ x / weight.sum()
+    sd = np.sqrt(weight @ (x - mean) ** 2 / weight.sum()) + 1e-9
+    z = np.column_stack([(x - mean) / sd, np.ones(len(x))])
+    w = np.append(np.zeros(x.shape[1]), -2.0)
     prior = w.copy()
 
     def loss(w: np.ndarray) -> float:
-        z = x @ w
-        return float(weight @ (np.logaddexp(0, z) - y * z) + ridge * ((w - prior) ** 2).sum() / 2)
+        t = z @ w
+        return float(weight @ (np.logaddexp(0, t) - y * t) + ridge * ((w - prior) ** 2).sum() / 2)
 
     now = loss(w)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + ridge * (w - prior)
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(4), grad)
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        grad = z.T @ (weight * (p - y)) + ridge * (w - prior)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), grad)
         while (after := loss(w - step)) > now and np.abs(step).max() >= 1e-6:  # a whole step can overshoot
             step = step / 2
         if np.abs(step).max() < 1e-6:
             break
         w, now = w - step, after
-    return w
+    return np.append(w[:-1] / sd, w[-1] - w[:-1] @ (mean / sd))
 
 
 def features(rows: DataFrame, model: Broadcast, carry: list[str]) -> DataFrame:
-    """(*carry, f0, f1, f2) for rows(text, *carry)."""
+    """(*carry, f0, f1, ...) for rows(text, *carry)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
         ratio = Ratio(*model.value)
         for b in small(batches):
             f = ratio.batch(b.column(0).to_pylist())
-            yield {c.split()[0]: b.column(i + 1) for i, c in enumerate(carry)} | {f"f{j}": [x[j] for x in f] for j in range(3)}
+            yield {c.split()[0]: b.column(i + 1) for i, c in enumerate(carry)} | {f"f{j}": f[:, j] for j in range(FEATURES)}
 
-    return map_rows(rows, ", ".join([*carry, "f0 double, f1 double, f2 double"]), run)
+    return map_rows(rows, ", ".join([*carry, *(f"f{j} double" for j in range(FEATURES))]), run)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, tag: str = "toxicity") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text, ...).
 
-    A text's toxic and ordinary log likelihoods are compared a letter over the whole text, a word in its best window
-    and in its best word; a logistic of the three is the score. Null, empty and blank texts score as texts without
+    A text's toxic and ordinary log likelihoods are compared a letter over the whole text, a word in its worst window
+    and in its worst 1, 3 and 6 words; a logistic of these and of the text's length, by which the worst of many
+    ordinary words seems worse, is the score. Null, empty and blank texts score as texts without
     evidence. Labels train only where the document's split is not 2 and are never looked at for a score. Without
     labels every score is low. A score equal to the threshold is predicted toxic; a very long text is compared whole,
-    its mean beside its worst window. Repeated rows keep a row each; other columns are not used; an empty table gives none.
+    its mean beside its worst words. Repeated rows keep a row each; other columns are not used; an empty table gives none.
     """
     docs = documents(docs)
     model, w = fit(docs, labels, tag)
     f = features(docs.select("text", "doc_id"), model, ["doc_id long"])
-    z = sum((F.col(f"f{i}") * float(w[i] * SCALES[i]) for i in range(3)), F.lit(float(w[3])))
+    z = sum((F.col(f"f{i}") * float(w[i]) for i in range(FEATURES)), F.lit(float(w[-1])))
     scored = f.withColumn("score", 1 / (1 + F.exp(F.greatest(F.least(-z, F.lit(30.0)), F.lit(-30.0)))))
     return scored.select("doc_id", F.coalesce(split_of("doc_id") == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -366,8 +377,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ta
     limit = float(np.log(threshold / (1 - threshold)))
 
     def clean(b: pa.RecordBatch) -> list[bool]:
-        f = np.array(Ratio(*model.value).batch(b.column(at).to_pylist())).reshape(-1, 3)
-        return (f * SCALES @ w[:3] + w[3] < limit).tolist()
+        f = Ratio(*model.value).batch(b.column(at).to_pylist())
+        return (f @ w[:-1] + w[-1] < limit).tolist()
 
     return decide(docs, clean)
 
