@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -14,15 +14,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import decide, documents, map_rows, read, small
+from .common import decide, documents, map_rows, read, scratch, small
 
 K1, B = 1.2, 0.75
 #: Items whose largest contributions one block bound covers.
 BLOCK = 4
 #: Windows that are bounded together.
 TOGETHER = 64
-#: Bytes of item texts that one index holds at most; more items make more indexes, each of which sees all documents.
-INDEX_BYTES = 32_000_000
+#: Bytes of item texts that one index holds (about); more items make more indexes, of which workers hold one at a time and each sees all documents.
+INDEX_BYTES = 4_000_000
 #: Share of an item's own BM25 score at which a passage is retrieved.
 RETRIEVE = 0.6
 #: Share of the question's and of the answer's words that common runs of SHINGLE words, or the whole part, must cover.
@@ -42,16 +42,30 @@ def answer_at(text: str, n: int) -> int:
     return at if 0 < at < n else n - max(1, n // 3)
 
 
+class Stats:
+    """What BM25 asks of all items: how many there are, their mean and greatest length, and in how many each term is."""
+
+    def __init__(self, n: int, mean: float, longest: int, df: dict[bytes, int]):
+        self.n, self.mean, self.longest, self.df = n, mean, longest, df
+
+    @classmethod
+    def of(cls, lists: list[list[bytes]]) -> Stats:
+        sizes = list(map(len, lists))
+        return cls(len(sizes), sum(sizes) / max(len(sizes), 1), max(sizes, default=0), Counter(t for w in lists for t in set(w)))
+
+
 class Index:
-    """Postings of items (id, text): per term, items in order, their share of the item's own score, block maxima."""
+    """Postings of items (id, text): per term, items in order, their share of the item's own score, block maxima.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    stats are those of all items, of which these may be a part: so scores and windows are the same in any part.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], stats: Stats | None = None):
         self.items = [(i, w, answer_at(t, len(w))) for i, t in sorted(items) if (w := words(t))]
-        n = len(self.items)
+        stats = stats or Stats.of([w for _, w, _ in self.items])
         tf = [Counter(w) for _, w, _ in self.items]
-        df = Counter(t for c in tf for t in c)
-        mean = sum(len(w) for _, w, _ in self.items) / max(n, 1)
-        self.term: dict[bytes, int] = {t: k for k, t in enumerate(sorted(df))}
+        n, df, mean = stats.n, stats.df, stats.mean
+        self.term: dict[bytes, int] = {t: k for k, t in enumerate(sorted({t for c in tf for t in c}))}
         posts: list[list[tuple[int, float]]] = [[] for _ in self.term]
         for d, c in enumerate(tf):
             norm = K1 * (1 - B + B * sum(c.values()) / mean)
@@ -68,12 +82,12 @@ class Index:
             for d, x in p:
                 top[d // BLOCK] = max(top.get(d // BLOCK, 0.0), x)
             self.blocks.append(top)
-        self.n_blocks = max(1, -(-n // BLOCK))
+        self.n_blocks = max(1, -(-len(self.items) // BLOCK))
         self.block_size = np.array([len(x) for x in self.blocks] + [0])
         self.block_start = np.cumsum(self.block_size) - self.block_size
         self.block_id = np.array([k for x in self.blocks for k in x], np.int64)
         self.block_most = np.array([v for x in self.blocks for v in x.values()])
-        self.longest = max((len(w) for _, w, _ in self.items), default=0)
+        self.longest = stats.longest
         self.shingles = [{tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} for _, w, _ in self.items]
 
     def wand(self, terms: list[int], least: float) -> list[tuple[int, float]]:
@@ -170,56 +184,94 @@ class Index:
         return found
 
 
-def _indexes(items: DataFrame) -> list[Broadcast]:
-    """Indexes of bounded size that together hold every item."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
+def _indexes(items: DataFrame, tag: str) -> Iterator[tuple[Broadcast, bool]]:
+    """Indexes of bounded size that together hold every item, one after the other, and whether it is the last: at least one."""
+    spark = items.sparkSession
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = math.ceil(total / INDEX_BYTES) or 1
-    out = []
+    if n == 1:
+        yield spark.sparkContext.broadcast(Index([tuple(r) for r in rows.collect()])), True
+        return
+    rows = scratch(rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")), tag)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
+        for b in small(batches):
+            out: dict[str, list] = {"item": [], "part": [], "size": [], "term": []}
+            for part, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if w := words(text):
+                    terms = sorted(set(w))
+                    out["part"] += [part] * len(terms)
+                    out["size"] += [len(w)] + [0] * (len(terms) - 1)  # an item's size stands with its first term
+                    out["item"] += [1] + [0] * (len(terms) - 1)
+                    out["term"] += terms
+            yield out
+
+    terms = scratch(map_rows(rows.select("part", "text"), "item int, part int, size long, term binary", split), tag)
+    one = terms.agg(F.sum("item").alias("n"), F.sum("size").alias("words"), F.max("size").alias("longest")).first()
+    df = scratch(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), tag)
     for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        out.append(items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.collect()])))
-    return out
+        own = terms.where(F.col("part") == k).select("term").distinct()
+        told = {bytes(r.term): r.df for r in df.join(own, "term").collect()}
+        stats = Stats(one.n or 0, (one.words or 0) / max(one.n or 0, 1), one.longest or 0, told)
+        yield spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in rows.where(F.col("part") == k).select("item_id", "text").collect()], stats)), k == n - 1
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, least: float = RETRIEVE, overlap: float = OVERLAP) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, least: float = RETRIEVE, overlap: float = OVERLAP, tag: str = "decontaminate") -> DataFrame:
     """(doc_id, n_items, item_ids, best_share, contaminated) for every row of docs(doc_id, text, ...).
 
     items(item_id, text) make the index. A document is contaminated if one of its passages reaches `least` of an
     item's own BM25 score and common runs of five words cover `overlap` of the item's question and of its answer; a
-    question or answer of fewer than five words is also covered where it stands whole anywhere in the passage.
+    question or answer of fewer than five words is also covered where it stands whole anywhere in the passage. Exactly
+    `least` or `overlap` is enough.
+    More items than one index takes are asked in parts, by the frequencies and lengths of all: the documents pass once a
+    part, and what is found is written in between, so that no worker holds two parts.
     Null and empty texts, and items without words or an id, match nothing; an item of fewer than five words must occur whole.
-    Repeated rows keep a row each; other columns are not used; empty tables give no rows, or no hits.
+    Very long texts are searched passage by passage. Repeated rows keep a row each, repeated items count once; other
+    columns are not used; empty tables give no rows, or no hits.
     """
-    result = documents(docs)
-    indexes = _indexes(items)
+    known = "array<struct<item:long,share:double>>"
+    found = documents(docs).withColumn("found", F.array().cast(known))
+    last: Broadcast | None = None
+    for index, ends in _indexes(items, tag):
+        if last:
+            found = scratch(found, tag)
+            last.unpersist()
+        last = index
+        carried = "doc_id long" if ends else "doc_id long, text string"
+        found = map_rows(found, f"{carried}, found {known}", _searched(index, least, overlap, ends))
+    best = F.least(F.lit(1.0), F.coalesce(F.array_max("found.share"), F.lit(0.0)))
+    ids = F.array_sort(F.array_distinct("found.item"))
+    return found.select("doc_id", F.size(ids).alias("n_items"), ids.alias("item_ids"), best.alias("best_share"), (F.size("found") > 0).alias("contaminated"))
+
 
+def _searched(index: Broadcast, least: float, overlap: float, ends: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterable[dict]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
         for b in small(batches):
-            out: dict[str, list] = defaultdict(list)
-            for text in b.column(1):
-                found: dict[int, float] = {}
-                text = text.as_py()
-                for index in indexes:
-                    found |= index.value.search(text, least, overlap)
-                out["n_items"].append(len(found))
-                out["item_ids"].append(sorted(found))
-                out["best_share"].append(min(1.0, max(found.values(), default=0.0)))
-                out["contaminated"].append(bool(found))
-            if b.num_rows:
-                yield {"doc_id": b.column(0)} | out
-
-    return map_rows(result, "doc_id long, n_items int, item_ids array<long>, best_share double, contaminated boolean", run)
-
-
-def without_leaks(docs: DataFrame, items: DataFrame, least: float = RETRIEVE, overlap: float = OVERLAP) -> DataFrame:
-    """docs, all columns, without the documents that decontaminate() finds contaminated."""
-    indexes, at = _indexes(items), docs.columns.index("text")
-
-    def clean(b: pa.RecordBatch) -> list[bool]:
-        return [not any(i.value.search(t, least, overlap) for i in indexes) for t in b.column(at).to_pylist()]
-
-    return decide(docs, clean)
+            out = []
+            for text, found in zip(b.column(1), b.column(2)):
+                new = index.value.search(text.as_py(), least, overlap)
+                out.append((found.as_py() or []) + [{"item": i, "share": x} for i, x in new.items()])
+            yield {"doc_id": b.column(0), "found": out} | ({} if ends else {"text": b.column(1)})
+
+    return run
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, least: float = RETRIEVE, overlap: float = OVERLAP, tag: str = "decontaminate") -> DataFrame:
+    """docs, all columns, without the documents that decontaminate() finds contaminated; null and empty texts and repeated clean rows stay."""
+    at = docs.columns.index("text")
+    last: Broadcast | None = None
+    for index, _ in _indexes(items, tag):
+        if last:
+            docs = scratch(docs, tag)
+            last.unpersist()
+        last = index
+        docs = decide(docs, _clean(index, at, least, overlap))
+    return docs
+
+
+def _clean(index: Broadcast, at: int, least: float, overlap: float) -> Callable[[pa.RecordBatch], list[bool]]:
+    return lambda b: [not index.value.search(t, least, overlap) for t in b.column(at).to_pylist()]
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

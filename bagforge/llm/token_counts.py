@@ -47,31 +47,29 @@ class CountingViterbi:
     def word(self, w: str) -> int:
         """Pieces of a word that already carries its mark."""
         n = len(w)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, (size, score) in self.machine.iter(w):
-            ends[last + 1].append((size, score))
-        best, came, known = [0.0] + [-math.inf] * n, [0] * (n + 1), [True] * (n + 1)
+        matches = self.machine.iter(w)  # by where they end
+        last, match = next(matches, (n, None))
+        # per place: the best score, the pieces that reach it, where a run of unknowns that ends there began (-1: none does) and its bytes (-1: some have no piece)
+        best, count, run, spelled = [0.0] + [-math.inf] * n, [0] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            top, start, good = -math.inf, -1, True
-            single = False
-            for size, score in sorted(ends[end], reverse=True):  # the earliest start first
+            found = []
+            while last == end - 1:
+                found.append(match)
+                last, match = next(matches, (n, None))
+            top, start, single = -math.inf, -1, False
+            for size, score in sorted(found, reverse=True):  # the earliest start first
                 single |= size == 1
                 if (x := score + best[end - size]) > top or start < 0:
                     top, start = x, end - size
             if not single and ((x := self.unknown + best[end - 1]) > top or start < 0):
-                top, start, good = x, end - 1, False
-            best[end], came[end], known[end] = top, start, good
-        count, end = 0, n
-        while end > 0:
-            if known[end]:
-                count, end = count + 1, came[end]
-                continue
-            stop = end
-            while end > 0 and not known[end]:
-                end = came[end]
-            raw = w[end:stop].encode()
-            count += len(raw) if self.bytes.issuperset(raw) else 1
-        return count
+                best[end], old = x, run[end - 1] >= 0
+                run[end] = run[end - 1] if old else end - 1
+                raw = w[end - 1].encode("utf-8", "surrogatepass")
+                spelled[end] = spelled[end - 1] * old + len(raw) if self.bytes.issuperset(raw) and (spelled[end - 1] >= 0 or not old) else -1
+                count[end] = count[run[end]] + (spelled[end] if spelled[end] >= 0 else 1)
+            else:
+                best[end], count[end] = top, count[start] + 1
+        return count[n]
 
     def text(self, text: str | None) -> int:
         """Pieces of a text whose words, split at white space, are marked and counted one by one."""
@@ -101,8 +99,10 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, n_words) for every row of docs(doc_id, text, ...).
 
     n_tokens is what a unigram tokenizer with the file's pieces and scores gives: white space split off, a mark
-    before each word, byte fallback. A word is scored once a worker and looked up after that. Null, empty and blank
-    texts have 0 tokens. Repeated rows keep a row each; other columns are not used; an empty table gives none.
+    before each word, byte fallback. A file of another kind of model (byte-pair merges) is read as unigram too: its
+    scores are its merges' ranks, and its own library counts otherwise. A word is scored once a worker and looked up
+    after that; of equal scores the path whose last piece begins earliest counts. Null, empty and blank texts have 0
+    tokens; a very long text costs its distinct words. Repeated rows keep a row each; other columns are not used; an empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:

@@ -79,6 +79,25 @@ def test_forest_and_tiny_pairs():
     assert set(zip(a.tolist(), b.tolist())) == {(0, 1), (1, 2), (0, 2), (4 + links.TINY + 1, 4 + links.TINY + 2)}
 
 
+def test_very_long_texts(spark):
+    """A megabyte of one character or word in a row, for every operator that reads text."""
+    import public_tokenizers
+
+    n = 1_000_000
+    texts = [" " * n, "\n" * n, "a" * n, "🙂" * (n // 4), "漢" * (n // 3), "a " * (n // 2), "1" * n, "1 " * (n // 2), "@" * n, "a@b." * (n // 4), "mit license " * (n // 12), "1.2.3.4 " * (n // 8), "\u3000" * (n // 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    per_row = [
+        sharding.balanced_shards(docs, 4), quality.quality(docs), licenses.license_scan(docs), pii.find_personal_data(docs), decontaminate.decontaminate(docs, bench),
+        token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")), simhash.simhash_groups(docs), toxicity.score(docs, labels), pii.redact(docs), simhash.without_near_duplicates(docs),
+    ]
+    for df in per_row:
+        assert len({r[0] for r in df.select("doc_id").collect()}) >= len(texts) - 5 * (df is per_row[-1])
+    packed = packing.pack(docs, packing.vocabulary_path()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    assert len(packed) == len(texts) and all(r.n == r.t for r in packed)
+
+
 # ---- 1
 
 
@@ -492,6 +511,54 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.decontaminate(empty, bench).count() == 0
 
 
+def test_parts_of_the_index_find_what_one_finds(spark, monkeypatch):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    rows = bench.orderBy("item_id").collect()
+    half = [(i, f"{r.text[: len(r.text) * (5 + i % 6) // 10]} and {rows[-i].text}") for i, r in enumerate(rows)]
+    df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in half] + [(None, None), (7, "")], "doc_id long, text string"))
+    one = sorted(map(tuple, decontaminate.decontaminate(df, bench).collect()), key=repr)
+    total = sum(len(r.text.encode()) for r in rows)
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", total // 4 + 1)
+    assert [end for _, end in decontaminate._indexes(bench, "test")] == [False] * 3 + [True]
+    four = sorted(map(tuple, decontaminate.decontaminate(df, bench).collect()), key=repr)
+    assert [x[:3] + x[4:] for x in one] == [x[:3] + x[4:] for x in four] and np.allclose([x[3] for x in one], [x[3] for x in four])
+    assert sum(x[4] for x in one) > len(rows)
+    clean = sorted((r.doc_id or -1) for r in decontaminate.without_leaks(df, bench).collect())
+    assert clean == sorted((x[0] or -1) for x in one if not x[4])
+
+
+def test_decisions_by_brute_force(spark):
+    """BM25 of every window against every item, then the overlap: what the index and its bounds must find."""
+    import math
+    from collections import Counter
+
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").collect()[:60]
+    rng = random.Random(7)
+    items = [(r.item_id, r.text) for r in bench]
+    ix = decontaminate.Index(items)
+    split = {i: decontaminate.words(t) for i, t in items}
+    n, mean = len(items), sum(map(len, split.values())) / len(items)
+    df = Counter(t for w in split.values() for t in set(w))
+
+    def weights(w):
+        c = Counter(w)
+        norm = decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * len(w) / mean)
+        return {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (decontaminate.K1 + 1) / (f + norm) for t, f in c.items()}
+
+    for _ in range(40):
+        text = " ".join(" ".join(t.split()[: rng.randint(1, 60)]) if rng.random() < 0.7 else prose(rng, 30) for _, t in rng.sample(items, 5))
+        w, step, want = decontaminate.words(text), ix.longest, {}
+        for b in range(0, max(len(w) - step, 1), step):
+            window = w[b : b + 2 * step]
+            for k, (i, own, answer) in enumerate(ix.items):
+                x = weights(own)
+                share = sum(v for t, v in x.items() if t in set(window)) / sum(x.values())
+                if share >= decontaminate.RETRIEVE - 1e-9 and min(ix.overlap(k, window)) >= decontaminate.OVERLAP:
+                    want[i] = max(want.get(i, 0), share)
+        got = ix.search(text, decontaminate.RETRIEVE, decontaminate.OVERLAP)
+        assert set(got) == set(want) and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
 def test_short_answers_apart_from_their_question():
     item = "Which river flows through the old town of Bern in Switzerland?\nAare"
     q, noise = item.split("\n")[0], "some words that no item has " * 3
@@ -519,6 +586,16 @@ def test_token_counts(docs, empty, texts):
     c = token_counts.counter(path)
     for t in [t for t in texts if t and len(t) < 20_000] + ["  a\x1cb \x85 c", "x▁y ▁z", "<s> <0x41>", "​　é"]:
         assert c.text(t) == len(tok.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(2)
+    for _ in range(300):  # unknown characters in runs, with and without pieces for their bytes
+        t = "".join(rng.choice(["a", "the", "漢", "𝔛", "é", "\u0378", "🙂", "z", " "]) for _ in range(rng.randint(1, 14)))
+        assert c.text(t) == len(tok.encode(t, add_special_tokens=False).ids)
+    bare = Tokenizer(models.Unigram([("<unk>", 0.0), ("▁", -2.0), ("a", -1.0), ("ab", -1.5), ("b", -1.0), ("▁a", -2.5), ("<0xC3>", -3.0), ("<0xA9>", -3.0)], unk_id=0, byte_fallback=True))
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace()])
+    own = token_counts.CountingViterbi([("<unk>", 0.0), ("▁", -2.0), ("a", -1.0), ("ab", -1.5), ("b", -1.0), ("▁a", -2.5), ("<0xC3>", -3.0), ("<0xA9>", -3.0)], 0)
+    for _ in range(500):
+        t = "".join(rng.choice("ab xé漢") for _ in range(rng.randint(1, 12)))
+        assert own.text(t) == len(bare.encode(t, add_special_tokens=False).ids), t
     got = {r.doc_id: r for r in token_counts.token_counts(docs, path).collect()}
     assert all(got[i].n_tokens == c.text(t) for i, t in enumerate(texts)) and token_counts.token_counts(empty, path).count() == 0
 
