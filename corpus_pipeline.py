@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     drop_scratch(spark, TAG)
-    return without_leaks(docs, read(spark, sf_dir, "benchmark"))
+    return without_leaks(docs, read(spark, sf_dir, "benchmark"), tag=TAG)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
