@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, read, small, thinned, utf8
+from .common import bounded_sample, documents, map_rows, read, small, utf8
 
-#: Documents, by a hash of doc_id, that the scorer is fitted on (about), and hashed features that it has.
+#: Documents, by a hash of doc_id and text, that the scorer is fitted on at most, and hashed features that it has.
 SAMPLE, BUCKETS = 8000, 1 << 14
 #: A worker's memo of word buckets is emptied beyond this many words.
 MEMO = 500_000
@@ -103,7 +103,7 @@ class Hasher:
             memo.clear()
         for w in counts:
             if w not in memo:
-                memo[w] = zlib.crc32(w[-6:]) % BUCKETS
+                memo[w] = zlib.crc32(w) % BUCKETS
         at = np.fromiter((memo[w] for w in counts), np.int64, len(counts))
         x = np.log1p(np.fromiter(counts.values(), float, len(counts)))
         x /= np.sqrt((x * x).sum()) or 1.0
@@ -133,9 +133,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 8, rat
 def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, votes, posterior, score, keep) for every row of docs(doc_id, text, ...).
 
-    Every document's votes count towards the labellers' accuracies. The scorer learns the posteriors of about
-    SAMPLE documents and scores all. keep: score >= threshold. A null or empty text gets the votes of a text without
-    words. Repeated rows keep a row each; other columns are not used; an empty table gives none.
+    Every document's votes count towards the labellers' accuracies. The scorer learns the posteriors of at most
+    SAMPLE documents and scores all. keep: score >= threshold, so a score that is equal is kept. A null or empty text
+    gets the votes of a text without words; a very long one is measured whole. Repeated rows keep a row each; other columns are not used; an empty table gives none.
     """
     docs = documents(docs)
 
@@ -148,7 +148,7 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     patterns = map_rows(docs.select("text"), "votes string, n long", vote).groupBy("votes").agg(F.sum("n").alias("n"))
     good, _ = posteriors({r.votes: r.n for r in patterns.collect()})
 
-    texts = thinned(docs, SAMPLE, docs.count(), "doc_id")
+    texts = bounded_sample(docs, SAMPLE, docs.count(), "doc_id", "text", spare=1.2)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
         h = Hasher()
@@ -163,7 +163,7 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
             if b.num_rows:
                 yield out
 
-    rows = map_rows(texts.select("text"), "at binary, x binary, p double", hashed).collect()  # about SAMPLE rows
+    rows = map_rows(texts.select("text"), "at binary, x binary, p double", hashed).collect()  # at most SAMPLE rows
     rows = sorted((bytes(r.at), bytes(r.x), r.p) for r in rows)
     weights = docs.sparkSession.sparkContext.broadcast(train([(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(x, np.float32).astype(float), p) for a, x, p in rows]))
 

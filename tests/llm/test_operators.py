@@ -216,6 +216,54 @@ def test_quality(spark, docs, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_accuracies_by_direct_expectation_maximisation():
+    """Patterns drawn from known labellers: the estimates against plain loops over rows, and against the truth."""
+    rng = random.Random(5)
+    right = [0.95, 0.9, 0.85, 0.8]  # P(vote is right)
+    patterns = {}
+    for _ in range(4000):
+        good = rng.random() < 0.8
+        votes = "".join("0" if rng.random() < 0.2 else "+" if good == (rng.random() < r) else "-" for r in right)
+        patterns[votes] = patterns.get(votes, 0) + 1
+    got, theta = quality.posteriors(patterns)
+    p, t = 0.85, [{True: {"-": 0.02, "+": 0.98}, False: {"-": 0.3, "+": 0.7}} for _ in right]
+    for _ in range(60):
+        post = {}
+        for v in patterns:
+            like = {g: (p if g else 1 - p) for g in (True, False)}
+            for j, c in enumerate(v):
+                for g in like:
+                    like[g] *= t[j][g].get(c, 1.0)
+            post[v] = like[True] / (like[True] + like[False])
+        for j in range(len(right)):
+            for g in (True, False):
+                mass = {c: sum((post[v] if g else 1 - post[v]) * n for v, n in patterns.items() if v[j] == c) for c in "+-"}
+                t[j][g] = {c: (mass[c] + 0.5) / (mass["+"] + mass["-"] + 1) for c in "+-"}
+        p = sum(post[v] * n for v, n in patterns.items()) / sum(patterns.values())
+    assert all(got[v] == pytest.approx(post[v], abs=1e-6) for v in patterns)
+    assert all(theta[j, 1, 2] == pytest.approx(r, abs=0.04) for j, r in enumerate(right))
+
+
+def test_scorer_learns_a_linear_rule():
+    rng = np.random.default_rng(1)
+    h = quality.Hasher()
+    texts = [" ".join(rng.choice(["good", "fine", "bad", "poor", "neutral"], 12, p=[0.4, 0.3, 0.05, 0.05, 0.2] if i % 2 else [0.05, 0.05, 0.4, 0.3, 0.2])).encode() for i in range(400)]
+    rows = [(*h.features(t, quality.measure(t)), float(i % 2)) for i, t in enumerate(texts)]
+    w = quality.train(rows[:300])
+    p = [1 / (1 + np.exp(-(w[a] @ x))) for a, x, _ in rows[300:]]
+    assert np.mean([(x > 0.5) == (y > 0.5) for x, (_, _, y) in zip(p, rows[300:])]) > 0.95
+
+
+def test_samples_are_bounded_where_ids_are_one(spark):
+    """Null ids and one id throughout: the sample is neither empty nor all."""
+    from bagforge.llm import common
+
+    df = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    n = common.bounded_sample(df, 500, 5000, "doc_id", "text").count()
+    assert 400 <= n <= 500
+    assert common.bounded_sample(spark.range(5000).select(F.lit(1).alias("doc_id"), F.lit("x").alias("text")), 500, 5000, "doc_id", "text").count() <= 500
+
+
 def test_quality_against_labels(spark):
     d = "/root/testdata/sf0.01"
     m = quality.op3_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").groupBy("quality", "keep").count().collect()
@@ -266,6 +314,53 @@ def test_license_with_an_edit():
     assert [label for label, *_ in x["spans"]] == ["mit"] and 0.9 < x["score"] < 1 and not x["places"]
 
 
+def test_chains_by_brute_force():
+    """The best chain at each match against all orders of matches, by the words that lie under them."""
+    import itertools
+
+    rng = random.Random(3)
+    template = " ".join(f"w{i}" for i in range(14))
+    s = licenses.Scanner(templates=[("x", template)])
+    k = len(s.sequences) - 1
+    for _ in range(200):
+        found = set()
+        for _ in range(rng.randint(1, 6)):
+            size = rng.randint(3, 6)
+            found.add((rng.randint(size, 60), rng.randint(size, 14), size))
+        found = sorted(found)
+        got = s._chain(k, found)
+        for i, (end, last, size) in enumerate(found):
+            best = 0
+            for chosen in itertools.chain.from_iterable(itertools.combinations(range(i), n) for n in range(i + 1)):
+                covered, before = 0, None
+                for e, l, z in [found[j] for j in chosen] + [(end, last, size)]:
+                    new = z if before is None else min(z, e - before[0], l - before[1])
+                    if new <= 0 or (before and e - new - before[0] > licenses.GAP):
+                        break
+                    covered, before = covered + new, (e, l)
+                else:
+                    best = max(best, covered)
+            assert got[i][0] == best / 14
+
+
+def test_edited_notices_are_found():
+    """Recall of notices with a share of their words replaced, and none found in prose."""
+    rng = random.Random(4)
+    s = licenses.Scanner()
+    long = [(label, t) for label, t in licenses.TEMPLATES if len(t.split()) >= 20]
+    told = {}
+    for share in (0.02, 0.05, 0.1):
+        hit = n = 0
+        for label, t in long:
+            for _ in range(20):
+                w = [x if rng.random() > share else "edited" for x in t.split()]
+                n += 1
+                hit += label in {x for x, *_ in s.scan((prose(rng, 50) + " " + " ".join(w) + " " + prose(rng, 50)).encode())["spans"]}
+        told[share] = hit / n
+    print("EDITED", told)
+    assert told[0.02] > 0.95 and told[0.05] > 0.85
+
+
 def test_every_notice_is_a_span():
     s = licenses.Scanner()
     whole = licenses.TEMPLATES[1][1]
