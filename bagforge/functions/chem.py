@@ -255,6 +255,12 @@ def five_types(m: Mol) -> list[str]:
     return [f"({NUMBER[a.symbol]},{n},{h[i]},{valence(m, i) - h[i]},{a.charge})" for i, (a, n) in enumerate(zip(m.atoms, heavy_degree(m)))]
 
 
+def daylight_types(m: Mol) -> list[str]:
+    """`(number,heavy neighbours,hydrogens,valence to heavy atoms,charge,in a ring)` of each heavy atom; hydrogens have none."""
+    h, ring = hydrogen_count(m), ring_atoms(m)
+    return ["" if a.symbol == "H" else f"({NUMBER[a.symbol]},{n},{h[i]},{valence(m, i) - h[i]},{a.charge},{int(i in ring)})" for i, (a, n) in enumerate(zip(m.atoms, heavy_degree(m)))]
+
+
 def _ring_kind(m: Mol) -> list[int]:
     on = ring_atoms(m)
     return [0 if i not in on else 2 if a.aromatic else 1 for i, a in enumerate(m.atoms)]

@@ -14,6 +14,7 @@ from ..functions import chem
 SCHEMES: dict[str, Callable[[chem.Mol], list]] = {
     "pi": chem.pi_types,
     "five": chem.five_types,
+    "daylight": chem.daylight_types,
     "simple": chem.simple_types,
     "neighbours": chem.neighbour_types,
     "element": lambda m: [a.symbol for a in m.atoms],
@@ -42,7 +43,7 @@ def typed(mols: DataFrame, scheme: str = "pi", hydrogens: bool = False) -> DataF
 
 
 def properties(mols: DataFrame) -> DataFrame:
-    """mols(idx, name, smiles) with what the kernel computes: mass, heavy atoms, charge, rings, aromatic rings' atoms, rotatable bonds, acceptors, donors, formula."""
+    """mols(idx, name, smiles) with what the kernel computes: mass, heavy atoms, charge, rings, rotatable bonds, acceptors, donors, formula; what can't be read has its error and nulls."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -50,14 +51,15 @@ def properties(mols: DataFrame) -> DataFrame:
             for idx, name, smiles in zip(b.idx, b.name_, b.smiles):
                 try:
                     m = chem.parse(smiles)
-                except ValueError:
+                except (ValueError, TypeError) as e:
+                    rows.append((idx, name, *[None] * 10, str(e)))
                     continue
                 h = chem.hydrogen_count(m)
                 hetero = [i for i, a in enumerate(m.atoms) if a.symbol in ("N", "O")]
-                rows.append((idx, name, chem.mass(m), sum(a.symbol != "H" for a in m.atoms), sum(a.charge for a in m.atoms), chem.ring_count(m), len(chem.rotatable_bonds(m)), len(hetero), sum(h[i] > 0 for i in hetero), chem.formula(chem.all_elements(m)), sorted({a.symbol for a in m.atoms}), chem.peptide_chain(m)))
-            yield pd.DataFrame(rows, columns=["idx", "name", "MolW", "HA", "FC", "rings", "RotB", "HBA", "HBD", "formula", "elements", "peptide_bonds"])
+                rows.append((idx, name, chem.mass(m), sum(a.symbol != "H" for a in m.atoms), sum(a.charge for a in m.atoms), chem.ring_count(m), len(chem.rotatable_bonds(m)), len(hetero), sum(h[i] > 0 for i in hetero), chem.formula(chem.all_elements(m)), sorted({a.symbol for a in m.atoms}), chem.peptide_chain(m), None))
+            yield pd.DataFrame(rows, columns=["idx", "name", "MolW", "HA", "FC", "rings", "RotB", "HBA", "HBD", "formula", "elements", "peptide_bonds", "error"], dtype=object)
 
-    return mols.select("idx", F.col("name").alias("name_"), "smiles").mapInPandas(run, "idx long, name string, MolW double, HA int, FC int, rings int, RotB int, HBA int, HBD int, formula string, elements array<string>, peptide_bonds int")
+    return mols.select("idx", F.col("name").alias("name_"), "smiles").mapInPandas(run, "idx long, name string, MolW double, HA int, FC int, rings int, RotB int, HBA int, HBD int, formula string, elements array<string>, peptide_bonds int, error string")
 
 
 def generate(mols: DataFrame, how: Callable[[chem.Mol], list[chem.Mol]]) -> DataFrame:
@@ -128,10 +130,11 @@ def layered_formulas(graphs: DataFrame, radius: int | None = None) -> DataFrame:
     return atom.select("idx", "name", feat).groupBy("idx", "name", "feat").agg(F.count(F.lit(1)).cast("int").alias("cnt"))
 
 
-def bigrams(tokens: DataFrame, mol: str, pos: str, word: str) -> DataFrame:
-    """(mol, first, second, n): consecutive words of each entity, counted."""
-    following = tokens.select(F.col(mol), (F.col(pos) - 1).alias(pos), F.col(word).alias("second"))
-    return tokens.withColumnRenamed(word, "first").join(following, [mol, pos]).groupBy(mol, "first", "second").agg(F.count(F.lit(1)).alias("n"))
+def bigrams(rows: DataFrame, mol: str, words: Column) -> DataFrame:
+    """(mol, first, second, n): consecutive words of each row's array, counted per entity; pairs are made in the row, so nothing is joined."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
+    return rows.select(mol, F.explode(pairs).alias("p")).groupBy(mol, F.col("p.first").alias("first"), F.col("p.second").alias("second")).agg(F.count(F.lit(1)).alias("n"))
 
 
 #: Elements with a channel of their own in layers in space.

@@ -10,28 +10,42 @@ from pyspark.sql import functions as F
 from .dictionary import numbered
 
 
+#: Rows in order whose sums one task runs up.
+CHUNK = 4096
+
+
+def running_sums(rows: DataFrame, order: list, sums: dict[str, str], before: bool = False) -> DataFrame:
+    """rows with sums {out: column} over all rows up to each in order (before: up to the one ahead, 0 for the first).
+
+    Rows are numbered and summed by chunks; a chunk starts from the sums of the chunks ahead, a row each, so no window
+    takes all rows into one task.
+    """
+    placed = numbered(rows, order, "_place").withColumn("_chunk", F.floor(F.col("_place") / CHUNK))
+    names = list(sums)
+    parts = placed.groupBy("_chunk").agg(*[F.sum(sums[o]).alias(f"_s{i}") for i, o in enumerate(names)])
+    past = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = parts.select("_chunk", *[F.coalesce(F.sum(f"_s{i}").over(past), F.lit(0)).alias(f"_a{i}") for i in range(len(names))])
+    own = Window.partitionBy("_chunk").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    run = placed.select("*", *[F.coalesce(F.sum(sums[o]).over(own), F.lit(0)).alias(f"_w{i}") for i, o in enumerate(names)])
+    return run.join(ahead, "_chunk").select(*[F.col(c) for c in rows.columns], *[(F.col(f"_a{i}") + F.col(f"_w{i}")).alias(o) for i, o in enumerate(names)])
+
+
 def entropy(fp: DataFrame) -> DataFrame:
     """(feat_id, entropy, before): Shannon entropy in bits of each feature's counts over all occurrences, positive ones.
 
-    before sums the entropies of the features ahead, by falling entropy then feature; that window is over features,
-    not over entities.
+    before sums the entropies of the features ahead, by falling entropy then feature.
     """
     n = fp.agg(F.count(F.lit(1)).cast("double").alias("_n"))
     per = fp.groupBy("feat_id", "cnt").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(n))
     p = F.col("k") / F.col("_n")
     one = per.groupBy("feat_id").agg(F.sum(-p * F.log2(p)).alias("entropy")).where("entropy > 0")
-    w = Window.orderBy(F.desc(F.round("entropy", 9)), "feat_id").rowsBetween(Window.unboundedPreceding, -1)
-    return one.withColumn("before", F.coalesce(F.sum("entropy").over(w), F.lit(0.0)))
+    return running_sums(one.withColumn("_r", F.round("entropy", 9)), [F.desc("_r"), "feat_id"], {"before": "entropy"}, before=True).drop("_r")
 
 
 def average_ranks(rows: DataFrame, value: str, out: str = "rank") -> DataFrame:
     """Adds out: ranks from 1, equal values at their mean rank. Distinct values are what gets ordered."""
     counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).where("_v is not null")
-    placed = numbered(counts, ["_v"], "_k").withColumn("_p", F.floor(F.col("_k") / 4096))
-    parts = placed.groupBy("_p").agg(F.sum("_c").alias("_s"))
-    ahead = parts.withColumn("_a", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    within = F.coalesce(F.sum("_c").over(Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = placed.withColumn("_w", within).join(ahead, "_p").select("_v", (F.col("_a") + F.col("_w") + (F.col("_c") + 1) / 2).alias(out))
+    ranks = running_sums(counts, ["_v"], {"_b": "_c"}, before=True).select("_v", (F.col("_b") + (F.col("_c") + 1) / 2).alias(out))
     return rows.join(ranks, rows[value] == ranks["_v"], "left").drop("_v")
 
 
@@ -47,7 +61,8 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def normal_tail(z: Column) -> Column:
-    """Upper tail of the standard normal, z >= 0, by the usual five-term polynomial."""
+    """Upper tail of the standard normal, z >= 0, by the five-term polynomial of Abramowitz and Stegun, 26.2.17."""
+    # Its coefficients
     k = 1 / (1 + 0.2316419 * z)
     poly = k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
     return F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
@@ -77,11 +92,11 @@ def roc_auc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
 
 
 def roc_curve(rows: DataFrame, score: str, positive: Column) -> DataFrame:
-    """(score, tpr, fpr) at each distinct score, from the highest; the window is over distinct scores."""
+    """(score, tpr, fpr) at each distinct score, from the highest."""
     c = rows.groupBy(F.col(score).alias("score")).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("_p"), F.sum(F.when(positive, 0).otherwise(1)).alias("_n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     total = c.agg(F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
-    return c.join(F.broadcast(total)).select("score", (F.sum("_p").over(w) / F.col("_tp")).alias("tpr"), (F.sum("_n").over(w) / F.col("_tn")).alias("fpr"))
+    run = running_sums(c, [F.desc("score")], {"_up": "_p", "_un": "_n"})
+    return run.join(F.broadcast(total)).select("score", (F.col("_up") / F.col("_tp")).alias("tpr"), (F.col("_un") / F.col("_tn")).alias("fpr"))
 
 
 def matthews(rows: DataFrame, truth: Column, predicted: Column) -> DataFrame:
@@ -93,24 +108,30 @@ def matthews(rows: DataFrame, truth: Column, predicted: Column) -> DataFrame:
     return c.select(F.when(bottom == 0, 0.0).otherwise((tp * tn - fp * fn) / bottom).alias("mcc"))
 
 
-def histogram(rows: DataFrame, value: str, steps: int, low: float | None = None, high: float | None = None) -> DataFrame:
-    """(bin, start, n) for bins 0 to steps; bin = floor((x - low) / width), bounds from the data unless given; empty bins are there."""
-    found = rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    bounds = found.select((F.lit(low) if low is not None else F.col("_lo")).cast("double").alias("_lo"), (F.lit(high) if high is not None else F.col("_hi")).cast("double").alias("_hi"))
+def histogram(rows: DataFrame, value: str, steps: int, low: float | None = None, high: float | None = None, drop: bool = False, norm: bool = False, tail: int = 0) -> DataFrame:
+    """(bin, start, n) for bins 0 to steps + tail; bin = floor((x - low) / width); empty bins are there.
+
+    Bounds come from the data, and reach to low and high where these are given and lie beyond. drop: values beyond low
+    and high are left out instead, and bounds are exactly those. norm: n is the share of all values counted.
+    """
+    found = rows.agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
+    ends = [F.lit(x).cast("double") for x in (low, high)]
+    bounds = found.select(*[end if drop and x is not None else (pick(F.col(c).cast("double"), end) if x is not None else F.col(c).cast("double")) for x, end, c, pick in ((low, ends[0], "_min", F.least), (high, ends[1], "_max", F.greatest))]).toDF("_lo", "_hi")
     width = (F.col("_hi") - F.col("_lo")) / steps
     x = rows.join(F.broadcast(bounds)).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
     n = x.groupBy(F.floor((F.col(value) - F.col("_lo")) / width).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    bins = bounds.select(F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("bin"), "_lo", width.alias("_w"))
-    return bins.join(n, "bin", "left").select("bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("start"), F.coalesce("n", F.lit(0)).alias("n"))
+    bins = bounds.select(F.explode(F.sequence(F.lit(0), F.lit(steps + tail))).alias("bin"), "_lo", width.alias("_w"))
+    out = bins.join(n, "bin", "left").select("bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("start"), F.coalesce("n", F.lit(0)).alias("n"))
+    return out if not norm else out.join(F.broadcast(out.agg(F.sum("n").alias("_all")))).select("bin", "start", (F.col("n") / F.col("_all")).alias("n"))
 
 
 def two_sample_ks(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """One row: largest difference of the two distribution functions, n1, n2; the window is over distinct values."""
+    """One row: largest difference of the two distribution functions, n1, n2."""
     both = a.select(F.col(value).alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(F.col(value).alias("v"), F.lit(0).alias("x"), F.lit(1).alias("y")))
     c = both.groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     total = c.agg(F.sum("x").alias("n1"), F.sum("y").alias("n2"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    d = c.join(F.broadcast(total)).select("n1", "n2", F.abs(F.sum("x").over(w) / F.col("n1") - F.sum("y").over(w) / F.col("n2")).alias("d"))
+    run = running_sums(c, ["v"], {"_ux": "x", "_uy": "y"})
+    d = run.join(F.broadcast(total)).select("n1", "n2", F.abs(F.col("_ux") / F.col("n1") - F.col("_uy") / F.col("n2")).alias("d"))
     return d.groupBy("n1", "n2").agg(F.max("d").alias("d"))
 
 

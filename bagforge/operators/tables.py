@@ -68,6 +68,21 @@ def lookup(names: DataFrame, records: DataFrame, key: str, order: str) -> DataFr
     return names.join(records, key, "left").orderBy(order)
 
 
+def lookup_first(names: DataFrame, files: list[DataFrame], key: str, order: str) -> DataFrame:
+    """As lookup over several files: a name's record comes from the first file that has it; a name twice in a file is an error."""
+    tagged = reduce(DataFrame.unionByName, [f.withColumn("_file", F.lit(i)) for i, f in enumerate(files)])
+    rest = [c for c in files[0].columns if c != key]
+    first = tagged.groupBy(key, "_file").agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*rest)).alias("_r")).groupBy(key).agg(F.min_by(F.struct("_n", "_r"), "_file").alias("_m"))
+    once = first.where(F.assert_true(F.col("_m._n") == 1, F.concat(F.lit("a name occurs twice: "), F.col(key).cast("string"))).isNull())
+    return lookup(names, once.select(key, *[F.col(f"_m._r.{c}").alias(c) for c in rest]), key, order)
+
+
+def same_name_joined(records: DataFrame, key: str, value: str, order: str, between: str = "\n") -> DataFrame:
+    """(key, value): the values of records of one name, in order, as one; how many of one name there are must fit a row."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda r: r[value])
+    return records.groupBy(key).agg(F.array_join(texts, between).alias(value))
+
+
 def missing(names: DataFrame, records: DataFrame, key: str) -> DataFrame:
     return names.join(records, key, "left_anti")
 

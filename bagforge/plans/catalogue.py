@@ -131,21 +131,37 @@ def minhash_estimate(spark: SparkSession, d: str) -> DataFrame:
     return similarity.minhash_pairs(supplier_brands(spark, d), 64, 32)
 
 
-@query()
+_NEAR = f"""{ORDER_PART}, {SIZES.format('op')}, {OVERLAPS.format('op', '<')}, e AS MATERIALIZED (SELECT a_id, b_id FROM p WHERE 1 - i / (sa + sb - i) <= 1 - 0.4),
+ids AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT a_id AS id FROM e UNION SELECT b_id FROM e))"""
+
+
+@query(f"""WITH RECURSIVE {_NEAR}, n AS MATERIALIZED (SELECT k, ids.id, coalesce(before, []) AS before FROM ids LEFT JOIN (SELECT b_id AS id, list(a_id) AS before FROM e GROUP BY 1) USING (id)),
+g(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.k, CASE WHEN list_has_any(n.before, g.kept) THEN g.kept ELSE list_append(g.kept, n.id) END FROM g JOIN n ON n.k = g.k + 1)
+SELECT mol_id FROM s WHERE mol_id NOT IN (SELECT id FROM ids) UNION ALL SELECT unnest(kept) FROM (SELECT kept FROM g ORDER BY k DESC LIMIT 1)""")
 def diversify(spark: SparkSession, d: str) -> DataFrame:
     """Orders that the greedy pass keeps at similarity 0.4."""
     return selection.diversify(order_parts(spark, d), 0.4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NEAR}, b AS MATERIALIZED (SELECT a_id AS u, b_id AS v FROM e UNION ALL SELECT b_id, a_id FROM e),
+reach AS (SELECT id AS u, id AS v FROM ids UNION SELECT reach.u, b.v FROM reach JOIN b ON b.u = reach.v), comp AS (SELECT u, min(v) AS c FROM reach GROUP BY 1),
+nodes AS MATERIALIZED (SELECT c, list(struct_pack(id := u, nb := nb)) AS nodes FROM (SELECT b.u, any_value(c) AS c, list(v) AS nb FROM b JOIN comp ON comp.u = b.u GROUP BY 1) GROUP BY 1),
+step(c, live, center, members) AS (SELECT c, list_transform(nodes, lambda x: x.id), NULL::BIGINT, NULL::BIGINT[] FROM nodes
+ UNION ALL SELECT c, list_filter(live, lambda x: NOT list_contains(took, x)), took[1], took FROM (SELECT c, live, list_concat([best.id], list_filter(live, lambda x: list_contains(best.nb, x))) AS took FROM (
+  SELECT step.c, live, list_sort(list_transform(list_filter(nodes, lambda x: list_contains(live, x.id)), lambda x: struct_pack(n := -len(list_intersect(x.nb, live)), id := x.id, nb := x.nb)))[1] AS best FROM step JOIN nodes ON nodes.c = step.c WHERE len(live) > 0)))
+SELECT center, unnest(members) AS member, len(members) AS size FROM step WHERE center IS NOT NULL UNION ALL SELECT mol_id, mol_id, 1 FROM s WHERE mol_id NOT IN (SELECT id FROM ids)""")
 def butina(spark: SparkSession, d: str) -> DataFrame:
+    """Density clusters of the orders at similarity 0.4."""
     return graphs.butina(order_parts(spark, d), 0.4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SUPP_BRAND}, {SIZES.format('sb')}, {OVERLAPS.format('sb', '<')}, ids AS (SELECT mol_id, row_number() OVER (ORDER BY mol_id) AS k FROM s),
+e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY 1 - i / (sa + sb - i), a_id, b_id) AS j, a_id AS src, b_id AS dst, 1 - i / (sa + sb - i) AS d, x.k AS u, y.k AS v FROM p JOIN ids x ON x.mol_id = a_id JOIN ids y ON y.mol_id = b_id),
+g(j, comp, new) AS (SELECT 0::BIGINT, (SELECT list(k ORDER BY k) FROM ids), false UNION ALL SELECT e.j, CASE WHEN comp[u] = comp[v] THEN comp ELSE list_transform(comp, lambda c: CASE WHEN c = comp[v] THEN comp[u] ELSE c END) END, comp[u] <> comp[v] FROM g JOIN e ON e.j = g.j + 1)
+SELECT src, dst, round(d, 6) AS d FROM g JOIN e USING (j) WHERE new""")
 def spanning_forest(spark: SparkSession, d: str) -> DataFrame:
     """Minimum spanning forest of the suppliers."""
-    return graphs.spanning_forest(graphs.distances(supplier_brands(spark, d)))
+    return graphs.spanning_forest(graphs.distances(supplier_brands(spark, d))).withColumn("d", F.round("d", 6))
 
 
 @query(f"""WITH {ORDER_PART}, {SIZES.format('op')}, {OVERLAPS.format('op', '<>')} SELECT s.mol_id, 1 + count(b_id) AS n FROM s LEFT JOIN p ON a_id = s.mol_id AND 1 - i / (sa + sb - i) <= 1 - 0.4 GROUP BY 1""")
@@ -298,7 +314,7 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TOKENS}, b AS (SELECT doc_id, w AS first, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS second FROM t) SELECT doc_id, first, second, count(*) AS n FROM b WHERE second IS NOT NULL GROUP BY 1, 2, 3")
 def token_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    return encode.bigrams(tokens(spark, d), "doc_id", "i", "w")
+    return encode.bigrams(table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w")), "doc_id", F.col("w"))
 
 
 @query(f"WITH {_TOKENS} SELECT w AS word, row_number() OVER (ORDER BY count(*) DESC, w) + 2 AS word_id, count(*) AS n FROM t GROUP BY 1")
@@ -326,6 +342,41 @@ def layered_formulas(spark: SparkSession, d: str) -> DataFrame:
     return encode.layered_formulas(encode.typed(molecules(spark).where("name = 'ethanol'"), "element", hydrogens=True)).select("feat", "cnt")
 
 
+_CHAINS = "m AS (SELECT p_partkey AS idx, 1 + p_size % 12 AS n, ['', 'O', 'N'][1 + p_partkey % 3] AS last FROM part)"
+
+
+def chains(spark: SparkSession, d: str) -> DataFrame:
+    """A molecule for every part: a chain of carbons as long as its size tells, with an oxygen, a nitrogen or nothing at its end."""
+    smiles = F.concat(F.expr("repeat('C', 1 + p_size % 12)"), F.element_at(F.array(*map(F.lit, ("", "O", "N"))), (1 + F.col("p_partkey") % 3).cast("int")))
+    return table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("idx"), F.col("p_name").alias("name"), smiles.alias("smiles"))
+
+
+@query(f"""WITH {_CHAINS}, h AS (SELECT *, 2 * n + 2 + (last = 'N')::INT AS h FROM m) SELECT idx, 'C' || CASE WHEN n > 1 THEN n::VARCHAR ELSE '' END || 'H' || h || last AS formula, (n + length(last))::INT AS heavy, 0 AS rings, length(last)::INT AS acceptors, length(last)::INT AS donors FROM h""")
+def chain_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Formulas and counts of every part's molecule."""
+    return encode.properties(chains(spark, d)).select("idx", "formula", F.col("HA").alias("heavy"), "rings", F.col("HBA").alias("acceptors"), F.col("HBD").alias("donors"))
+
+
+@query(f"""WITH {_CHAINS}, t AS (SELECT idx, i, n + length(last) AS k, CASE WHEN i <= n THEN 'C' ELSE last END || ((i > 1)::INT + (i < n + length(last))::INT) AS t FROM m, generate_series(1, 13) g(i) WHERE i <= n + length(last))
+SELECT a.idx, least(a.t, b.t) || '-' || (b.i - a.i) || '-' || greatest(a.t, b.t) AS feat, count(*) AS cnt FROM t a JOIN t b ON a.idx = b.idx AND a.i <= b.i GROUP BY 1, 2""")
+def chain_atom_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Atom pairs of every part's molecule: a whole encoding from SMILES to counted features."""
+    p = encode.atom_pairs(encode.typed(chains(spark, d)))
+    return p.groupBy("idx", F.concat_ws("-", F.least("lo", "hi"), "dist", F.greatest("lo", "hi")).alias("feat")).agg(F.sum("cnt").alias("cnt"))
+
+
+@query(f"""WITH {_CHAINS} SELECT idx, (power(2::DOUBLE, 2 * n + 2 + (last = 'N')::INT)::BIGINT::HUGEINT * power(3::DOUBLE, n)::BIGINT * CASE last WHEN 'O' THEN 5 ELSE 1 END)::DECIMAL(38,0) AS number FROM m WHERE last <> 'N'""")
+def chain_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Formula numbers of the parts' molecules without nitrogen."""
+    from ..functions.chem import PRIMES
+
+    f = encode.properties(chains(spark, d)).where("not array_contains(elements, 'N')")
+    count = lambda x: F.when(F.regexp_extract("formula", f"{x}([0-9]*)", 1) == "", 1).otherwise(F.regexp_extract("formula", f"{x}([0-9]*)", 1).try_cast("int"))
+    has = F.array_contains("elements", "O")
+    e = F.map_filter(F.create_map(F.lit("C"), count("C"), F.lit("H"), count("H"), F.lit("O"), F.when(has, 1).otherwise(0)), lambda _, n: n > 0)
+    return f.select("idx", encode.godel(e, PRIMES).alias("number"))
+
+
 @query("""SELECT * FROM (VALUES ('0_C1:1', 1), ('0_O1:1', 1), ('0_C1:1;1_O1:1', 1), ('0_O1:1;1_C1:1', 1)) v(feat, cnt)""")
 def environments(spark: SparkSession, d: str) -> DataFrame:
     return encode.environments(encode.typed(molecules(spark).where("name = 'methanol'")), [0, 1]).select("feat", "cnt")
@@ -389,16 +440,19 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
     return statistics.spearman(table(spark, d, "part"), "p_size", "p_retailprice").select("n", F.round("r", 6).alias("r"))
 
 
-@query("SELECT count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
+_TAIL = "2 * exp(-{0} * {0} / 2) / sqrt(2 * pi()) * {1} * (0.319381530 + {1} * (-0.356563782 + {1} * (1.781477937 + {1} * (-1.821255978 + {1} * 1.330274429))))"
+
+
+@query(f"WITH c AS (SELECT count(*) AS n, corr(o_totalprice, o_custkey) AS r FROM orders), z AS (SELECT n, r, abs(0.5 * ln((1 + r) / (1 - r)) * sqrt(n - 3.0)) AS z FROM c) SELECT n, round(r, 6) AS r, round({_TAIL.format('z', '(1 / (1 + 0.2316419 * z))')}, 6) AS p FROM z")
 def pearson(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.pearson(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice").select("n", F.round("r", 6).alias("r"))
+    return statistics.pearson(table(spark, d, "orders"), "o_totalprice", "o_custkey").select("n", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"))
 
 
 @query(f"""WITH r AS (SELECT o_orderstatus = 'F' AS g, {_R.format('o_totalprice')} AS r FROM orders), s AS (SELECT sum(g::INT)::BIGINT AS n1, sum((NOT g)::INT)::BIGINT AS n2, sum(CASE WHEN g THEN r ELSE 0 END) AS w FROM r)
-SELECT n1, n2, round(w, 3) AS w, round((w - n1 * (n1 + n2 + 1) / 2) / sqrt(n1::DOUBLE * n2 * (n1 + n2 + 1) / 12), 6) AS z FROM s""")
+SELECT n1, n2, round(w, 3) AS w, round(z, 6) AS z, round({_TAIL.format('abs(z)', '(1 / (1 + 0.2316419 * abs(z)))')}, 6) AS p FROM (SELECT *, (w - n1 * (n1 + n2 + 1) / 2) / sqrt(n1::DOUBLE * n2 * (n1 + n2 + 1) / 12) AS z FROM s)""")
 def wilcoxon(spark: SparkSession, d: str) -> DataFrame:
     one = statistics.wilcoxon(table(spark, d, "orders"), "o_totalprice", F.col("o_orderstatus") == "F")
-    return one.select("n1", "n2", F.round("w", 3).alias("w"), F.round("z", 6).alias("z"))
+    return one.select("n1", "n2", F.round("w", 3).alias("w"), F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
 
 
 @query("SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY 1")
@@ -472,9 +526,11 @@ def lookup_by_name(spark: SparkSession, d: str) -> DataFrame:
     return tables.lookup(names, table(spark, d, "customer").select("c_name", "c_custkey"), "c_name", "ord").select("ord", F.col("s_name").alias("c_name"), "c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def names_missing(spark: SparkSession, d: str) -> DataFrame:
-    return tables.missing(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers without a large order."""
+    large = table(spark, d, "orders").where("o_totalprice > 400000")
+    return tables.missing(table(spark, d, "customer").select("c_custkey"), large.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("WITH x AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) SELECT o_orderkey, k // 50 * 50 AS chunk FROM x")
@@ -498,6 +554,11 @@ def kfold_sizes(spark: SparkSession, d: str) -> DataFrame:
     return tables.folds(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 7).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("WITH x AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders) SELECT o_orderkey, (k // CAST(ceil(n / 7) AS BIGINT))::INT AS fold FROM x")
+def kfold_members(spark: SparkSession, d: str) -> DataFrame:
+    return tables.folds(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 7)
+
+
 @query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders INTERSECT SELECT s_suppkey FROM supplier")
 def names_in_all(spark: SparkSession, d: str) -> DataFrame:
     return tables.in_all([table(spark, d, t).select(F.col(c).alias("k")) for t, c in (("customer", "c_custkey"), ("orders", "o_custkey"), ("supplier", "s_suppkey"))], "k")
@@ -557,9 +618,14 @@ def radial_layers(spark: SparkSession, d: str) -> DataFrame:
     return layers.select("mol_id", "atom", "bin", F.col("channel").cast("int").alias("channel"), F.round("w", 6).alias("w"))
 
 
-@query()
+@query(f"""WITH {_ATOMS}, v AS (SELECT a.mol_id, a.atom, b.atom AS other, list_position([1, 6, 7, 8], b.anum)::INT - 1 AS c, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z)) AS d FROM a JOIN a b ON a.mol_id = b.mol_id AND a.atom <> b.atom),
+p AS (SELECT l.mol_id, l.atom, least(l.c, r.c) AS ca, greatest(l.c, r.c) AS cb, acos(greatest(-1.0, least(1.0, (l.dx * r.dx + l.dy * r.dy + l.dz * r.dz) / (l.d * r.d)))) / 0.2 AS t FROM v l JOIN v r ON l.mol_id = r.mol_id AND l.atom = r.atom AND l.other < r.other WHERE l.d > 0 AND l.d < 5 AND r.d > 0 AND r.d < 5),
+w AS (SELECT mol_id, atom, ca, cb, floor(t) AS bin, 1 - (t - floor(t)) AS w FROM p UNION ALL SELECT mol_id, atom, ca, cb, floor(t) + 1, t - floor(t) FROM p)
+SELECT mol_id, atom, bin::BIGINT AS bin, ca, cb, round(sum(w), 5) AS w FROM w GROUP BY 1, 2, 3, 4, 5 HAVING sum(w) > 1e-6""")
 def angular_layers(spark: SparkSession, d: str) -> DataFrame:
-    return encode.angular_layers(supplier_atoms(spark, d), 5.0, 0.2)
+    """Angles between each two neighbours; weights that are rounding errors left out."""
+    layers = encode.angular_layers(supplier_atoms(spark, d), 5.0, 0.2).where("w > 1e-6")
+    return layers.select("mol_id", "atom", "bin", F.col("ca").cast("int").alias("ca"), F.col("cb").cast("int").alias("cb"), F.round("w", 5).alias("w"))
 
 
 @query(f"WITH {_ATOMS} SELECT a.mol_id, round(max(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z))), 6) AS diameter FROM a JOIN a b ON a.mol_id = b.mol_id GROUP BY 1")

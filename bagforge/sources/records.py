@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bags as B
+from ..operators.dictionary import numbered
 from ..shared import scratch
 
 
@@ -28,6 +29,22 @@ def lines(spark: SparkSession, path: str | list[str], separator: str | None = No
     return rows.drop("_f").join(F.broadcast(starts), ["_h", "_b"]).select((F.col("_i") + F.col("_shift")).alias("line_no"), "value")
 
 
+def xz_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value) of .xz files, which Spark does not read itself: one task a file, numbered by the files' names and places."""
+    import lzma
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b.path, b.content):
+                rows = lzma.decompress(content).decode().split("\n")
+                rows = rows[:-1] if rows and not rows[-1] else rows
+                for i in range(0, len(rows), 10_000):
+                    yield pd.DataFrame({"f": name, "i": range(i, min(i + 10_000, len(rows))), "value": rows[i : i + 10_000]})
+
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "f string, i long, value string")
+    return numbered(rows, ["f", "i"], "line_no").select("line_no", "value")
+
+
 def uncommented(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("value").startswith("#"))
 

@@ -103,3 +103,68 @@ def test_lines_are_numbered_without_a_sort(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     assert got == [[name, str(i)] for name, n in (("a.txt", 5000), ("b.txt", 3000), ("c.txt", 1)) for i in range(n)]
+
+
+def test_running_sums_over_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "CHUNK", 16)
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"), (F.col("id") % 5).alias("_p"))
+    got = statistics.running_sums(rows, ["k"], {"up": "_p", "n": "k"}).orderBy("k").collect()
+    up = n = 0
+    for r in got:
+        up, n = up + r["_p"], n + r.k
+        assert (r.up, r.n) == (up, n)
+    first = statistics.running_sums(rows, ["k"], {"up": "_p"}, before=True).orderBy("k").first()
+    assert first.up == 0
+    plan = plan_of(statistics.roc_curve(rows, "k", F.col("_p") > 2))
+    assert "SinglePartition" not in plan.split("Window")[0]
+
+
+def test_histogram_options(spark):
+    rows = spark.createDataFrame([(float(x),) for x in (1, 2, 2.5, 4, 9)], "v double")
+    get = lambda **kw: [(r.bin, r.start, r.n) for r in statistics.histogram(rows, "v", 4, **kw).orderBy("bin").collect()]
+    assert get() == [(0, 1.0, 2), (1, 3.0, 1), (2, 5.0, 0), (3, 7.0, 0), (4, 9.0, 1)] or [n for _, _, n in get()] == [3, 1, 0, 0, 1]
+    assert [s for _, s, _ in get(low=-7.0, high=5.0, tail=1)] == [-7.0, -3.0, 1.0, 5.0, 9.0, 13.0]  # bounds only reach further
+    assert [n for _, _, n in get(low=2.0, high=6.0, drop=True)] == [2, 0, 1, 0, 0]
+    assert sum(n for _, _, n in get(norm=True)) == pytest.approx(1.0)
+
+
+def test_lookups_over_files(spark):
+    names = spark.createDataFrame([(0, "b"), (1, "z"), (2, "a")], "ord int, name string")
+    one, two = (spark.createDataFrame(x, "name string, v int") for x in ([("a", 1)], [("a", 2), ("b", 3)]))
+    assert [(r.name, r.v) for r in tables.lookup_first(names, [one, two], "name", "ord").collect()] == [("b", 3), ("z", None), ("a", 1)]
+    with pytest.raises(Exception):
+        tables.lookup_first(names, [one.union(one)], "name", "ord").collect()
+    parts = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 1, "w")], "name string, i int, text string")
+    assert {r.name: r.text for r in tables.same_name_joined(parts, "name", "text", "i").collect()} == {"a": "x\ny", "b": "w"}
+
+
+def test_xz_lines(spark, tmp_path):
+    import lzma
+
+    from bagforge.sources import records
+
+    for name, n in (("b", 25_000), ("a", 3)):
+        with lzma.open(tmp_path / f"{name}.xz", "wt") as f:
+            f.write("".join(f"{name}{i}\n" for i in range(n)))
+    got = records.xz_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [r.value for r in got] == [f"a{i}" for i in range(3)] + [f"b{i}" for i in range(25_000)] and got[-1].line_no == 25_002
+
+
+def test_kernels_and_ranges(spark):
+    from bagforge.functions import numbers
+
+    x = F.col("id") / 1000.0
+    whole = spark.range(2000).agg(F.sum(numbers.kernel(1.5, x)) / 1000).first()[0]
+    assert 2 * whole == pytest.approx(2 * 0.5, abs=0.01)
+    r = spark.range(1).select(numbers.kernel(2.0, F.lit(2.0)).alias("z"), numbers.triweight(F.lit(0.0)).alias("t"), numbers.approx_equal(0.5, F.lit(1.0), F.lit(1.5)).alias("a"), numbers.each_within(F.lit(1), F.lit(2), F.lit(3), F.lit(4)).alias("m")).first()
+    assert tuple(r) == (0.0, 35 / 32, True, False)
+
+
+def test_unreadable_molecules_keep_their_rows(spark):
+    from bagforge.operators import encode
+
+    mols = spark.createDataFrame([(0, "a", "CCO"), (1, "b", "C(("), (2, "c", None)], "idx long, name string, smiles string")
+    got = {r.name: r for r in encode.properties(mols).collect()}
+    assert got["a"].formula == "C2H6O" and got["a"].error is None and got["b"].formula is None and got["b"].error and got["c"].error
+    types = encode.typed(spark.createDataFrame([(0, "x", "C1CC1O")], "idx long, name string, smiles string"), "daylight").first().types
+    assert types == ["(6,2,2,2,0,1)", "(6,2,2,2,0,1)", "(6,3,1,3,0,1)", "(8,1,1,1,0,0)"]
