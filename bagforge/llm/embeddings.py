@@ -62,9 +62,8 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, tag: str = "em
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"), F.col("label").cast("string").alias("label"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda c: c != 0), F.lit(False))
-    own = scratch(x.select("vec_id", "label", F.when(usable, F.col("v")).alias("v")), tag)
-    key = F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256)  # -0.0 and 0.0 differ here and meet again as neighbours
-    keyed = scratch(own.where("v is not null").select("vec_id", F.concat_ws(":", F.size("v"), "label").alias("grp"), "v", key.alias("key")), tag)
+    key = F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), F.col("v")).alias("b"))  # 128 bits
+    keyed = scratch(x.where(usable).select("vec_id", F.concat_ws(":", F.size("v"), "label").alias("grp"), "v", key.alias("key")), tag)
     nodes = scratch(keyed.groupBy("grp", "key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("m"), F.any_value("v").alias("v")), tag)
     biggest = nodes.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan_tables(threshold, biggest)
@@ -133,7 +132,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, tag: str = "em
     named = nodes.join(degree, "id", "left").join(comps, nodes.id == comps.node, "left").select(
         "grp", "key", "m", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     linked = spread_join(keyed.select("vec_id", "grp", "key"), scratch(named, tag), ["grp", "key"], "m").select("vec_id", "n_links", "component_id")
-    alone = own.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = x.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
