@@ -588,6 +588,16 @@ def forest_regression(spark: SparkSession, d: str) -> DataFrame:
     return learn.cross_validated(tables.folds(rows, "mol_id", 3).cache(), lambda x: learn.random_forest(x, 10), 3)
 
 
+@query()
+def forest_classification(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a supplier's balance is high, from brand counts, by cross-validated forests."""
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
+    part = table(spark, d, "part").select("p_partkey", (F.expr("substring(p_brand, 7)").cast("int")).alias("f"))
+    fp = bags.bag_of(li.join(part, F.col("l_partkey") == F.col("p_partkey")), "l_suppkey", "f")
+    rows = learn.vectors(fp, table(spark, d, "supplier").select(F.col("s_suppkey").alias("mol_id"), (F.col("s_acctbal") > 4500).cast("int").alias("value")), 60)
+    return learn.cross_validated(tables.folds(rows, "mol_id", 3), lambda x: learn.random_forest(x, 10, classify=True), 3)
+
+
 @query()
 def gaussian_process(spark: SparkSession, d: str) -> DataFrame:
     """Supplier balances predicted from brand counts by Tanimoto-kernel processes, one task a fold."""

@@ -54,7 +54,7 @@ def comments(rows: DataFrame) -> DataFrame:
 
 
 def smiles(rows: DataFrame, names: str = "tab") -> DataFrame:
-    """(idx, name, smiles) of lines(line_no, value): 'tab' fails without a tab; 'rest' splits at white space; nameless lines are named by their SMILES."""
+    """(idx, name, smiles) of lines(line_no, value): 'tab' fails without a tab; 'rest' splits at white space, 'second' too but takes only the second word; nameless lines are named by their SMILES."""
     text = F.rtrim(F.col("value"), F.lit("\r"))
     if names == "tab":
         has = F.assert_true(F.instr(text, "\t") > 0, F.concat(F.lit("no tab: "), text))
@@ -62,6 +62,8 @@ def smiles(rows: DataFrame, names: str = "tab") -> DataFrame:
         first, name = F.split_part(text, F.lit("\t"), F.lit(1)), F.regexp_extract(text, r"^[^\t]*\t(.*)$", 1)
     else:
         first, name = F.regexp_extract(text, r"^\s*(\S+)", 1), F.trim(F.regexp_extract(text, r"^\s*\S+\s*(.*)$", 1))
+    if names == "second":
+        name = F.regexp_extract(text, r"^\s*\S+\s+(\S+)", 1)
     return rows.select(F.col("line_no").alias("idx"), F.when(name == "", first).otherwise(name).alias("name"), first.alias("smiles"))
 
 

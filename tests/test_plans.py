@@ -168,3 +168,38 @@ def test_unreadable_molecules_keep_their_rows(spark):
     assert got["a"].formula == "C2H6O" and got["a"].error is None and got["b"].formula is None and got["b"].error and got["c"].error
     types = encode.typed(spark.createDataFrame([(0, "x", "C1CC1O")], "idx long, name string, smiles string"), "daylight").first().types
     assert types == ["(6,2,2,2,0,1)", "(6,2,2,2,0,1)", "(6,3,1,3,0,1)", "(8,1,1,1,0,0)"]
+
+
+def test_kernels_of_gaussian_processes():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (120, 8)).astype(float)
+    y = x[:, 0] - x[:, 1] + 0.05 * rng.standard_normal(120)
+    for kernel in ("tanimoto", "flexible", "rbf"):
+        mean, sd = learn.gaussian_process(x[:90], y[:90], x[90:], kernel=kernel)
+        assert np.corrcoef(mean, y[90:])[0, 1] > 0.8 and (sd > 0).all()
+        p = learn.gaussian_classifier(x[:90], (y[:90] > 0).astype(int), x[90:], "tanimoto" if kernel != "rbf" else "rbf")
+        assert ((p > 0.5) == (y[90:] > 0)).mean() > 0.75 and ((p > 0) & (p < 1)).all()
+
+
+def test_models_are_kept(spark, tmp_path):
+    fp = spark.createDataFrame([(i, i % 4, 1 + i % 3) for i in range(80)], "mol_id long, feat_id int, cnt int")
+    rows = learn.vectors(fp, fp.select("mol_id", (F.col("feat_id") > 1).cast("int").alias("value")), 4).cache()
+    for k, model in enumerate((learn.random_forest(rows, 5), learn.random_forest(rows, 5, classify=True), learn.elastic_net(rows))):
+        learn.save(model, str(tmp_path / str(k)))
+        again = learn.load(str(tmp_path / str(k)))
+        assert [r.prediction for r in again.transform(rows).collect()] == [r.prediction for r in model.transform(rows).collect()]
+
+
+def test_nearest_lines_and_merged_points(spark):
+    from bagforge.operators import molecules
+    from bagforge.sources import records
+
+    mols = lambda *x: spark.createDataFrame([(i, *m) for i, m in enumerate(x)], "idx long, name string, smiles string")
+    got = molecules.nearest_lines(mols(("q", "CCCO"), ("none", "[Na]")), mols(("a", "CCO"), ("b", "CCCO"), ("c", "CCCO")), 0.3).orderBy("idx", "line").collect()
+    assert [r.value for r in got] == ["CCCO\tq", "CCCO\tb_T=1.00"]
+    points = spark.createDataFrame([("m", 0, 0.0, 0.0, 0.0), ("m", 1, 1.0, 0.0, 0.0), ("m", 2, 9.0, 0.0, 0.0), ("n", 0, 1.0, 1.0, 1.0)], "mol string, at int, x double, y double, z double")
+    assert sorted(map(tuple, molecules.merged_points(points).collect())) == [("m", 0.5, 0.0, 0.0), ("m", 9.0, 0.0, 0.0), ("n", 1.0, 1.0, 1.0)]
+    lines = spark.createDataFrame([(0, "CCO one two"), (1, "CC")], "line_no long, value string")
+    assert [r.name for r in records.smiles(lines, "second").collect()] == ["one", "CC"]
