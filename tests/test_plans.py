@@ -203,3 +203,14 @@ def test_nearest_lines_and_merged_points(spark):
     assert sorted(map(tuple, molecules.merged_points(points).collect())) == [("m", 0.5, 0.0, 0.0), ("m", 9.0, 0.0, 0.0), ("n", 1.0, 1.0, 1.0)]
     lines = spark.createDataFrame([(0, "CCO one two"), (1, "CC")], "line_no long, value string")
     assert [r.name for r in records.smiles(lines, "second").collect()] == ["one", "CC"]
+
+
+def test_fronts_in_blocks(spark, monkeypatch):
+    from bagforge.operators import graphs
+
+    rows = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("x"), ((F.col("id") * 104729 % 2999) - F.col("id") * 7919 % 3001).alias("y"))
+    one = sorted(map(tuple, graphs.pareto(rows, ["x", "y"]).collect()))
+    monkeypatch.setattr(graphs, "FRONT_BLOCK", 7)
+    assert sorted(map(tuple, graphs.pareto(rows, ["x", "y"]).collect())) == one and len(one) > 5
+    points = [tuple(r) for r in rows.distinct().collect()]
+    assert one == sorted(p for p in points if not any(q[0] >= p[0] and q[1] >= p[1] and q != p for q in points))
