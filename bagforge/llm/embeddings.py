@@ -21,7 +21,7 @@ MISS = 1e-9
 
 def plan_tables(threshold: float, rows_per_label: int) -> tuple[int, int]:
     """(bits, tables): bits so that unrelated rows rarely meet, then tables until a pair at the threshold is missed with probability MISS."""
-    bits = max(6, min(24, math.ceil(math.log2(max(2, rows_per_label))) + 2))
+    bits = max(6, min(32, math.ceil(math.log2(max(2, rows_per_label))) + 5))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(MISS) / math.log(1 - same))
 
