@@ -78,25 +78,31 @@ def parse(smiles: str) -> Mol:
                 _join(m, last, len(m.atoms) - 1, bond)
             last, bond = len(m.atoms) - 1, ""
         elif t["bond"]:
-            if bond:
-                raise ValueError(f"two bonds at {at}: {smiles}")
+            if bond or last < 0:
+                raise ValueError(f"a bond without its atom at {at}: {smiles}")
             bond = t["bond"]
         elif t["ring"]:
             n = int(t["ring"].lstrip("%"))
+            if last < 0:
+                raise ValueError(f"a ring without its atom at {at}: {smiles}")
             if n in rings:
                 other, earlier = rings.pop(n)
                 _join(m, other, last, bond or earlier)
             else:
                 rings[n] = (last, bond)
             bond = ""
+        elif bond:
+            raise ValueError(f"a bond to nothing at {at}: {smiles}")
         elif t["open"]:
+            if last < 0:
+                raise ValueError(f"a branch without its atom at {at}: {smiles}")
             stack.append(last)
         elif t["close"]:
             if not stack:
                 raise ValueError(f"unbalanced: {smiles}")
             last = stack.pop()
         else:
-            last, bond = -1, ""
+            last = -1
     if rings or stack or bond or not m.atoms:
         raise ValueError(f"unfinished: {smiles}")
     for i, a in enumerate(m.atoms):
@@ -105,6 +111,14 @@ def parse(smiles: str) -> Mol:
     return m
 
 
+def readable(smiles: str | None) -> Mol | None:
+    """The graph of a text, or nothing where the text has none."""
+    try:
+        return parse(smiles)
+    except (ValueError, KeyError, TypeError):
+        return None
+
+
 def _charge(q: str | None) -> int:
     if not q:
         return 0
@@ -455,11 +469,21 @@ def peptide_chain(m: Mol) -> int:
     acyl = {i for i, a in enumerate(m.atoms) if a.symbol == "C" and not a.aromatic and any(m.atoms[j].symbol == "O" and m.order(i, j) == 2.0 for j in near[i])}
     amide = {(c, n) for c in acyl for n in near[c] if m.atoms[n].symbol == "N" and m.order(c, n) == 1.0}
     following = {(c, n): [(c2, n2) for a in near[n] if a != c and m.atoms[a].symbol == "C" and a not in acyl for c2 in near[a] if c2 in acyl for n2 in near[c2] if (c2, n2) in amide and n2 != n] for c, n in amide}
+    firsts = amide - {x for b in amide for x in following[b]}
+    best, met = 0, set()
 
-    def longest(b: tuple[int, int], path: frozenset) -> int:
-        return 1 + max((longest(x, path | {x}) for x in following[b] if x not in path), default=0)
-
-    return max((longest(b, frozenset([b])) for b in amide), default=0)
+    def walk(starts: set) -> None:
+        nonlocal best
+        todo = [(b, frozenset([b])) for b in starts]
+        while todo:
+            b, path = todo.pop()
+            met.add(b)
+            best = max(best, len(path))
+            todo += [(x, path | {x}) for x in following[b] if x not in path]
+
+    walk(firsts)
+    walk(amide - met)  # cycles, which have no first
+    return best
 
 
 def fragments(m: Mol, cuts: int, seed: int) -> list[tuple[Mol, list[tuple[int, str, str]]]]:

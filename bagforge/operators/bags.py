@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import draw, place
+
 
 def bag_of(rows: DataFrame, mol: str, feature: str, count: Column | None = None) -> DataFrame:
     """(mol_id, feat_id, cnt): how often each entity has each feature; null entities and features are left out."""
@@ -39,11 +41,11 @@ def normalise(fp: DataFrame, norm: str = "max") -> DataFrame:
 
 def fold(fp: DataFrame, hashes: int, size: int) -> DataFrame:
     """Counted Bloom folding: each feature adds its count to up to `hashes` distinct places of `size`."""
-    places = F.array_distinct(F.array(*[F.pmod(F.xxhash64("feat_id", F.lit(i)), F.lit(size)).cast("int") for i in range(hashes)]))
+    places = F.array_distinct(F.array(*[place("feat_id", i, size) for i in range(hashes)]))
     return fp.select("mol_id", "cnt", F.explode(places).alias("feat_id")).groupBy("mol_id", "feat_id").agg(F.sum("cnt").cast("int").alias("cnt"))
 
 
 def drop_coordinates(fp: DataFrame, share: float, seed: int) -> tuple[DataFrame, float]:
     """fp without a random share of the feature ids, and the factor 1 / (1 - share) for its sums."""
-    drawn = F.pmod(F.xxhash64("feat_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    drawn = draw("feat_id", seed) < int(share * 2**60)
     return fp.where(~drawn), 1 / (1 - share)

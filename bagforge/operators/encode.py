@@ -63,13 +63,14 @@ def properties(mols: DataFrame) -> DataFrame:
 
 
 def generate(mols: DataFrame, how: Callable[[chem.Mol], list[chem.Mol]]) -> DataFrame:
-    """(idx, name, smiles) of each distinct molecule that `how` makes of each of mols."""
+    """(idx, name, smiles) of each distinct molecule that `how` makes of each of mols; nothing of unreadable ones (`molecules.rejects`)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for idx, name, smiles in zip(b.idx, b.name_, b.smiles):
-                made = dict.fromkeys(chem.write(x) for x in how(chem.parse(smiles)))
+                m = chem.readable(smiles)
+                made = dict.fromkeys(chem.write(x) for x in how(m)) if m else {}
                 rows += [(idx, f"{name}_{k:03d}", s) for k, s in enumerate(made)]
             yield pd.DataFrame(rows, columns=["idx", "name", "smiles"])
 
@@ -154,6 +155,22 @@ def radial_layers(atoms: DataFrame, cutoff: float, step: float) -> DataFrame:
     return near.select("mol_id", "atom", channel.alias("channel"), shares).where("channel >= 0").groupBy("mol_id", "atom", F.col("s.bin").alias("bin"), "channel").agg(F.sum("s.w").alias("w"))
 
 
+def space_graphs(atoms: DataFrame) -> DataFrame:
+    """(idx, name, types, dist, diameter) of atoms(idx, name, atom, type, x, y, z): distances in whole units, cut, so that `atom_pairs` counts pairs in space.
+
+    A molecule's atoms are in the order of `atom`; diameter is the largest distance.
+    """
+    one = atoms.groupBy("idx", "name").agg(F.array_sort(F.collect_list(F.struct("atom", F.col("type").cast("string").alias("type"), "x", "y", "z"))).alias("a"))
+    far = lambda p, q: F.floor(F.sqrt(sum(((p[c] - q[c]) * (p[c] - q[c]) for c in "xyz"), F.lit(0.0)))).cast("int")
+    d = one.select("idx", "name", F.col("a.type").alias("types"), F.transform("a", lambda p: F.transform("a", lambda q: far(p, q))).alias("dist"))
+    return d.withColumn("diameter", F.array_max(F.transform("dist", F.array_max)))
+
+
+def centres(atoms: DataFrame, matches: DataFrame) -> DataFrame:
+    """(mol_id, match, x, y, z): the mean place of the atoms of each of matches(mol_id, match, atom); an atom named twice counts once."""
+    return matches.select("mol_id", "match", "atom").distinct().join(atoms, ["mol_id", "atom"]).groupBy("mol_id", "match").agg(*[F.avg(c).alias(c) for c in "xyz"])
+
+
 def angular_layers(atoms: DataFrame, cutoff: float, step: float) -> DataFrame:
     """(mol_id, atom, bin, ca, cb, w): angles (radians) between each two neighbours within the cutoff, binned, by the two neighbours' channels."""
     a = atoms.select("mol_id", F.col("atom"), *[F.col(c).alias(f"{c}0") for c in "xyz"])

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import draw
 from .dictionary import numbered
 
 
@@ -94,15 +95,19 @@ def chunks(rows: DataFrame, order: str, size: int) -> DataFrame:
 
 def shuffled(rows: DataFrame, key: str, seed: int, n: int | None = None) -> DataFrame:
     """Rows in an order that only the key and the seed decide; the first n of it."""
-    out = rows.orderBy(F.xxhash64(key, F.lit(seed)), key)
+    out = rows.orderBy(draw(key, seed), key)
     return out if n is None else out.limit(n)
 
 
+def placed(rows: DataFrame, key: str, seed: int, out: str) -> DataFrame:
+    """Adds out: each row's place in the shuffled order, from 0."""
+    return numbered(rows.withColumn("_h", draw(key, seed)), ["_h", key], out).drop("_h")
+
+
 def train_part(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """Adds train: true for the first ceil(share x n) rows of the shuffled order."""
     n = rows.count()
-    placed = numbered(rows.withColumn("_h", F.xxhash64(key, F.lit(seed))), ["_h", key], "_n")
-    return placed.withColumn("train", F.col("_n") < math.ceil(share * n)).drop("_n", "_h")
+    return placed(rows, key, seed, "_n").withColumn("train", F.col("_n") < math.ceil(share * n)).drop("_n")
 
 
 def folds(rows: DataFrame, order: str, k: int) -> DataFrame:

@@ -263,12 +263,16 @@ def iwn_l1(spark: SparkSession, d: str) -> DataFrame:
     return bags.normalise(customer_brands(spark, d), "l1").select("mol_id", "feat", F.round("value", 6).alias("value"))
 
 
-@query()
+_PLACE = lambda i: f"((feat_id::BIGINT * {pow(48271, 2 * i + 1, 2**31 - 1)} + {pow(48271, 2 * i + 2, 2**31 - 1)}) % 2147483647 % 256)::INT"
+_DRAW = lambda key, seed: f"('0x' || substr(md5({key} || ':{seed}'), 1, 15))::BIGINT"
+
+
+@query(f"WITH {ORDER_PART}, x AS (SELECT mol_id, cnt, unnest(list_distinct([{_PLACE(0)}, {_PLACE(1)}])) AS feat_id FROM op) SELECT mol_id, feat_id, sum(cnt)::INT AS cnt FROM x GROUP BY 1, 2")
 def fold_bloom(spark: SparkSession, d: str) -> DataFrame:
     return bags.fold(order_parts(spark, d), 2, 256)
 
 
-@query()
+@query(f"WITH {ORDER_PART} SELECT mol_id, sum(cnt) * (1 / 0.7::DOUBLE) AS estimate FROM op WHERE {_DRAW('feat_id', 7)} >= {int(0.3 * 2**60)} GROUP BY 1")
 def coordinate_subset(spark: SparkSession, d: str) -> DataFrame:
     """Estimated bag sizes from 70 % of the coordinates."""
     kept, factor = bags.drop_coordinates(order_parts(spark, d), 0.3, 7)
@@ -365,7 +369,7 @@ def chain_atom_pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("idx", F.concat_ws("-", F.least("lo", "hi"), "dist", F.greatest("lo", "hi")).alias("feat")).agg(F.sum("cnt").alias("cnt"))
 
 
-@query(f"""WITH {_CHAINS} SELECT idx, (power(2::DOUBLE, 2 * n + 2 + (last = 'N')::INT)::BIGINT::HUGEINT * power(3::DOUBLE, n)::BIGINT * CASE last WHEN 'O' THEN 5 ELSE 1 END)::DECIMAL(38,0) AS number FROM m WHERE last <> 'N'""")
+@query(f"""WITH {_CHAINS} SELECT idx, (power(2::DOUBLE, 2 * n + 2 + (last = 'N')::INT)::BIGINT::HUGEINT * power(3::DOUBLE, n)::BIGINT * CASE last WHEN 'O' THEN 5 ELSE 1 END)::VARCHAR AS number FROM m WHERE last <> 'N'""")
 def chain_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Formula numbers of the parts' molecules without nitrogen."""
     from ..functions.chem import PRIMES
@@ -374,7 +378,71 @@ def chain_numbers(spark: SparkSession, d: str) -> DataFrame:
     count = lambda x: F.when(F.regexp_extract("formula", f"{x}([0-9]*)", 1) == "", 1).otherwise(F.regexp_extract("formula", f"{x}([0-9]*)", 1).try_cast("int"))
     has = F.array_contains("elements", "O")
     e = F.map_filter(F.create_map(F.lit("C"), count("C"), F.lit("H"), count("H"), F.lit("O"), F.when(has, 1).otherwise(0)), lambda _, n: n > 0)
-    return f.select("idx", encode.godel(e, PRIMES).alias("number"))
+    return f.select("idx", encode.godel(e, PRIMES).cast("string").alias("number"))
+
+
+@query(f"""WITH {_CHAINS}, t AS (SELECT idx, i, n + length(last) AS k, CASE WHEN i <= n THEN 'C' ELSE last END || ((i > 1)::INT + (i < n + length(last))::INT) AS t FROM m, generate_series(1, 13) g(i) WHERE i <= n + length(last)),
+s AS (SELECT a.idx, a.i, a.t, b.t AS bt, count(*) AS c FROM t a JOIN t b ON a.idx = b.idx AND abs(a.i - b.i) = 1 GROUP BY ALL),
+l AS (SELECT idx, '0_' || t || ':1;1_' || string_agg(bt || ':' || c, ',' ORDER BY bt) AS feat FROM s GROUP BY idx, i, t),
+e AS (SELECT idx, '0_' || t || ':1' AS feat FROM t UNION ALL SELECT idx, feat FROM l)
+SELECT idx, feat, count(*)::INT AS cnt FROM e GROUP BY 1, 2""")
+def chain_environments(spark: SparkSession, d: str) -> DataFrame:
+    """Environments of radius 0 and 1 of every part's molecule."""
+    return encode.environments(encode.typed(chains(spark, d)), [0, 1]).select("idx", "feat", "cnt")
+
+
+@query(f"""WITH {_CHAINS} SELECT idx, p_name || '_' || lpad((i - 1)::VARCHAR, 3, '0') AS name, repeat('C', i::INT) || CASE WHEN i < n + length(last) THEN '(' || repeat('C', (n - i)::INT) || last || ')' ELSE '' END || 'F' AS smiles
+FROM m JOIN part ON p_partkey = idx, generate_series(1, 12) g(i) WHERE i <= n""")
+def chain_fluorine_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Every part's molecule with each of its carbons fluorinated in turn."""
+    from ..functions import chem
+
+    return encode.generate(chains(spark, d), chem.fluorine_scan)
+
+
+@query(f"""WITH {_CHAINS} SELECT idx, (i - 1)::INT AS i, i::INT AS j, CASE WHEN i = 1 OR i = n + length(last) - 1 THEN 'TER' ELSE 'REG' END AS kind FROM m, generate_series(1, 12) g(i) WHERE i < n + length(last)""")
+def chain_torsions(spark: SparkSession, d: str) -> DataFrame:
+    """Regular and terminal rotatable bonds of every part's molecule."""
+    from ..operators import molecules as M
+
+    return M.torsions(chains(spark, d)).select("idx", "i", "j", "kind")
+
+
+def rings(spark: SparkSession, d: str) -> DataFrame:
+    """A molecule for every customer: a ring of three to eight carbons with an alcohol on it."""
+    smiles = F.expr("concat('C1', repeat('C', cast(1 + c_custkey % 6 as int)), 'C1', repeat('C', cast(c_custkey % 5 as int)), 'O')")
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("idx"), F.col("c_name").alias("name"), smiles.alias("smiles"))
+
+
+@query("SELECT c_custkey AS idx, 'C1' || repeat('C', (1 + c_custkey % 6)::INT) || 'C1' AS smiles FROM customer")
+def ring_scaffolds(spark: SparkSession, d: str) -> DataFrame:
+    """Generic scaffolds of every customer's molecule."""
+    from ..operators import molecules as M
+
+    return M.scaffolds(rings(spark, d)).select("idx", "smiles")
+
+
+@query("SELECT c_custkey AS idx, repeat('C', (3 + c_custkey % 6)::INT) || (3 + c_custkey % 6) || repeat('C', (c_custkey % 5)::INT) || 'O' AS deep FROM customer")
+def ring_deep_smiles(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's molecule in the notation without ring numbers."""
+    from ..operators import molecules as M
+
+    return M.deep_smiles(rings(spark, d)).select("idx", "deep")
+
+
+@query("SELECT p_partkey AS idx, p_size > 12 OR p_partkey % 7 = 0 AS alien FROM part")
+def alien_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Which parts' properties leave the drug-like windows: p_size stands for acceptors, the key decides the mass."""
+    p = table(spark, d, "part")
+    mass = F.when(F.col("p_partkey") % 7 == 0, 900.0).otherwise(300.0)
+    rows = p.select(F.col("p_partkey").cast("long").alias("idx"), mass.alias("MolW"), F.lit(1).alias("RotB"), (F.col("p_size") - 3).alias("HBA"), F.lit(0).alias("HBD"), F.lit(0).alias("FC"))
+    return selection.with_alien(rows, without=("cLogP",)).select("idx", "alien")
+
+
+@query("SELECT feat_id, max_cnt, (sum(max_cnt) OVER (ORDER BY feat_id) - max_cnt)::BIGINT AS start FROM (SELECT l_partkey AS feat_id, max(cnt) AS max_cnt FROM (SELECT l_orderkey, l_partkey, count(*) AS cnt FROM lineitem GROUP BY 1, 2) GROUP BY 1)")
+def slot_starts(spark: SparkSession, d: str) -> DataFrame:
+    """Where each part's slots begin when all parts' largest counts lie in a row."""
+    return similarity.slot_starts(selection.box(order_parts(spark, d)))
 
 
 @query("""SELECT * FROM (VALUES ('0_C1:1', 1), ('0_O1:1', 1), ('0_C1:1;1_O1:1', 1), ('0_O1:1;1_C1:1', 1)) v(feat, cnt)""")
@@ -538,13 +606,13 @@ def split_chunks(spark: SparkSession, d: str) -> DataFrame:
     return tables.chunks(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 50)
 
 
-@query()
+@query(f"SELECT o_orderkey, row_number() OVER (ORDER BY {_DRAW('o_orderkey', 42)}, o_orderkey) - 1 AS place FROM orders")
 def shuffle_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Orders in a seeded order."""
-    return tables.shuffled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 42)
+    """Orders in a seeded order, with their places in it."""
+    return tables.placed(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 42, "place")
 
 
-@query()
+@query(f"SELECT o_orderkey, row_number() OVER (ORDER BY {_DRAW('o_orderkey', 42)}, o_orderkey) <= ceil(0.8::DOUBLE * count(*) OVER ()) AS train FROM orders")
 def train_split(spark: SparkSession, d: str) -> DataFrame:
     return tables.train_part(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.8, 42)
 

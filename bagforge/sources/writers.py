@@ -60,6 +60,23 @@ def box_edges(box: DataFrame) -> DataFrame:
     return box.select(F.explode(F.array(*[F.format_string(".v %.3f %.3f %.3f %.3f %.3f %.3f", *corner[p], *corner[q]) for p, q in edges])).alias("value"))
 
 
+#: Colour and radius of the balls of each kind of point.
+BALLS = {"ARO": ("green", 1.5), "HBD": ("white", 1.25), "HBA": ("orange", 1.25), "POS": ("blue", 1.0), "NEG": ("red", 1.0), "HYD": ("grey", 1.5)}
+
+
+def point_balls(points: DataFrame) -> DataFrame:
+    """(mol, kind, part, value): drawing lines of points(mol, kind, x, y, z), three of heading a kind (part 0 to 2) and then a ball a point (part 3); other kinds have none.
+
+    Order by mol, the kind's place in BALLS, part and value to write them.
+    """
+    style = F.create_map(*[x for k, (c, r) in BALLS.items() for x in (F.lit(k), F.struct(F.lit(c).alias("colour"), F.lit(r).alias("radius")))])
+    known = points.where(F.col("kind").isin(*BALLS)).withColumn("_s", F.element_at(style, F.col("kind")))
+    heads = F.array(F.concat(F.lit(".comment "), F.col("kind")), F.concat(F.lit(".color "), F.col("_s.colour")), F.lit(".transparency 0.75"))
+    top = known.select("mol", "kind", "_s").distinct().select("mol", "kind", F.posexplode(heads).alias("part", "value"))
+    ball = F.format_string(".sphere %.3f %.3f %.3f %.2f", "x", "y", "z", "_s.radius")
+    return top.unionByName(known.select("mol", "kind", F.lit(3).alias("part"), ball.alias("value")))
+
+
 def write_chunks(rows: DataFrame, path: str) -> None:
     """One folder a chunk."""
     rows.write.partitionBy("chunk").parquet(path)

@@ -152,3 +152,74 @@ def test_published_types_file(spark, tmp_path):
     (tmp_path / "t.types").write_text("#atoms:2 methanol\n0 C1\n1 O1\n#bonds:1\n0 1\n#diameter:1\n0 1\n1 0\n")
     t = records.types(spark, str(tmp_path / "t.types"))
     assert {(r.feat, r.cnt) for r in encode.environments(t, [0, 1]).collect()} == {("0_C1:1", 1), ("0_O1:1", 1), ("0_C1:1;1_O1:1", 1), ("0_O1:1;1_C1:1", 1)}
+
+
+@pytest.mark.parametrize("bad", ["1CC1", "(C)C", "=C", "C(=)C", "C=.C", "C=(O)C", "C.=C"])
+def test_bonds_rings_and_branches_need_atoms(bad):
+    with pytest.raises(ValueError):
+        chem.parse(bad)
+    assert chem.readable(bad) is None and chem.readable(None) is None and chem.readable("CCO") is not None
+
+
+def test_peptide_bonds_in_a_row():
+    ring = "C1(=O)NCC(=O)NCC(=O)NC1"
+    assert [chem.peptide_chain(chem.parse(s)) for s in ("CCO", "CC(=O)NC", "NCC(=O)NCC(=O)NCC(=O)O", ring)] == [0, 1, 2, 3]
+    assert chem.peptide_chain(chem.parse("N" + "CC(=O)N" * 400 + "C")) == 400
+
+
+def test_unreadable_molecules_stop_no_job(spark):
+    from bagforge.operators import encode, molecules
+
+    mols = spark.createDataFrame([(0, "a", "CCCCO"), (1, "b", "C(("), (2, "c", None), (3, "d", "")], "idx long, name string, smiles string")
+    assert {r.name: bool(r.error) for r in molecules.rejects(mols).collect()} == {"b": True, "c": True, "d": True}
+    made = encode.generate(mols, chem.fluorine_scan)
+    some = [made, molecules.randomised(mols, 2, 1), molecules.fragmented(mols, 1, weight=20.0), molecules.torsions(mols)]
+    assert [{r.idx for r in df.collect()} for df in some] == [{0}] * 4
+    assert {r.mol_id for r in molecules.circular(mols).collect()} == {0}
+    assert made.count() == 4 and molecules.one_of_each(made, 7).count() == 1
+    assert molecules.one_of_each(made, 7).first() == molecules.one_of_each(made.repartition(3), 7).first()
+    known = made.where("name = 'a_000'").select("smiles")
+    twice = made.union(made.withColumn("idx", F.col("idx") + 5)).union(made.limit(1).withColumn("smiles", F.lit(None).cast("string")))
+    assert sorted((r.idx, r.name) for r in molecules.novel(twice, known).collect()) == [(0, "a_001"), (0, "a_002"), (0, "a_003")]
+    assert molecules.novel(twice).count() == 4
+
+
+def test_windows_of_properties(spark):
+    from bagforge.operators import encode, selection
+
+    mols = spark.createDataFrame([(0, "drug", "CC(=O)Oc1ccccc1C(=O)O"), (1, "small", "CCO"), (2, "bad", "C("), (3, "peptide", "N" + "CC(=O)N" * 4 + "C")], "idx long, name string, smiles string")
+    p = encode.properties(mols).cache()
+    names = lambda df: {r.name for r in df.collect()}
+    assert names(selection.drug_like(p, ("cLogP",))) == names(selection.without_aliens(p, ("cLogP",))) == {"drug", "peptide"}
+    assert names(selection.with_alien(p, ("cLogP",)).where("alien")) == {"small", "bad"}
+    assert names(selection.lead_like(p, ("cLogP",))) == {"drug", "small"}  # the peptide turns at 13 bonds
+    assert names(selection.not_peptide(p)) == {"drug", "small"}
+
+
+def test_graphs_and_centres_in_space(spark):
+    from bagforge.operators import encode
+
+    rows = [(0, "m", 1, "O", 0.0, 2.9, 0.0), (0, "m", 0, "C", 0.0, 0.0, 0.0), (0, "m", 2, "C", 4.0, 0.0, 3.0)]
+    atoms = spark.createDataFrame(rows, "idx long, name string, atom int, type string, x double, y double, z double")
+    g = encode.space_graphs(atoms).first()
+    assert g.types == ["C", "O", "C"] and g.dist == [[0, 2, 5], [2, 0, 5], [5, 5, 0]] and g.diameter == 5
+    pairs = {(r.lo, r.dist, r.hi): r.cnt for r in encode.atom_pairs(encode.space_graphs(atoms), self_pairs=False).collect()}
+    assert pairs == {("C", 2, "O"): 1, ("C", 5, "C"): 1, ("C", 5, "O"): 1}
+    places = atoms.withColumnRenamed("idx", "mol_id")
+    matches = spark.createDataFrame([(0, "ring", 0), (0, "ring", 2), (0, "ring", 2)], "mol_id long, match string, atom int")
+    assert [tuple(r) for r in encode.centres(places, matches).collect()] == [(0, "ring", 2.0, 0.0, 1.5)]
+
+
+def test_drawing_lines(spark):
+    from bagforge.operators import graphs
+    from bagforge.sources import writers
+
+    points = spark.createDataFrame([("m", "HBA", 1.0, 2.0, 3.0), ("m", "HBA", 0.5, 0.0, 0.0), ("m", "???", 0.0, 0.0, 0.0)], "mol string, kind string, x double, y double, z double")
+    lines = [r.value for r in writers.point_balls(points).orderBy("part", "value").collect()]
+    assert lines == [".comment HBA", ".color orange", ".transparency 0.75", ".sphere 0.500 0.000 0.000 1.25", ".sphere 1.000 2.000 3.000 1.25"]
+    nodes = spark.createDataFrame([(0, "a", 5.0), (1, "b", 9.0), (2, "c", 7.0), (3, "d", None)], "id long, name string, value double")
+    tints = {r.value[1]: r.value.split("#")[1][:6] for r in graphs.dot_nodes(nodes).collect()}
+    assert tints == {"0": "ffffff", "1": "ff0000", "2": "ff8080", "3": "ffffff"}
+    assert "#ffffff" in graphs.dot_nodes(nodes.limit(1)).first().value
+    clusters = spark.createDataFrame([(7, 7, 1), (3, 3, 2), (3, 4, 2), (1, 1, 1)], "center long, member long, size long")
+    assert sorted((r.cid, r.center, r.size) for r in graphs.by_density(clusters).collect()) == [(0, 3, 2), (1, 1, 1), (2, 7, 1)]
