@@ -805,3 +805,193 @@ def elastic_net(spark: SparkSession, d: str) -> DataFrame:
     value = table(spark, d, "customer").select(F.col("c_custkey").alias("mol_id"), F.col("c_acctbal").alias("value"))
     rows = learn.vectors(customer_brands(spark, d), value, 60)
     return learn.elastic_net(rows).transform(rows).select("mol_id", "label", "prediction")
+
+
+# ---- readers over lines and records made of the tables --------------------------------------------------------------
+
+
+@query(f"""WITH {_CHAINS} SELECT idx, repeat('C', n::INT) || last AS smiles, mode, CASE mode WHEN 'second' THEN split_part(p_name, ' ', 1) ELSE p_name END AS name
+FROM m JOIN part ON p_partkey = idx, (VALUES ('tab'), ('rest'), ('second')) v(mode)""")
+def smiles_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of SMILES and names, read in each of the three ways to name."""
+    from ..sources import records
+
+    c = chains(spark, d)
+    read = lambda mode: records.smiles(c.select(F.col("idx").alias("line_no"), F.concat_ws("\t" if mode == "tab" else " ", "smiles", "name").alias("value")), mode).withColumn("mode", F.lit(mode))
+    return read("tab").unionByName(read("rest")).unionByName(read("second"))
+
+
+@query("SELECT p_partkey AS idx, p_name AS name, p_size::DOUBLE AS value, (1 + p_partkey % 5 + 2)::BIGINT AS popcount, 7 + p_size AS highest FROM part")
+def fingerprint_records(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprint lines of the parts, read back into bags."""
+    from ..sources import records
+
+    line = F.format_string("%s,%d,[3:%d;%d:2]", "p_name", "p_size", 1 + F.col("p_partkey") % 5, 7 + F.col("p_size"))
+    fp = records.fingerprints(table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("line_no"), line.alias("value")))
+    return fp.select("idx", "name", "value", B.size(F.col("bag")).cast("long").alias("popcount"), B.highest(F.col("bag")).alias("highest"))
+
+
+def structures(spark: SparkSession, d: str) -> DataFrame:
+    """A V2000 record of three atoms for every supplier."""
+    k = F.col("s_suppkey")
+    atom = lambda x, y, z, e: F.format_string(f"%10.4f%10.4f%10.4f {e}   0  0\n", x, y, z)
+    text = F.concat("s_name", F.lit("\n made\n\n  3  2  0  0  0               999 V2000\n"), atom(k * 0.5, F.lit(0.0), F.lit(1.25), "C"), atom(k * 0.5, F.lit(2.5), F.lit(-1.25), "O"), atom(k * 0.25, F.lit(3.0), F.lit(0.0), "Cl"), F.lit("  1  2  1  0\n  2  3  1  0\nM  END\n"))
+    return table(spark, d, "supplier").select(k.cast("long").alias("line_no"), text.alias("value"))
+
+
+_PLACES = "SELECT s_suppkey AS mol_id, s_name, atom, anum, x, y, z FROM supplier, LATERAL (VALUES (0, 6, s_suppkey * 0.5::DOUBLE, 0::DOUBLE, 1.25::DOUBLE), (1, 8, s_suppkey * 0.5::DOUBLE, 2.5, -1.25), (2, 17, s_suppkey * 0.25::DOUBLE, 3, 0)) v(atom, anum, x, y, z)"
+
+
+@query(f"SELECT mol_id, atom, anum, x, y, z FROM ({_PLACES})")
+def structure_atoms(spark: SparkSession, d: str) -> DataFrame:
+    """Atoms of every supplier's structure record."""
+    from ..sources import records
+
+    return records.atoms_of(records.sdf_3d(structures(spark, d)))
+
+
+@query("SELECT s_suppkey AS line_no, s_name AS name, src, dst FROM supplier, (VALUES (0, 1), (1, 2)) v(src, dst)")
+def structure_bonds(spark: SparkSession, d: str) -> DataFrame:
+    """Names and bonds of every supplier's structure record."""
+    from ..sources import records
+
+    m = records.sdf_3d(structures(spark, d))
+    return m.select("line_no", "name", F.posexplode("bonds").alias("src", "to")).select("line_no", "name", "src", F.explode("to").alias("dst"))
+
+
+@query(f"""WITH a AS ({_PLACES}) SELECT a.mol_id AS idx, least(a.anum::VARCHAR, b.anum::VARCHAR) AS lo, floor(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)))::INT AS dist,
+greatest(a.anum::VARCHAR, b.anum::VARCHAR) AS hi, count(*)::INT AS cnt FROM a JOIN a b ON a.mol_id = b.mol_id AND a.atom <= b.atom GROUP BY ALL""")
+def space_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Atom pairs of every supplier's structure by whole distances in space."""
+    from ..sources import records
+
+    a = records.atoms_of(records.sdf_3d(structures(spark, d))).select(F.col("mol_id").alias("idx"), F.lit("").alias("name"), "atom", F.col("anum").alias("type"), "x", "y", "z")
+    return encode.atom_pairs(encode.space_graphs(a)).drop("name")
+
+
+@query(f"SELECT mol_id, 'ends' AS match, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM ({_PLACES}) WHERE atom <> 1 GROUP BY mol_id")
+def matched_centres(spark: SparkSession, d: str) -> DataFrame:
+    """The mean place of the two end atoms of every supplier's structure."""
+    from ..sources import records
+
+    a = records.atoms_of(records.sdf_3d(structures(spark, d)))
+    return encode.centres(a.select("mol_id", "atom", "x", "y", "z"), a.where("atom != 1").select("mol_id", F.lit("ends").alias("match"), "atom"))
+
+
+@query("SELECT 3 * p_partkey AS line_no, p_name AS value FROM part")
+def records_stripped(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of records without a tag and its value."""
+    from ..sources import records
+
+    parts = F.posexplode(F.array("p_name", F.lit("> <SIZE>"), F.col("p_size").cast("string"))).alias("i", "value")
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k"), parts).select((3 * F.col("k") + F.col("i")).alias("line_no"), "value")
+    return records.sdf_strip(rows, "SIZE")
+
+
+@query("SELECT p_partkey AS idx, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR ELSE '' END AS size FROM part")
+def record_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of records, and a tag's value where exactly one space stands before the tag."""
+    from ..sources import records
+
+    gap = F.when(F.col("p_partkey") % 2 == 0, " ").otherwise("  ")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.concat("p_name", F.lit("\nM  END\n>"), gap, F.lit("<SIZE>\n"), F.col("p_size").cast("string"), F.lit("\n\n")).alias("value"))
+    return rows.select("idx", records.sdf_name(F.col("value")).alias("name"), records.sdf_tag(F.col("value"), "SIZE", " ").alias("size"))
+
+
+def tripos(spark: SparkSession, d: str) -> DataFrame:
+    """A TRIPOS record of two atoms for every supplier."""
+    atom = F.format_string("  1 C1  %.4f 0.5000 -1.0000 C.3 1 LIG 0.1\n  2 O1  %.4f 1.5000 2.0000 O.2 1 LIG -0.1\n", F.col("s_suppkey") * 0.5, F.col("s_suppkey") * 0.25)
+    text = F.concat("s_name", F.lit("\n 2 1 0 0 0\nSMALL\nUSER_CHARGES\n\n@<TRIPOS>ATOM\n"), atom, F.lit("@<TRIPOS>BOND\n  1   1   2 ar\n"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("line_no"), F.col("s_name").alias("name"), text.alias("value"))
+
+
+@query("SELECT s_suppkey AS mol_id, atom, label, x, y, z, sybyl FROM supplier, LATERAL (VALUES (0, 'C1', s_suppkey * 0.5::DOUBLE, 0.5::DOUBLE, -1::DOUBLE, 'C.3'), (1, 'O1', s_suppkey * 0.25::DOUBLE, 1.5, 2, 'O.2')) v(atom, label, x, y, z, sybyl)")
+def tripos_atoms(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources import records
+
+    return records.mol2_atoms(tripos(spark, d))
+
+
+@query("SELECT s_suppkey AS mol_id, 0 AS src, 1 AS dst, 'ar' AS kind FROM supplier")
+def tripos_bonds(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources import records
+
+    return records.mol2_bonds(tripos(spark, d))
+
+
+@query("SELECT 3 * s_suppkey AS mol, s_name AS name, family, x, y, z FROM supplier, LATERAL (VALUES ('HBA', s_suppkey * 0.5::DOUBLE, 1::DOUBLE, 2::DOUBLE), ('HYD', 0, s_suppkey * 0.25::DOUBLE, -1)) v(family, x, y, z)")
+def pharmacophores(spark: SparkSession, d: str) -> DataFrame:
+    """Points under their headers, of lines in which each supplier has a header and two points."""
+    from ..sources import records
+
+    k = F.col("s_suppkey")
+    parts = F.array(F.concat(F.lit("2:"), "s_name"), F.format_string("HBA %.4f 1.0 2.0", k * 0.5), F.format_string("HYD 0.0  %.4f -1.0", k * 0.25))
+    rows = table(spark, d, "supplier").select(k.cast("long").alias("k"), F.posexplode(parts).alias("i", "value"))
+    return records.ph4(rows.select((3 * F.col("k") + F.col("i")).alias("line_no"), "value"))
+
+
+@query("SELECT 4 * p_partkey AS idx, p_name AS name, feat, cnt FROM part, LATERAL (VALUES ('0_C1:1', p_size::INT), (p_brand || ' x', 2)) v(feat, cnt)")
+def encoded_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Features under `#name` headers; one is given twice, and its last count holds."""
+    from ..sources import records
+
+    parts = F.array(F.concat(F.lit("#"), "p_name"), F.lit("0_C1:1 99"), F.concat("p_brand", F.lit(" x 2")), F.concat(F.lit("0_C1:1 "), F.col("p_size").cast("string")))
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k"), F.posexplode(parts).alias("i", "value"))
+    return records.encoded(rows.select((4 * F.col("k") + F.col("i")).alias("line_no"), "value"))
+
+
+@query("SELECT dialect, p_brand || '-0' AS feat, p_partkey::INT AS feat_id, CASE WHEN dialect = 'id_first' OR p_partkey % 2 = 0 THEN p_size::BIGINT END AS stat FROM part, (VALUES ('id_first'), ('feature_first')) v(dialect)")
+def dictionary_records(spark: SparkSession, d: str) -> DataFrame:
+    """Dictionary lines in both orders of fields, with and without counts, between comments."""
+    from ..sources import records
+
+    p = table(spark, d, "part").select(F.concat("p_brand", F.lit("-0")).alias("f"), F.col("p_partkey").cast("string").alias("k"), F.col("p_size").cast("string").alias("n"), (F.col("p_partkey") % 2 == 0).alias("even"))
+    first = p.select(F.explode(F.array(F.lit("#id feature count"), F.concat_ws(" ", "k", "f", "n"))).alias("value"))
+    other = p.select(F.explode(F.array(F.lit("#feature"), F.concat_ws("\t", "f", "k", F.when(F.col("even"), F.col("n"))))).alias("value"))
+    return records.dictionary(first, "id_first").withColumn("dialect", F.lit("id_first")).unionByName(records.dictionary(other, "feature_first").withColumn("dialect", F.lit("feature_first")))
+
+
+@query(f"""WITH {_CHAINS}, t AS (SELECT idx, i, i > n AS hetero, last, (i > 1)::INT + (i < n + length(last))::INT AS g FROM m, generate_series(1, 13) s(i) WHERE i <= n + length(last)),
+v AS (SELECT idx, i, g, CASE WHEN NOT hetero THEN 6 WHEN last = 'O' THEN 8 ELSE 7 END AS z, CASE WHEN NOT hetero THEN 4 WHEN last = 'O' THEN 2 ELSE 3 END - g AS h FROM t)
+SELECT idx, (i - 1)::INT AS atom, printf('(%d,%d,%d,%d,0)', z::INT, g::INT, h::INT, g::INT) AS five, printf('(%d,%d,%d,%d,0,0)', z::INT, g::INT, h::INT, g::INT) AS daylight FROM v""")
+def chain_types(spark: SparkSession, d: str) -> DataFrame:
+    """The atoms of every part's molecule in two typing schemes."""
+    c = chains(spark, d)
+    five, day = (encode.typed(c, s).select("idx", F.posexplode("types").alias("atom", a)) for s, a in (("five", "five"), ("daylight", "daylight")))
+    return five.join(day, ["idx", "atom"])
+
+
+@query(f"WITH {_CHAINS} SELECT idx FROM m WHERE last <> 'N' AND greatest(n + length(last) - 3, 0) <= 5")
+def filtered_molecules(spark: SparkSession, d: str) -> DataFrame:
+    """Molecules of allowed atoms with at most five rotatable bonds and no chain of peptide bonds."""
+    p = encode.properties(chains(spark, d)).where(selection.allowed(F.col("elements"), ["C", "H", "O"]) & selection.at_most(F.col("RotB"), 5))
+    return selection.not_peptide(p).select("idx")
+
+
+@query(f"WITH {CUST_BRAND} SELECT c.mol_id, coalesce(s, 0)::BIGINT AS popcount, c.mol_id::VARCHAR LIKE '1%' AS active FROM (SELECT DISTINCT mol_id FROM cb) c LEFT JOIN (SELECT mol_id, sum(cnt) AS s FROM cb WHERE feat_id NOT IN (11, 23) GROUP BY 1) x ON c.mol_id = x.mol_id")
+def features_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """Bag sizes without two features, and a mark read from the name."""
+    bag = B.drop_features(F.col("bag"), [11, 23])
+    name = F.regexp_replace(F.col("mol_id").cast("string"), "^1", "active1")
+    return bags.pack(customer_brands(spark, d)).select("mol_id", F.coalesce(B.size(bag), F.lit(0)).cast("long").alias("popcount"), B.is_active(name).alias("active"))
+
+
+@query("""WITH a AS (SELECT s_name AS name, s_nationkey % 5 AS src, s_suppkey % 5 AS dst FROM supplier) SELECT DISTINCT x.name AS "left", y.name AS "right" FROM a x JOIN a y ON x.src = y.dst AND x.dst = y.src""")
+def anchors_that_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Which suppliers' anchors fit each other's."""
+    from ..operators import molecules as M
+
+    s = table(spark, d, "supplier")
+    return M.compatible(s.select(F.col("s_name").alias("name"), (F.col("s_nationkey") % 5).alias("src"), (F.col("s_suppkey") % 5).alias("dst")))
+
+
+@query("SELECT idx, line, value FROM (SELECT s_suppkey AS idx, unnest([0, 1, 2, 3, 4]) AS line, unnest(['.comment HBA', '.color orange', '.transparency 0.75', printf('.sphere %.3f 1.000 2.000 1.25', s_suppkey * 0.5::DOUBLE), printf('.sphere %.3f 3.000 2.000 1.25', s_suppkey * 0.5::DOUBLE)]) AS value FROM supplier)")
+def drawn_points(spark: SparkSession, d: str) -> DataFrame:
+    """Drawing lines of two acceptor points of every supplier, numbered in order."""
+    from pyspark.sql import Window
+
+    from ..sources import writers
+
+    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("mol"), F.lit("HBA").alias("kind"), (F.col("s_suppkey") * 0.5).alias("x"), F.explode(F.array(F.lit(1.0), F.lit(3.0))).alias("y"), F.lit(2.0).alias("z"))
+    lines = writers.point_balls(p)
+    return lines.select(F.col("mol").alias("idx"), (F.row_number().over(Window.partitionBy("mol").orderBy("part", "value")) - 1).alias("line"), "value")
