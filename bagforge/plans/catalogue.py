@@ -976,13 +976,13 @@ def features_dropped(spark: SparkSession, d: str) -> DataFrame:
     return bags.pack(customer_brands(spark, d)).select("mol_id", F.coalesce(B.size(bag), F.lit(0)).cast("long").alias("popcount"), B.is_active(name).alias("active"))
 
 
-@query("""WITH a AS (SELECT s_name AS name, s_nationkey % 5 AS src, s_suppkey % 5 AS dst FROM supplier) SELECT DISTINCT x.name AS "left", y.name AS "right" FROM a x JOIN a y ON x.src = y.dst AND x.dst = y.src""")
+@query("""WITH a AS (SELECT s_name AS name, s_nationkey % 5 AS src, s_suppkey % 5 AS dst FROM supplier) SELECT DISTINCT x.name AS name_a, y.name AS name_b FROM a x JOIN a y ON x.src = y.dst AND x.dst = y.src""")
 def anchors_that_fit(spark: SparkSession, d: str) -> DataFrame:
     """Which suppliers' anchors fit each other's."""
     from ..operators import molecules as M
 
     s = table(spark, d, "supplier")
-    return M.compatible(s.select(F.col("s_name").alias("name"), (F.col("s_nationkey") % 5).alias("src"), (F.col("s_suppkey") % 5).alias("dst")))
+    return M.compatible(s.select(F.col("s_name").alias("name"), (F.col("s_nationkey") % 5).alias("src"), (F.col("s_suppkey") % 5).alias("dst"))).toDF("name_a", "name_b")
 
 
 @query("SELECT idx, line, value FROM (SELECT s_suppkey AS idx, unnest([0, 1, 2, 3, 4]) AS line, unnest(['.comment HBA', '.color orange', '.transparency 0.75', printf('.sphere %.3f 1.000 2.000 1.25', s_suppkey * 0.5::DOUBLE), printf('.sphere %.3f 3.000 2.000 1.25', s_suppkey * 0.5::DOUBLE)]) AS value FROM supplier)")
