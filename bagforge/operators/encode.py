@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,44 @@ def typed(mols: DataFrame, scheme: str = "pi", hydrogens: bool = False) -> DataF
     return mols.select("idx", F.col("name").alias("name_"), "smiles").mapInPandas(run, TYPED)
 
 
+#: Atoms that one Arrow batch of `typed_atoms` holds at most.
+ATOM_BATCH = 100_000
+
+
+def typed_atoms(mols: DataFrame, schemes: list[str]) -> DataFrame:
+    """(idx, atom, *schemes): a row per atom of mols(idx, smiles) with its type in each scheme; none of what can't be read.
+
+    One pass makes all schemes, so nothing is joined; a text is typed once a batch, however often it occurs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("smiles").dictionary_encode()
+            counts, flat = [], {s: [] for s in schemes}
+            for smiles in texts.dictionary.to_pylist():
+                try:
+                    m = chem.parse(smiles)
+                    made = {s: [str(t) for t in SCHEMES[s](m)] for s in schemes}
+                except (ValueError, TypeError):
+                    made = {s: [] for s in schemes}
+                counts.append(len(made[schemes[0]]))
+                for s in schemes:
+                    flat[s] += made[s]
+            types = [pa.array(flat[s], "string") for s in schemes]
+            n = np.array([*counts, 0], "int64")  # the last: no text at all
+            first = np.cumsum(n) - n
+            code = texts.indices.fill_null(len(counts)).to_numpy(zero_copy_only=False).astype("int64")
+            ends = np.cumsum(n[code])
+            for low in range(0, int(ends[-1]) if len(ends) else 0, ATOM_BATCH):
+                k = np.arange(low, min(low + ATOM_BATCH, int(ends[-1])))
+                row = np.searchsorted(ends, k, "right")
+                atom = k - (ends - n[code])[row]
+                at = pa.array(first[code][row] + atom)
+                yield pa.RecordBatch.from_arrays([b.column("idx").take(pa.array(row)), pa.array(atom.astype("int32")), *[t.take(at) for t in types]], ["idx", "atom", *schemes])
+
+    return mols.select("idx", "smiles").mapInArrow(run, "idx long, atom int, " + ", ".join(f"{s} string" for s in schemes))
+
+
 def properties(mols: DataFrame) -> DataFrame:
     """mols(idx, name, smiles) with what the kernel computes: mass, heavy atoms, charge, rings, rotatable bonds, acceptors, donors, formula; what can't be read has its error and nulls."""
 
