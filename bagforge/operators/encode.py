@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chem
+from ..shared import scratch
 
 #: Atom typing schemes by name.
 SCHEMES: dict[str, Callable[[chem.Mol], list]] = {
@@ -211,21 +213,124 @@ def centres(atoms: DataFrame, matches: DataFrame) -> DataFrame:
     return matches.select("mol_id", "match", "atom").distinct().join(atoms, ["mol_id", "atom"]).groupBy("mol_id", "match").agg(*[F.avg(c).alias(c) for c in "xyz"])
 
 
+#: Centres of a task and pairs of neighbours that a kernel holds at a time.
+CENTRES, ANGLES = 256, 32_768
+FARTHEST = 1e9
+
+
 def angular_layers(atoms: DataFrame, cutoff: float, step: float) -> DataFrame:
-    """(mol_id, atom, bin, ca, cb, w): angles (radians) between each two neighbours within the cutoff, binned, by the two neighbours' channels."""
-    a = atoms.select("mol_id", F.col("atom"), *[F.col(c).alias(f"{c}0") for c in "xyz"])
-    b = atoms.select("mol_id", F.col("atom").alias("other"), "anum", *[F.col(c).alias(f"{c}1") for c in "xyz"])
-    vec = a.join(b, "mol_id").where("atom != other").select("mol_id", "atom", "other", "anum", *[(F.col(f"{c}1") - F.col(f"{c}0")).alias(f"d{c}") for c in "xyz"])
+    """(mol_id, atom, bin, ca, cb, w), w > 0: angles (radians) between each two neighbours within the cutoff, binned, by the two neighbours' channels.
+
+    Space is cut into cells as wide as the cutoff, so an atom's neighbours are in 27 of them; angles are made as matrices and
+    never rows. Atoms at one place have the same layers, neighbours at one place and of one channel the same angles: both are
+    made once. Atoms without a place, and neighbours without a channel, count nothing. Names that occur twice in a molecule
+    are joined, as their neighbours may be anywhere.
+    """
+    a = atoms.dropna(subset=["mol_id", "atom", *"xyz"])
+    channel = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in CHANNELS]), F.col("anum")) - 1, F.lit(-1)).cast("int")
+    a = a.select("mol_id", "atom", channel.alias("channel"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    twice = a.groupBy("mol_id", "atom").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mol_id").distinct()
+    if twice.isEmpty():
+        return _angles_by_cells(a, cutoff, step)
+    twice = scratch(twice, "angles")
+    return _angles_by_cells(a.join(twice, "mol_id", "left_anti"), cutoff, step).unionByName(_angles_by_joins(a.join(twice, "mol_id", "left_semi"), cutoff, step))
+
+
+def _angles_by_joins(a: DataFrame, cutoff: float, step: float) -> DataFrame:
+    """angular_layers of a(mol_id, atom, channel, x, y, z), whose names may occur twice: a row for each two neighbours."""
+    b = a.select("mol_id", F.col("atom").alias("other"), "channel", *[F.col(c).alias(f"{c}1") for c in "xyz"]).where("channel >= 0")
+    vec = a.drop("channel").join(b, "mol_id").where("atom != other").select("mol_id", "atom", "other", "channel", *[(F.col(f"{c}1") - F.col(c)).alias(f"d{c}") for c in "xyz"])
     vec = vec.withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))).where((F.col("d") < cutoff) & (F.col("d") > 0))
-    left, right = (vec.select("mol_id", "atom", *[F.col(c).alias(f"{c}_{s}") for c in ("other", "anum", "dx", "dy", "dz", "d")]) for s in "ab")
+    left, right = (vec.select("mol_id", "atom", *[F.col(c).alias(f"{c}_{s}") for c in ("other", "channel", "dx", "dy", "dz", "d")]) for s in "ab")
     both = left.join(right, ["mol_id", "atom"]).where("other_a < other_b")
     cos = sum((F.col(f"d{c}_a") * F.col(f"d{c}_b") for c in "xyz"), F.lit(0.0)) / (F.col("d_a") * F.col("d_b"))
     at = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))) / step
     low = F.floor(at)
     shares = F.explode(F.array(F.struct(low.alias("bin"), (1 - (at - low)).alias("w")), F.struct((low + 1).alias("bin"), (at - low).alias("w")))).alias("s")
-    channels = F.array(*[F.lit(c) for c in CHANNELS])
-    ca, cb = (F.array_position(channels, F.col(f"anum_{s}")) - 1 for s in "ab")
-    return both.select("mol_id", "atom", F.least(ca, cb).alias("ca"), F.greatest(ca, cb).alias("cb"), shares).where("ca >= 0").groupBy("mol_id", "atom", F.col("s.bin").alias("bin"), "ca", "cb").agg(F.sum("s.w").alias("w"))
+    ca, cb = F.least("channel_a", "channel_b").cast("long"), F.greatest("channel_a", "channel_b").cast("long")
+    return both.select("mol_id", "atom", ca.alias("ca"), cb.alias("cb"), shares).groupBy("mol_id", "atom", F.col("s.bin").alias("bin"), "ca", "cb").agg(F.sum("s.w").alias("w")).where("w > 0")
+
+
+def _angles_by_cells(a: DataFrame, cutoff: float, step: float) -> DataFrame:
+    """angular_layers of a(mol_id, atom, channel, x, y, z), names once in a molecule: a row for each cell and CENTRES of its atoms."""
+    wide = cutoff * (1 + 1e-6) or 1.0  # rounding moves no neighbour beyond the next cell
+    at = [F.floor(F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), F.col(c) / wide))) for c in "xyz"]
+    near = F.explode(F.array(*[F.struct(*[(x + o).alias(n) for x, o, n in zip(at, by, "ijk")], F.lit(by == (0, 0, 0)).alias("own")) for by in product((-1, 0, 1), repeat=3)]))
+    seen = a.select("*", near.alias("c")).select("mol_id", "c.i", "c.j", "c.k", F.struct("atom", "channel", *"xyz", "c.own").alias("a"))
+    cells = seen.groupBy("mol_id", *"ijk").agg(F.collect_list("a").alias("a"), F.count_if("a.own").alias("n")).where("n > 0")
+    cells = scratch(cells.withColumn("parts", F.ceil(F.col("n") / CENTRES).cast("int")), "angles")
+    tasks = max(1, min(cells.agg(F.sum("parts")).first()[0] or 0, 2000))
+    parts = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).repartition(tasks, "mol_id", *"ijk", "part").select("mol_id", "a", "part", "parts")
+    kind = dict(a.dtypes)
+    names = ["mol_id", "atom", "bin", "ca", "cb", "w"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                mol, rows = b.column("mol_id").slice(r, 1), b.column("a").slice(r, 1).flatten()
+                part, parts = (b.column(c)[r].as_py() for c in ("part", "parts"))
+                for which, found in _angles(rows, cutoff, step, part, parts):
+                    n = len(which)
+                    yield pa.RecordBatch.from_arrays([mol.take(pa.array(np.zeros(n, "int32"))), rows.field("atom").take(pa.array(which)), *map(pa.array, found)], names)
+
+    return parts.mapInArrow(run, f"mol_id {kind['mol_id']}, atom {kind['atom']}, bin long, ca long, cb long, w double")
+
+
+def _angles(rows: pa.StructArray, cutoff: float, step: float, part: int, parts: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(places in rows of atoms, [bin, ca, cb, w]) of every parts-th place of a cell: rows(channel, x, y, z, own) are the cell's own atoms and those about it."""
+    channel = rows.field("channel").to_numpy()
+    own = rows.field("own").to_numpy(zero_copy_only=False)
+    xyz = np.stack([rows.field(c).to_numpy() for c in "xyz"], 1)
+    known = channel >= 0
+    kinds, m = np.unique(np.column_stack([channel[known], xyz[known]]), axis=0, return_counts=True)  # by channel, then place
+    centres, of = np.unique(xyz[own], axis=0, return_inverse=True)
+    order = np.argsort(of.reshape(-1), kind="stable")
+    members = np.split(np.flatnonzero(own)[order], np.cumsum(np.bincount(of.reshape(-1), minlength=len(centres)))[:-1])
+    held = kinds[:, 0].astype("int64")
+    bins, n = int(np.pi / step) + 3, len(CHANNELS)
+    for c in range(part, len(centres), parts):
+        with np.errstate(invalid="ignore", over="ignore"):
+            v = kinds[:, 1:] - centres[c]
+            d = np.sqrt(v[:, 0] * v[:, 0] + v[:, 1] * v[:, 1] + v[:, 2] * v[:, 2])
+        near = (d > 0) & (d < cutoff)
+        w = _angle_sums(*np.ascontiguousarray(v[near].T), d[near], held[near], m[near].astype(float), step, bins, n).reshape(-1)
+        at = np.flatnonzero(w > 0)
+        if len(at):
+            made = [at % bins, at // bins // n, at // bins % n, w[at]]
+            for low in range(0, len(members[c]), CENTRES):
+                some = members[c][low : low + CENTRES]
+                yield np.repeat(some, len(at)), [np.tile(x, len(some)) for x in made]
+
+
+def _angle_sums(x: np.ndarray, y: np.ndarray, z: np.ndarray, d: np.ndarray, channel: np.ndarray, m: np.ndarray, step: float, bins: int, n: int) -> np.ndarray:
+    """Shares by (smaller channel, larger channel, bin) of all pairs of neighbours in order of channel, each of them m times there. The operations are those of the SQL, so that rounding near 0 is too."""
+    out = np.zeros((n * n, bins))
+    cuts = [*np.flatnonzero(np.diff(channel, prepend=-1)).tolist(), len(channel)]
+    for low, high in zip(cuts, cuts[1:]):
+        r = low
+        while r < high:
+            e = min(high, r + max(1, ANGLES // (len(x) - r)))
+            a, b = slice(r, e), slice(r, None)
+            cos = np.multiply.outer(x[a], x[b])
+            cos += np.multiply.outer(y[a], y[b])
+            cos += np.multiply.outer(z[a], z[b])
+            with np.errstate(invalid="ignore", divide="ignore"):
+                cos /= np.multiply.outer(d[a], d[b])
+            t = np.arccos(np.maximum(np.fmin(cos, 1.0, out=cos), -1.0, out=cos), out=cos)
+            t /= step
+            bin_ = t.astype(np.intp)
+            t -= bin_
+            w = np.multiply.outer(m[a], m[b])
+            w[:, : e - r] = np.triu(w[:, : e - r], 1)
+            w[np.arange(e - r), np.arange(e - r)] = m[a] * (m[a] - 1) / 2
+            t *= w
+            w -= t
+            bin_ += channel[b] * bins
+            bin_, size, first = bin_.reshape(-1), n * bins, int(channel[r]) * n
+            out[first : first + n] += np.bincount(bin_, w.reshape(-1), size).reshape(n, bins)
+            out[first : first + n, 1:] += np.bincount(bin_, t.reshape(-1), size).reshape(n, bins)[:, :-1]
+            r = e
+    return out
 
 
 def diameters(atoms: DataFrame) -> DataFrame:
