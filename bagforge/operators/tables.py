@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import draw
+from ..shared import released
 from .dictionary import numbered
 
 
@@ -131,6 +132,7 @@ def zip_lines(a: DataFrame, b: DataFrame, line: str, name: str) -> DataFrame:
 def finder(queries: DataFrame, reference: DataFrame, molecules: DataFrame, dist: DataFrame) -> DataFrame:
     """Nearest neighbours dist(a_id, nn_id, dist) with the neighbours' molecules(mol_id, smiles, value); duplicate names are an error."""
     twice = molecules.groupBy("mol_id").count().where("count > 1")
-    if not twice.isEmpty():
-        raise ValueError("a name occurs twice")
+    with released(molecules.sparkSession):
+        if not twice.isEmpty():
+            raise ValueError("a name occurs twice")
     return dist.join(molecules, dist.nn_id == molecules.mol_id, "left").select("a_id", "nn_id", "smiles", (1 - F.col("dist")).alias("tani"), "value")
